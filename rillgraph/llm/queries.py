@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from rillgraph.llm import _common
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillgraph.llm.secrets import digest, scan
+
+    return digest(scan(_common.table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillgraph.llm.mixing import mix
 
@@ -29,6 +35,35 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _op1_sql() -> str:
+    """Spans by the lengths of what lies between the matches and of the matches, rule by rule."""
+    from rillgraph.llm.secrets import RULES
+
+    letters = {c: f"[{c.upper()}{c}]" for c in "abcdefghijklmnopqrstuvwxyz"}
+    assign = "(" + "|".join("".join(letters.get(c, c) for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+    parts = []
+    for rank, r in enumerate(RULES):
+        pattern = assign if r.kind == "assign" else r.pattern
+        parts.append(f"""
+  SELECT row_id, '{r.kind}' AS kind, {rank} AS rank, start, start + length(hits[i]) AS stop FROM (
+    SELECT row_id, hits, vals, i, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS start
+    FROM (SELECT row_id, regexp_extract_all(text, '{pattern}') AS hits, regexp_extract_all(text, '{pattern}', {r.group}) AS vals, string_split_regex(text, '{pattern}') AS gaps FROM d), unnest(generate_series(1, len(hits))) AS u(i))
+  WHERE length(vals[i]) >= {r.min_chars}""")
+    base = "'assign', 'access', 'hex'"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row_id FROM documents),
+spans AS ({" UNION ALL ".join(parts)}),
+agg AS (
+  SELECT row_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank) FILTER (kind IN ({base})) AS base,
+         string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY row_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN agg USING (row_id)
+"""
+
+
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -70,9 +105,10 @@ GROUP BY row_id, doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_mixing": op3_mixing,
     "op8_packing": op8_packing,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op3_mixing": OP3_SQL, "op10_line_dedup": OP10_SQL}

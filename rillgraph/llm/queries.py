@@ -22,6 +22,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillgraph.llm import warc
+
+    folder = _common.fresh_path(spark, "warc")
+    warc.write(_common.table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillgraph.llm.packing import pack, public_words
 
@@ -91,6 +99,19 @@ SELECT doc_id, size, source_size, target,
 FROM run
 """
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM d)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
 OP10_SQL = r"""
 WITH lines AS (
   SELECT doc_id, row_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
@@ -107,8 +128,9 @@ GROUP BY row_id, doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_mixing": op3_mixing,
+    "op6_warc": op6_warc,
     "op8_packing": op8_packing,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op3_mixing": OP3_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op3_mixing": OP3_SQL, "op6_warc": OP6_SQL, "op10_line_dedup": OP10_SQL}

@@ -36,6 +36,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_common.table(spark, sf_dir, "documents"), public_words())
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillgraph.llm.neardup import near_duplicates
+
+    return near_duplicates(_common.table(spark, sf_dir, "documents"), n=2)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillgraph.llm.linededup import dedup_lines
 
@@ -112,6 +118,22 @@ SELECT page_id, payload_bytes,
 FROM f
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+                      ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN items b ON a.item = b.item AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM reach r JOIN edges e ON r.node = e.x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.root)::BIGINT AS component_id, s.doc_id = min(r.root) AS kept
+FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
 OP10_SQL = r"""
 WITH lines AS (
   SELECT doc_id, row_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
@@ -130,7 +152,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op6_warc": op6_warc,
     "op8_packing": op8_packing,
+    "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op3_mixing": OP3_SQL, "op6_warc": OP6_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op3_mixing": OP3_SQL, "op6_warc": OP6_SQL, "op9_minhash": OP9_SQL, "op10_line_dedup": OP10_SQL}

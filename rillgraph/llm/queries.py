@@ -22,6 +22,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillgraph.llm.quality import classify
+
+    return classify(_common.table(spark, sf_dir, "documents"), _common.table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillgraph.llm.langid import identify
+
+    return identify(_common.table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillgraph.llm import warc
 
@@ -150,6 +162,8 @@ GROUP BY row_id, doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
+    "op5_language_id": op5_language_id,
     "op6_warc": op6_warc,
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,

@@ -7,12 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rillgraph.session import share_code
+
 #: Rows in one Arrow batch; documents may be long, so batches hold few of them.
 ARROW_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches of Python stages: whole texts are long, 10,000 of them may not fit a worker."""
+    share_code(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

@@ -16,6 +16,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(_common.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillgraph.llm.vectors import near_vectors
+
+    return near_vectors(_common.table(spark, sf_dir, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillgraph.llm.mixing import mix
 
@@ -42,6 +48,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillgraph.llm.hamming import top_k
+
+    vectors = _common.table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillgraph.llm.packing import pack, public_words
 
@@ -90,6 +103,19 @@ FROM d LEFT JOIN agg USING (row_id)
 """
 
 
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+edges AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT e.y, r.root FROM reach r JOIN edges e ON r.node = e.x),
+least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+links AS (SELECT x, count(*) AS n FROM edges GROUP BY x)
+SELECT node AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id, node = component_id AS kept
+FROM least LEFT JOIN links ON x = node
+"""
+
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -130,6 +156,15 @@ SELECT page_id, payload_bytes,
 FROM f
 """
 
+OP7_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CASE WHEN c > 0 AND NOT isinf(c) THEN 1 ELSE 0 END) AS bits FROM embeddings WHERE embedding IS NOT NULL),
+d AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.bits[i] <> v.bits[i] THEN 1 ELSE 0 END))::INT AS distance
+  FROM v q, v WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER w AS rank, vec_id, distance FROM d
+WINDOW w AS (PARTITION BY query_id ORDER BY distance, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -161,13 +196,15 @@ GROUP BY row_id, doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op5_language_id": op5_language_id,
     "op6_warc": op6_warc,
+    "op7_top_k": op7_top_k,
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op3_mixing": OP3_SQL, "op6_warc": OP6_SQL, "op9_minhash": OP9_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op2_embedding_dedup": OP2_SQL, "op7_top_k": OP7_SQL, "op3_mixing": OP3_SQL, "op6_warc": OP6_SQL, "op9_minhash": OP9_SQL, "op10_line_dedup": OP10_SQL}

@@ -28,7 +28,9 @@ OPEN = 16
 #: Leftover windows that one task of the second round merges.
 MERGE = 64
 #: Words that a worker remembers; then it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: ASCII marks that always end a word of letters and digits before them.
+MARKS = b".,;:!?#$%&*()|"
 
 PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -53,31 +55,52 @@ class WordCoder:
         self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
         self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def _put(self, word: bytes, ids: np.ndarray) -> None:
+        at, n = len(self.index), len(ids)
+        if at == len(self.begin):
+            self.begin, self.count = np.resize(self.begin, 2 * at), np.resize(self.count, 2 * at)
+        while self.used + n > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + n] = ids
+        self.begin[at], self.count[at] = self.used, n
+        self.used += n
+        self.index[word] = at
+
+    def _ids(self, word: bytes) -> np.ndarray:
+        at = self.index[word]
+        return self.flat[self.begin[at] : self.begin[at] + self.count[at]]
+
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.index) + len(words) > CACHE_WORDS:
-            self._clear()
-        for word, got in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False), strict=True):
-            ids, at = got.ids, len(self.index)
-            if at == len(self.begin):
-                self.begin, self.count = np.resize(self.begin, 2 * at), np.resize(self.count, 2 * at)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.begin[at], self.count[at] = self.used, len(ids)
-            self.used += len(ids)
-            self.index[word] = at
+        """Encode unknown words: all in one text, whose tokens' places tell the words; marks at a word's end apart."""
+        stems = {w: s for w in words if (s := w.rstrip(MARKS)) != w and s.isalnum()}
+        parts = {p for w, s in stems.items() for p in (s, w[len(s) :])}
+        alone = [w for w in {*(w for w in words if w not in stems), *parts} if w not in self.index]
+        if alone:
+            texts = [w.decode("utf-8") for w in alone]
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            place = np.searchsorted(ends, np.array([o[0] for o in got.offsets], np.int64), "right")
+            cuts = np.searchsorted(place, np.arange(len(alone) + 1))
+            for i, w in enumerate(alone):
+                self._put(w, ids[cuts[i] : cuts[i + 1]])
+        for w, s in stems.items():
+            if w not in self.index:
+                self._put(w, np.concatenate([self._ids(s), self._ids(w[len(s) :])]))
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8").split()
+        data = text.encode("utf-8")
+        # the tokenizer lower-cases all but its special tokens
+        words = (data if b"<|" in data else data.lower()).split()
         out = []
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
             new = [w for w in set(part) if w not in self.index]
             if new:
-                before = len(self.index)
+                if len(self.index) + 3 * len(new) > CACHE_WORDS:
+                    self._clear()
+                    new = list(set(part))
                 self._learn(new)
-                if len(self.index) < before + len(new):  # started anew: what was known is gone
-                    self._learn([w for w in set(part) if w not in self.index])
             at = np.fromiter(map(self.index.__getitem__, part), np.int64, len(part))
             n = self.count[at]
             ends = np.cumsum(n)

@@ -67,36 +67,57 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float
     return s.select("source", "source_size", F.when(open_, F.col("final.level") * F.col("w")).otherwise(F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, most: float = 2.0, seed: str = "", buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, source, text_hash, size, source_size, target, taken for each row of docs (doc_id, text, source).
+def _sized(docs: DataFrame, seed: str, buckets: int) -> DataFrame:
+    key = es_key(F.col("doc_id"), text_weight(F.col("text")), seed)
+    rows = docs.withColumn("__size", n_words(F.col("text"))).withColumn("__key", key)
+    return rows.withColumn("__bucket", F.least(F.floor((1 - F.exp(-F.col("__key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+
+
+def _assigned(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """sized with the plan's columns of its source and __times, how often the mix takes a row: no row moves while plan is small."""
+    p = plan.select(*(F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "epochs", "rest", "cut", "last")))
+    rows = sized.join(p, sized["source"].eqNullSafe(p["__source"]))
+    at_cut = (F.col("__bucket") == F.col("__cut")) & F.coalesce(F.struct("__key", "doc_id", "__size") <= F.col("__last"), F.lit(False))
+    more = F.when(F.col("__cut").isNull(), F.col("__rest") > 0).otherwise((F.col("__bucket") < F.col("__cut")) | at_cut)
+    return rows.withColumn("__times", (F.col("__epochs") + more.cast("long")).cast("int"))
+
 
-    text_hash is xxhash64 of the text: with it a caller finds the row again where ids repeat.
+def plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, most: float = 2.0) -> DataFrame:
+    """One row per source: source_size, target, epochs, rest, cut, last.
+
+    All words are taken `epochs` times; of the rest, the documents in key ranges below `cut`, and in that range those
+    up to `last` (key, doc_id, size). cut is null if the rest takes all documents or none.
     """
-    key = es_key(F.col("doc_id"), text_weight(F.col("text")), seed)
-    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), n_words(F.col("text")).alias("size"), key.alias("key"))
-    sized = sized.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
-    sized, _ = _common.written(sized, "mix-sized")
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    sums = sized.groupBy("source", "__bucket").agg(F.sum("__size").alias("words"))
     sums, _ = _common.written(sums, "mix-sums")
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most)
     goal = goal.withColumn("epochs", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     goal, _ = _common.written(goal, "mix-goal")
 
-    upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = sums.withColumn("end", F.sum("words").over(upto)).withColumn("start", F.col("end") - F.col("words"))
-    ends = ends.withColumnRenamed("source", "s")
-    goals = goal.withColumnRenamed("source", "s")
-    cut = ends.join(goals, ends["s"].eqNullSafe(goals["s"])).drop(goals["s"])
+    upto = W.partitionBy("source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ends = sums.withColumn("end", F.sum("words").over(upto)).withColumn("start", F.col("end") - F.col("words")).withColumnRenamed("source", "s")
     # at most one range of a source starts within the budget and ends beyond it
-    cut = cut.filter((F.col("start") <= F.col("rest")) & (F.col("end") > F.col("rest"))).select("s", F.col("bucket").alias("cut"), "start")
-    g = goals.join(cut.withColumnRenamed("s", "c"), F.col("s").eqNullSafe(F.col("c")), "left").drop("c")
-    g, _ = _common.written(g, "mix-cut")
-    rows = sized.join(g, sized["source"].eqNullSafe(g["s"])).drop("s")
-    inside = F.col("cut").isNotNull() & (F.col("bucket") == F.col("cut"))
-    whole = rows.filter(~inside).withColumn("more", (F.col("cut").isNull() & (F.col("rest") > 0)) | F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False)))
-    prefix = W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    edge = rows.filter(inside).withColumn("more", F.col("start") + F.coalesce(F.sum("size").over(prefix), F.lit(0)) + F.col("size") / 2 <= F.col("rest"))
-    out = whole.unionByName(edge)
-    taken = F.col("size") * (F.col("epochs") + F.col("more").cast("long"))
-    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("epochs") + F.col("more").cast("long")).cast("int").alias("times"))
+    cut = goal.join(ends, goal["source"].eqNullSafe(ends["s"])).filter((F.col("start") <= F.col("rest")) & (F.col("end") > F.col("rest")))
+    cut, _ = _common.written(cut.select("s", F.col("__bucket").alias("cut"), "start", "rest"), "mix-cut")
+    inside = sized.join(cut, sized["source"].eqNullSafe(cut["s"]) & (sized["__bucket"] == cut["cut"]))
+    prefix = W.partitionBy("source").orderBy("__key", "doc_id", "__size").rowsBetween(W.unboundedPreceding, -1)
+    taken = inside.select("source", "doc_id", "__size", "__key", "start", "rest").withColumn("before", F.col("start") + F.coalesce(F.sum("__size").over(prefix), F.lit(0)))
+    last = taken.filter(F.col("before") + F.col("__size") / 2 <= F.col("rest")).groupBy(F.col("source").alias("l")).agg(F.max(F.struct("__key", "doc_id", "__size")).alias("last"))
+    out = goal.join(cut.select("s", "cut"), goal["source"].eqNullSafe(F.col("s")), "left").join(last, goal["source"].eqNullSafe(F.col("l")), "left").drop("s", "l")
+    return _common.written(out, "mix-plan")[0]
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, most: float = 2.0, seed: str = "", buckets: int = BUCKETS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for each row of docs (doc_id, text, source)."""
+    sized, _ = _common.written(_sized(docs.select("doc_id", "source", "text"), seed, buckets).drop("text"), "mix-sized")
+    out = _assigned(sized, plan(sized, weights, total, most))
+    return out.select("doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__times")).cast("long").alias("taken"))
+
+
+def repeat(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, most: float = 2.0, seed: str = "", buckets: int = BUCKETS) -> DataFrame:
+    """docs (all columns, among them doc_id, text, source), each row as often as the mix takes it."""
+    rows = _sized(docs, seed, buckets)
+    small, _ = _common.written(rows.select("doc_id", "source", "__size", "__key", "__bucket"), "mix-sized")
+    out = _assigned(rows, plan(small, weights, total, most)).filter("__times > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

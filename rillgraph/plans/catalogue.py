@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from rillgraph.plans import graph_queries
+
+QUERIES: dict = dict(graph_queries.QUERIES)
+ORACLES: dict = dict(graph_queries.ORACLES)

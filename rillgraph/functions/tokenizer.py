@@ -31,25 +31,32 @@ class Vocabulary:
     aliases: Mapping[str, str]
 
     def near(self, word: str) -> str | None:
-        """The label within one edit, by degree, then name; single characters are not tried."""
+        """The label within one edit, by degree, then name; single characters are not tried.
+
+        Labels are posted under themselves and each form with one character left out; two words within one edit
+        share such a form.
+        """
         if len(word) < 2:
             return None
-        found = set()
-        for i in range(len(word) + 1):
-            if i < len(word):
-                found.add(word[:i] + word[i + 1 :])
-        hits = {w for w in found if w in self.labels}
-        hits |= {w for w in self.by_length(len(word)) if sum(a != b for a, b in zip(w, word, strict=True)) <= 1}
-        hits |= {w for w in self.by_length(len(word) + 1) if any(w[:i] + w[i + 1 :] == word for i in range(len(w)))}
+        cut = {word[:i] + word[i + 1 :] for i in range(len(word))} | {word}
+        hits = {w for form in cut for w in self._posted().get(form, ()) if _within_one(word, w)}
         return min(hits, key=lambda w: (-self.labels[w], w), default=None)
 
-    def by_length(self, n: int) -> list[str]:
-        if not hasattr(self, "_lengths"):
-            lengths: dict[int, list[str]] = {}
+    def _posted(self) -> dict[str, list[str]]:
+        if not hasattr(self, "_forms"):
+            forms: dict[str, list[str]] = {}
             for w in self.labels:
-                lengths.setdefault(len(w), []).append(w)
-            object.__setattr__(self, "_lengths", lengths)
-        return self._lengths.get(n, [])
+                for form in {w[:i] + w[i + 1 :] for i in range(len(w))} | {w}:
+                    forms.setdefault(form, []).append(w)
+            object.__setattr__(self, "_forms", forms)
+        return self._forms
+
+
+def _within_one(a: str, b: str) -> bool:
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    short, long = sorted((a, b), key=len)
+    return len(long) - len(short) == 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
 
 
 def tokens(text: str | None, v: Vocabulary) -> list[tuple[str, str, str | None, bool]]:

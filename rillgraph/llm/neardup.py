@@ -6,12 +6,16 @@
    at least MATCHES coordinates share one of each other's COORDINATES - MATCHES + 1 rarest postings (prefix), so
    only those are kept; the other, longer postings are skipped, and collisions there are counted by comparing the
    signatures.
-3. Only links between different components matter for the result, so pairs of a group are never listed: first each
-   node is tried with the smallest node of its postings (its best by collisions), then in postings that still hold
-   several components each node with its best partner of another component, and last every pair of different
-   components with MATCHES collisions. Long postings are compared in blocks of BLOCK x BLOCK signatures, each a
-   separate unit of work.
-4. A candidate is a link only if the full sets confirm it: 100 * intersection >= 80 * union.
+3. Only links between different components matter for the result, so pairs of a group are never listed. First each
+   node is tried with that smallest node of its postings with which it collides most; the links give components.
+4. Postings that still hold several components are compared in blocks of BLOCK x BLOCK signatures, whatever their
+   length. What comes out is linear: the nodes that may link into another component, and stars that join the
+   components in question into families.
+5. A family's nodes in question are compared in blocks, this time with their texts: pairs of different components
+   with MATCHES collisions are confirmed on the full sets, best first, while their components are still apart.
+   Again only stars come out.
+
+A candidate is a link only if the full sets confirm it: 100 * intersection >= 80 * union.
 
 A pair at the threshold itself has a signature agreement of Bin(32, .8): it misses MATCHES = 15 with probability
 5e-6, and pairs above it less often.
@@ -38,8 +42,10 @@ COORDINATES = 32
 MATCHES = 15
 #: Signatures on each side of one comparison.
 BLOCK = 512
-#: Postings that one unit of the comparison holds, about.
+#: Rows that one unit of a comparison holds, about.
 UNIT = 4000
+#: Nodes that one unit tries with a pivot.
+CHUNK = 256
 #: Word hashes that a worker remembers.
 CACHE_WORDS = 500_000
 
@@ -137,6 +143,51 @@ def _possible(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarr
     return hits, (hits >= MATCHES) & (100 * small >= percent * large)
 
 
+class _Union:
+    """Components of numbers 0 to n - 1; the smallest names each."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+
+
+def _groups(table: pa.Table, columns: list[str]) -> tuple[pa.Table, list[tuple[int, int]]]:
+    """The table sorted by the columns, and the bounds of the runs of equal values."""
+    table = table.sort_by([(c, "ascending") for c in columns])
+    new = np.ones(len(table), bool)
+    new[1:] = False
+    for c in columns:
+        v = table.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    starts = np.append(np.flatnonzero(new), len(table))
+    return table, list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+
+
+def _sigs(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, COORDINATES)
+
+
+def _units(rows: DataFrame, by: list[str], number: int) -> DataFrame:
+    """rows, of which there are `number`, grouped into units of about UNIT rows; all rows of one value of `by` are in one unit."""
+    return rows.groupBy(F.pmod(F.xxhash64(*by), F.lit(max(1, -(-number // UNIT)))).alias("unit"))
+
+
+def _blocked(rows: DataFrame, blocks: str) -> DataFrame:
+    """rows once for each pair (x, y) of blocks that their own block is in; blocks: the number of blocks of the row's group."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    return rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("other", blocks)
+
+
 def _pivot_pairs(prefix: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): each node with that pivot of its postings with which it collides most."""
     pairs = prefix.filter("node <> pivot").select("pivot", "node").distinct()
@@ -157,71 +208,140 @@ def _pivot_pairs(prefix: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     return found.groupBy("a").agg(F.max_by("b", F.struct("hits", -F.col("b"))).alias("b"))
 
 
-def _across(prefix: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
-    """(a, b): pairs of different components within postings; every pair, or each node with its best."""
-    spark = prefix.sparkSession
-    named = prefix.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose full sets reach the similarity. A b with many a's is tried in chunks."""
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    sides = texts.select(F.col("node").alias("a"), "text")
+    left = pairs.join(many, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int")).join(sides, "a").select("b", "chunk", "a", "text")
+    right = many.join(texts.select(F.col("node").alias("b"), "text"), "b").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    right = right.select("b", "chunk", F.col("b").alias("a"), "text")
+
+    def unit(table: pa.Table) -> pa.Table:
+        table, runs = _groups(table, ["b", "chunk"])
+        b, a, text = table.column("b").to_numpy(), table.column("a").to_numpy(), table.column("text")
+        out: list[tuple[int, int]] = []
+        for lo, hi in runs:
+            mine = next((i for i in range(lo, hi) if a[i] == b[i]), None)
+            if mine is None:
+                continue  # the pivot's only ids are null: nothing names it
+            y = shingles(text[mine].as_py(), n)
+            for i in range(lo, hi):
+                if a[i] != b[i]:
+                    x = shingles(text[i].as_py(), n)
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * shared >= percent * (len(x) + len(y) - shared):
+                        out.append((int(a[i]), int(b[i])))
+        cols = list(zip(*out, strict=True)) or [[], []]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+    return _units(left.unionByName(right), ["b", "chunk"], 2 * pairs.count()).applyInArrow(unit, "a long, b long")
+
+
+def _in_question(prefix: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(node, label, root): nodes that may link into another component; root joins the components that may be linked."""
+    named = prefix.select("key", "node", "pivot").join(labels, "node", "left").select("key", "pivot", "node", F.coalesce("component", "node").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low <> high")
     mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = named.join(mixed, "key").join(nodes.select("node", "sig", "n_shingles"), "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "node", "label", "sig", "n_shingles", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    rows, path = _common.written(rows, "mixed")
-    units = max(1, -(-rows.count() // UNIT))
+    rows = _blocked(named.join(mixed, "key").join(nodes.select("node", "sig", "n_shingles"), "node"), "blocks")
 
     def unit(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("key", "x", "y")])
-        col = {c: table.column(c).to_numpy() for c in ("key", "x", "y", "node", "label", "n_shingles", "block")}
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(-1, COORDINATES)
-        new = np.ones(len(table), bool)
-        new[1:] = (col["key"][1:] != col["key"][:-1]) | (col["x"][1:] != col["x"][:-1]) | (col["y"][1:] != col["y"][:-1])
-        starts = np.append(np.flatnonzero(new), len(table))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+        table, runs = _groups(table, ["key", "x", "y"])
+        col = {c: table.column(c).to_numpy() for c in ("x", "y", "node", "label", "n_shingles", "block")}
+        sig = _sigs(table.column("sig"))
+        names, at_name = np.unique(col["label"], return_inverse=True)
+        union, flagged = _Union(len(names)), np.zeros(len(table), bool)
+        for lo, hi in runs:
             at = np.arange(lo, hi)
             x, y = col["x"][lo], col["y"][lo]
             left, right = (at, at) if x == y else (at[col["block"][at] == x], at[col["block"][at] == y])
             if not len(left) or not len(right):
                 continue
-            hits, ok = _possible(sig[left], sig[right], col["n_shingles"][left], col["n_shingles"][right], percent)
+            _, ok = _possible(sig[left], sig[right], col["n_shingles"][left], col["n_shingles"][right], percent)
             ok &= col["label"][left][:, None] != col["label"][right][None, :]
-            if every:
-                i, j = np.nonzero(ok & (col["node"][left][:, None] < col["node"][right][None, :]) if x == y else ok)
-                out.append((col["node"][left[i]], col["node"][right[j]], hits[i, j]))
-            else:
-                for mine, theirs, h in ((left, right, np.where(ok, hits, -1)), (right, left, np.where(ok, hits, -1).T)):
-                    j = h.argmax(1)
-                    i = np.flatnonzero(h[np.arange(len(h)), j] >= 0)
-                    out.append((col["node"][mine[i]], col["node"][theirs[j[i]]], h[i, j[i]]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "hits": pa.array(cols[2].astype(np.int64), pa.int64())})
-
-    found = rows.groupBy(F.pmod(F.xxhash64("key", "x", "y"), F.lit(units)).alias("unit")).applyInArrow(unit, "a long, b long, hits long")
-    if every:
-        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    else:
-        found = found.groupBy("a").agg(F.max_by("b", F.struct("hits", -F.col("b"))).alias("b"))
-    found, _ = _common.written(found, "across")
-    _common.remove(spark, path)
+            i, j = np.nonzero(ok)
+            flagged[left[i]] = flagged[right[j]] = True
+            for p, q in np.unique(np.stack([at_name[left[i]], at_name[right[j]]], 1), axis=0).tolist():
+                union.join(p, q)
+        rows_ = np.unique(np.stack([col["node"][flagged], at_name[flagged]], 1), axis=0) if flagged.any() else np.zeros((0, 2), np.int64)
+        root = np.array([union.find(p) for p in rows_[:, 1].tolist()], np.int64)
+        return pa.table({"node": pa.array(rows_[:, 0], pa.int64()), "label": pa.array(names[rows_[:, 1]], pa.int64()), "root": pa.array(names[root], pa.int64())})
+
+    # postings of one pivot meet in a unit, where what they say of a node is said once
+    rows, path = _common.written(rows, "mixed")
+    found = _units(rows, ["pivot", "x", "y"], rows.count()).applyInArrow(unit, "node long, label long, root long").distinct()
+    found, _ = _common.written(found, "question")
+    _common.remove(prefix.sparkSession, path)
     return found
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
-    firsts = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-    both = firsts.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            ok = []
-            for a, b in zip(rows.column("set_a"), rows.column("set_b"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield rows.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _family_links(question: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): stars of confirmed links between different components, each family compared in blocks."""
+    family = components(question.select(F.col("label").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("label"), F.col("component").alias("family"))
+    members, _ = _common.written(question.select("node", "label").distinct().join(family, "label"), "members")
+    size = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(size, "family").join(nodes.select("node", "sig", "n_shingles"), "node").join(texts, "node")
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(task, "a long, b long")
+    def unit(table: pa.Table) -> pa.Table:
+        table, runs = _groups(table, ["family", "x", "y"])
+        col = {c: table.column(c).to_numpy() for c in ("x", "y", "node", "label", "n_shingles", "block")}
+        sig, text = _sigs(table.column("sig")), table.column("text")
+        out: list[tuple[int, int]] = []
+        for lo, hi in runs:
+            x, y = col["x"][lo], col["y"][lo]
+            at = np.arange(lo, hi)
+            left, right = (at, at) if x == y else (at[col["block"][at] == x], at[col["block"][at] == y])
+            if not len(left) or not len(right):
+                continue
+            hits, ok = _possible(sig[left], sig[right], col["n_shingles"][left], col["n_shingles"][right], percent)
+            ok &= col["label"][left][:, None] != col["label"][right][None, :]
+            if x == y:
+                ok &= at[:, None] < at[None, :]
+            use = np.unique(np.concatenate([left[ok.any(1)], right[ok.any(0)]]))
+            if not len(use):
+                continue
+            # the block's shingles, numbered
+            sets = [shingles(text[i].as_py(), n) for i in use.tolist()]
+            numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            cut = np.cumsum([0, *map(len, sets)])
+            place = {i: k for k, i in enumerate(use.tolist())}
+            _, name = np.unique(col["label"][lo:hi], return_inverse=True)
+            union = _Union(int(name.max()) + 1)
+            mark = np.zeros(int(numbers.max()) + 1, bool)
+            for r in np.flatnonzero(ok.any(1)).tolist():
+                i = int(left[r])
+                mine = numbers[cut[place[i]] : cut[place[i] + 1]]
+                mark[mine] = True
+                near = np.flatnonzero(ok[r])
+                for q in near[np.argsort(-hits[r, near], kind="stable")].tolist():
+                    j = int(right[q])
+                    if union.find(int(name[i - lo])) != union.find(int(name[j - lo])):
+                        theirs = numbers[cut[place[j]] : cut[place[j] + 1]]
+                        shared = int(mark[theirs].sum())
+                        if 100 * shared >= percent * (len(mine) + len(theirs) - shared):
+                            union.join(int(name[i - lo]), int(name[j - lo]))
+                            out.append((int(col["node"][i]), int(col["node"][j])))
+                mark[mine] = False
+        cols = list(zip(*out, strict=True)) or [[], []]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+    number = members.join(size, "family").agg(F.sum("blocks")).first()[0] or 0
+    return _units(_blocked(rows, "blocks"), ["family", "x", "y"], number).applyInArrow(unit, "a long, b long")
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, text) of the wanted nodes, each text that of the node's smallest id."""
+    some, _ = _common.written(nodes.join(wanted.distinct(), "node", "left_semi").select("node", "rep", "fp"), "wanted")
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null and text is not null").join(some, "rep")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # an id may repeat with other texts: those have another set
+        for r in batches:
+            same = [xxhash.xxh3_128_digest(shingles(t.as_py(), n).tobytes()) == f.as_py() for t, f in zip(r.column(1), r.column(2), strict=True)]
+            yield r.select(["node", "text"]).filter(pa.array(same, pa.bool_()))
+
+    once = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    rows = rows.select("node", "text", "fp")
+    return rows.drop("fp") if once else rows.mapInArrow(own, "node long, text string").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -235,37 +355,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
     prefix, _ = _common.written(_prefix(nodes.filter(F.col("n_shingles") >= least)), "prefix")
 
-    # sets of the nodes that can be in a pair at all
-    taking_part = nodes.join(prefix.select("node").distinct(), "node", "left_semi").select("node", "rep", "fp")
-    taking_part, _ = _common.written(taking_part, "taking-part")
-
-    def set_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            made = [shingles(t.as_py(), n).tobytes() for t in rows.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(m) for m in made], pa.binary()), pa.array(made, pa.binary())], names=["fp", "set"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(taking_part.select("rep").distinct(), "rep", "left_semi").select("text")
-    sets = texts.mapInArrow(set_task, "fp binary, set binary").join(taking_part, "fp").select("node", "set")
-    sets, _ = _common.written(sets, "sets")
-
-    def links(pairs: DataFrame, known: DataFrame | None) -> tuple[DataFrame, bool]:
-        found, _ = _common.written(_confirmed(pairs, sets, percent), "links")
-        if found.isEmpty():
-            return known if known is not None else found, False
-        return (found if known is None else known.unionAll(found)), True
-
-    def label(found: DataFrame) -> DataFrame:
-        return _common.written(components(found), "labels")[0]
-
-    found, _ = links(_pivot_pairs(prefix, nodes, percent), None)
-    labels = label(found)
-    for every in (False, True):
-        pairs = _across(prefix, nodes, labels, percent, every)
-        if pairs.isEmpty():
-            break
-        found, more = links(pairs, found)
-        if more:
-            labels = label(found)
+    tried, _ = _common.written(_pivot_pairs(prefix, nodes, percent), "pivots")
+    links, _ = _common.written(_confirmed(tried, _texts(docs, nodes, tried.select(F.col("a").alias("node")).union(tried.select("b")), n), n, percent), "links")
+    labels, _ = _common.written(components(links), "labels")
+    question = _in_question(prefix, nodes, labels, percent)
+    if not question.isEmpty():
+        more = _family_links(question, nodes, _texts(docs, nodes, question.select("node"), n), n, percent)
+        links, _ = _common.written(links.unionByName(more), "links")
+        labels, _ = _common.written(components(links), "labels")
 
     named = nodes.select("fp", "node", "rep").join(labels, "node", "left").select("fp", "rep", F.coalesce("component", "node").alias("component"))
     named, _ = _common.written(named, "named")

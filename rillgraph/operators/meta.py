@@ -101,9 +101,9 @@ def schedule(goals_: DataFrame) -> DataFrame:
 
 def threshold_grid(history: DataFrame, low: int = 20, high: int = 80, step: int = 5) -> DataFrame:
     """threshold, fp, fn, tp, f1 over a grid: confidence at or above it predicts a positive direction."""
-    grid = history.sparkSession.range(low, high + 1, step).select((F.col("id") / 100).alias("threshold"))
-    # the grid has a handful of rows: counts come from one pass, not a join
-    counted = history.crossJoin(F.broadcast(grid)).groupBy("threshold")
+    grid = F.array(*(F.lit(t / 100) for t in range(low, high + 1, step)))
+    # each row meets the grid's few thresholds where it is; partial sums go to the shuffle
+    counted = history.withColumn("threshold", F.explode(grid)).groupBy("threshold")
     yes, good = F.col("confidence") >= F.col("threshold"), F.col("direction") > 0
     out = counted.agg(F.count_if(yes & good).alias("tp"), F.count_if(yes & ~good).alias("fp"), F.count_if(~yes & good).alias("fn"))
     return out.withColumn("f1", F.round(F.coalesce(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), F.lit(0.0)), 6))

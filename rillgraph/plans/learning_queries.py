@@ -66,9 +66,11 @@ canon AS (SELECT user_label, relation, CASE WHEN relation = 'COOCCURS_WITH' THEN
 pool AS (SELECT source, target, relation, count(*) AS count, string_agg(DISTINCT user_label, ',' ORDER BY user_label) AS contributors, CASE WHEN count(*) >= 3 THEN 'upgraded' ELSE 'pending' END AS status FROM canon GROUP BY 1, 2, 3)"""
 
 
-def _pool(spark, sf):
+def _pool(spark, sf, above=0):
+    """The pool of positive feedback, on orders above a price."""
     deltas, users = _deltas(spark, sf)
-    return L.pool(deltas.filter("delta > 0").join(users, "query_id"))
+    some = S.table(spark, sf, "orders").filter(F.col("o_totalprice") > above).select(F.col("o_orderkey").alias("query_id"))
+    return L.pool((deltas.join(some, "query_id") if above else deltas).filter("delta > 0").join(users, "query_id"))
 
 
 BASE = (PART_EDGES, MATCHED, ripple(1), LEARN, VERDICTS, POOL)
@@ -86,10 +88,13 @@ def pool_upgrade(spark, sf):
     return L.upgrade(S.part_edges(spark, sf).filter("weight > 0.3"), _pool(spark, sf))
 
 
-@query(with_(SEEDS, *BASE) + """
+DEAR = POOL.replace("delta > 0", "delta > 0 AND query_id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 450000)")
+
+
+@query(with_(SEEDS, *BASE[:-1], DEAR) + """
 SELECT DISTINCT source, target, relation, count FROM pool WHERE status = 'pending' AND (source IN (SELECT label FROM seeds WHERE domain = 'ECONOMY') OR target IN (SELECT label FROM seeds WHERE domain = 'ECONOMY'))""")
 def pool_by_domain(spark, sf):
-    return L.pool_in_domain(_pool(spark, sf), S.seeds(spark, sf), "ECONOMY")
+    return L.pool_in_domain(_pool(spark, sf, 450_000), S.seeds(spark, sf), "ECONOMY")
 
 
 @query(with_(*BASE) + """
@@ -452,35 +457,59 @@ def audio_features(spark, sf):
 @query()
 def stream_hebbian(spark, sf):
     """Stream-stream co-activation over the events folder, run to its end."""
-    import shutil
-    import tempfile
-
+    from rillgraph.session import fresh_path
     from rillgraph.streaming import binding as B
 
-    source = S.table(spark, sf, "events")
-    at = F.col("ts").cast("timestamp")
-    work = tempfile.mkdtemp()  # a local trial; a cluster passes its shared folder to binding.run_to_end
-    source.select("event_id", at.alias("ts"), "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{work}/in")
-    stream = lambda: B.events(spark, f"{work}/in")
-    p = stream().filter("event_type in ('view', 'click')").select("event_id", F.col("event_type").alias("seed"), "ts")
-    c = stream().filter("event_type = 'purchase'").select("event_id", F.col("event_type").alias("seed"), "ts")
-    B.run_to_end(B.co_activations(p, c, 60_000, "40 days"), "stream_hebbian", f"{work}/state")
-    shutil.rmtree(f"{work}/state", ignore_errors=True)
-    return spark.table("stream_hebbian")
+    folder = fresh_path(spark, "stream")
+    S.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{folder}/in")
+    stream = lambda f: B.events(spark, f"{folder}/in", 8).filter(f).select("event_id", F.col("event_type").alias("seed"), "ts")
+    return B.run_to_end(B.co_activations(stream("event_type in ('view', 'click')"), stream("event_type = 'purchase'"), 60_000, "40 days"), folder)
 
 
 @query("""
-WITH c AS (SELECT label, list_aggregate(list(embedding[1]::DOUBLE), 'count') AS n FROM embeddings GROUP BY 1),
-q AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 10 = 0), r AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 10 = 5)
-SELECT q.vec_id AS a, r.vec_id AS b, round(list_cosine_similarity(q.x, r.x), 6) AS similarity FROM q, r WHERE list_cosine_similarity(q.x, r.x) > 0.3::DOUBLE""")
+WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 10 = 0), r AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 10 = 5)
+SELECT q.vec_id AS a, r.vec_id AS b, round(list_cosine_similarity(q.x, r.x), 6) AS similarity FROM q JOIN r USING (label) WHERE list_cosine_similarity(q.x, r.x) > 0.1::DOUBLE""")
 def align_candidates(spark, sf):
-    """Alignment candidates: percept vectors against a small set of concept vectors, cosine above .3."""
-    v = S.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    """Alignment candidates: percept vectors against concept vectors of their class, by cosine."""
+    v = S.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     v = v.withColumn("norm", F.sqrt(dot(F.col("x"), F.col("x"))))
-    q, r = v.filter("vec_id % 10 = 0").toDF("a", "xa", "na"), v.filter("vec_id % 10 = 5").toDF("b", "xb", "nb")
+    q, r = v.filter("vec_id % 10 = 0").toDF("a", "label", "xa", "na"), v.filter("vec_id % 10 = 5").toDF("b", "label", "xb", "nb")
     sim = dot(F.col("xa"), F.col("xb")) / (F.col("na") * F.col("nb"))
-    return q.join(r, F.lit(True)).withColumn("similarity", sim).filter("similarity > 0.3").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return q.join(r, "label").withColumn("similarity", sim).filter("similarity > 0.1").select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""
+WITH e AS (SELECT event_id AS frame_id, value / 3 AS t, value / 4 AS m, value * 2 AS d FROM events),
+a AS (
+  SELECT frame_id, 'percept:somatic:high_temp' AS seed, (t - 70) / 30 AS x FROM e WHERE t BETWEEN 0 AND 150 AND t > 70
+  UNION ALL SELECT frame_id, 'percept:somatic:low_temp', (50 - t) / 20 FROM e WHERE t BETWEEN 0 AND 150 AND t < 50
+  UNION ALL SELECT frame_id, 'percept:somatic:high_memory', (m - 80) / 20 FROM e WHERE m BETWEEN 0 AND 100 AND m > 80
+  UNION ALL SELECT frame_id, 'percept:somatic:low_memory', (50 - m) / 30 FROM e WHERE m BETWEEN 0 AND 100 AND m < 50
+  UNION ALL SELECT frame_id, 'percept:somatic:slow_response', (d - 300) / 300 FROM e WHERE d > 300)
+SELECT frame_id, seed, least(1.0::DOUBLE, x) AS activation FROM a""")
+def somatic_activation(spark, sf):
+    from rillgraph.operators import perception as P
+
+    v = F.col("value")
+    f = S.table(spark, sf, "events").select(F.col("event_id").alias("frame_id"), (v / 3).alias("cpu_temp"), (v / 4).alias("memory_percent"), (v * 2).alias("latency_ms"))
+    return P.somatic(f)
+
+
+@query()
+def auditory_activation(spark, sf):
+    from rillgraph.operators import perception as P
+
+    frames = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), F.col("embedding").cast("array<double>").alias("samples"))
+    return P.auditory(E.audio_features(frames))
+
+
+@query("SELECT p_type AS domain, CASE WHEN count(*) > 0 AND p_type <> 'ECONOMY' THEN 'internal' WHEN max(p_size) > 10 THEN 'candidate_upgrade' ELSE 'none' END AS strategy FROM part GROUP BY 1")
+def explore_strategy(spark, sf):
+    from rillgraph.operators import perception as P
+
+    counts = S.table(spark, sf, "part").groupBy(F.col("p_type").alias("domain")).agg(F.count("*").alias("seeds"), F.max("p_size").alias("big"))
+    return P.strategy(counts.select("domain", "seeds", F.when(F.col("domain") != "ECONOMY", 1).otherwise(0).alias("edges"), F.when(F.col("big") > 10, 1).otherwise(0).alias("pending")))
 
 
 # ---- extensions: what the driver's tables make useful beyond the reference

@@ -33,6 +33,8 @@ def rolling_rates(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     return out.select("event_type", F.col("w.start").alias("start"), "n", "p99")
 
 
-def run_to_end(df: DataFrame, name: str, folder: str, mode: str = "append") -> None:
-    """Process what is there into an in-memory table of that name, and stop; state and progress are kept in folder."""
-    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
+def run_to_end(df: DataFrame, folder: str) -> DataFrame:
+    """Process what is there and stop; rows, state and progress are kept in the folder, which driver and executors share."""
+    query = df.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")

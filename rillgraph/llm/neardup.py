@@ -46,8 +46,8 @@ BLOCK = 512
 UNIT = 4000
 #: Nodes that one unit tries with a pivot.
 CHUNK = 256
-#: Word hashes that a worker remembers.
-CACHE_WORDS = 500_000
+#: Word hashes that a worker remembers within a task.
+CACHE_WORDS = 200_000
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)  # fixed values: the multipliers of the splitmix64 generator
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -74,6 +74,12 @@ class _WordHashes(dict):
 _WORDS = _WordHashes()
 
 
+def _forget() -> None:
+    """Give back what a finished task remembers: its worker lives on for other stages."""
+    _WORDS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def shingles(text: str | None, n: int) -> np.ndarray:
     """The sorted, distinct 64-bit hashes of the text's n-word shingles; words end at ASCII white space, A-Z are lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -107,6 +113,7 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "fp", "sig"])
+        _forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, n_shingles long, fp binary, sig binary")
 
@@ -231,6 +238,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * shared >= percent * (len(x) + len(y) - shared):
                         out.append((int(a[i]), int(b[i])))
+        _forget()
         cols = list(zip(*out, strict=True)) or [[], []]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
@@ -321,6 +329,7 @@ def _family_links(question: DataFrame, nodes: DataFrame, texts: DataFrame, n: in
                             union.join(int(name[i - lo]), int(name[j - lo]))
                             out.append((int(col["node"][i]), int(col["node"][j])))
                 mark[mine] = False
+        _forget()
         cols = list(zip(*out, strict=True)) or [[], []]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 

@@ -28,7 +28,7 @@ OPEN = 16
 #: Leftover windows that one task of the second round merges.
 MERGE = 64
 #: Words that a worker remembers; then it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: ASCII marks that always end a word of letters and digits before them.
 MARKS = b".,;:!?#$%&*()|"
 
@@ -216,6 +216,7 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[str], np.ndarray]], siz
             windows.rows.append((doc, start, len(ids), None, total, part, at, ids.tobytes()))
             at += 1
         yield windows.drain()
+        pa.default_memory_pool().release_unused()
 
     def second_round(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])

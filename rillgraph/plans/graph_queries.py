@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillgraph.functions.columns import cold_factor, related_weight
+from rillgraph.functions.text import round_half
 from rillgraph.operators import graph as G
 from rillgraph.operators import ripple as R
 from rillgraph.plans.sql import EDGES, MATCHED, PART_EDGES, PERSONAL, SEEDS, exact, ripple, with_
@@ -35,7 +36,7 @@ STATE = "SELECT query_id, label, round(activation, 6) AS activation, depth::BIGI
 
 
 def _state(df: DataFrame) -> DataFrame:
-    return df.select("query_id", "label", F.round("activation", 6).alias("activation"), F.col("depth").cast("long").alias("depth"), "parent")
+    return df.select("query_id", "label", round_half(F.col("activation"), 6).alias("activation"), F.col("depth").cast("long").alias("depth"), "parent")
 
 
 @query(with_(PART_EDGES, MATCHED, ripple(1)) + STATE + "state1")
@@ -80,7 +81,7 @@ SELECT query_id, source, target, relation, round(contribution, 6) AS contributio
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY contribution DESC, source, target, relation) AS rank FROM paths) WHERE rank <= 10""")
 def ripple_paths_topk(spark, sf):
     top = R.top_paths(_ripple(spark, sf, 2).paths)
-    return top.select("query_id", "source", "target", "relation", F.round("contribution", 6).alias("contribution"), F.col("rank").cast("long").alias("rank"))
+    return top.select("query_id", "source", "target", "relation", round_half(F.col("contribution"), 6).alias("contribution"), F.col("rank").cast("long").alias("rank"))
 
 
 SCORES = f"""
@@ -107,7 +108,7 @@ SELECT query_id, label, round(activation, 6) AS activation, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY activation DESC, label) AS rank FROM state2) WHERE rank <= 20""")
 def top_seeds(spark, sf):
     top = R.top_seeds(_ripple(spark, sf, 2).activated)
-    return top.select("query_id", "label", F.round("activation", 6).alias("activation"), F.col("rank").cast("long").alias("rank"))
+    return top.select("query_id", "label", round_half(F.col("activation"), 6).alias("activation"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(with_(PART_EDGES, MATCHED, ripple(2)) + """,

@@ -60,6 +60,7 @@ class Config:
     discount: float = 0.7
     consistency: float = 0.8
     isa_depth: int = 20
+    distance_depth: int = 5
     context_tokens: int = 2048
     query_chars: int = 500
     reliability: float = 0.7

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rillgraph.config import CONFIG
 from rillgraph.functions.columns import domain_or
+from rillgraph.session import written
 
 
 def alias_index(seeds: DataFrame) -> DataFrame:
@@ -123,24 +124,30 @@ def associations(activated: DataFrame, edges: DataFrame, threshold: float = 0.1,
     return pairs.join(known, ["x", "y"], "left_anti").select("query_id", "a", "b")
 
 
-def infer_domains(seeds: DataFrame, edges: DataFrame, depth: int = 4) -> DataFrame:
+def infer_domains(seeds: DataFrame, edges: DataFrame, depth: int = CONFIG.isa_depth) -> DataFrame:
     """label, inferred, method, hops: each blank node's domain from its nearest ancestor along IS_A; else the default.
 
-    One join per level and no collect: depth joins in all, of which the deeper ones meet ever fewer rows. Ties of the
-    nearest level go to the smaller domain.
+    One join per level over the nodes still open: those with a domain and ancestors met before drop out, so cycles end
+    and the levels stop as soon as none is open. Ties of the nearest level go to the smaller domain.
     """
     up = edges.filter("relation = 'IS_A'").select(F.col("source").alias("at"), F.col("target").alias("parent"))
-    known = seeds.filter("domain <> ''").select(F.col("label").alias("parent"), "domain")
-    blank = seeds.filter("coalesce(domain, '') = ''").select("label")
-    level = blank.withColumn("at", F.col("label"))
-    found = None
+    # every level reads these: they are made once
+    up, nodes = written(up, "isa"), written(seeds.select("label", "domain"), "nodes")
+    known = nodes.filter("domain <> ''").select(F.col("label").alias("parent"), "domain")
+    blank = nodes.filter("coalesce(domain, '') = ''").select("label")
+    open_ = blank.withColumn("at", F.col("label"))
+    met, found = open_, None
     for hop in range(1, depth + 1):
-        level = level.join(up, "at").select("label", F.col("parent").alias("at")).distinct()
-        hit = level.join(known, level["at"] == known["parent"]).select("label", "domain", F.lit(hop).alias("hops"))
+        step = open_.join(up, "at").select("label", "parent").distinct().join(known, "parent", "left")
+        step = written(step.select("label", F.col("parent").alias("at"), "domain"), "isa-level")
+        hit = step.filter("domain is not null").groupBy("label").agg(F.min("domain").alias("domain")).withColumn("hops", F.lit(hop).cast("long"))
         found = hit if found is None else found.unionByName(hit)
-    best = found.groupBy("label").agg(F.min(F.struct("hops", "domain")).alias("b"))
-    out = blank.join(best, "label", "left")
-    return out.select("label", F.coalesce("b.domain", F.lit(CONFIG.default_domain)).alias("inferred"), F.when(F.col("b").isNull(), "fallback").otherwise("is_a").alias("method"), F.col("b.hops").cast("long").alias("hops"))
+        open_ = step.select("label", "at").join(hit, "label", "left_anti").join(met, ["label", "at"], "left_anti")
+        if open_.isEmpty():
+            break
+        met = met.unionByName(step.select("label", "at"))
+    out = blank.join(found.withColumnRenamed("domain", "d"), "label", "left")
+    return out.select("label", F.coalesce("d", F.lit(CONFIG.default_domain)).alias("inferred"), F.when(F.col("d").isNull(), "fallback").otherwise("is_a").alias("method"), "hops")
 
 
 def keyword_domain(texts: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -162,16 +169,23 @@ def domain_coverage(seeds: DataFrame) -> DataFrame:
     return seeds.agg(F.count("*").alias("seeds"), n.alias("with_domain"), F.round(n * 100 / F.count("*"), 4).alias("percent"))
 
 
-def domain_distance(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
-    """origin, target, hops: the least number of edges from any node of one domain to any of another, up to depth."""
-    named = seeds.filter("domain <> ''").select("label", "domain")
-    reach = named.select(F.col("domain").alias("origin"), "label")
-    hops = edges.select(F.col("source").alias("label"), F.col("target").alias("next")).distinct()
-    found = None
+def domain_distance(seeds: DataFrame, edges: DataFrame, depth: int = CONFIG.distance_depth) -> DataFrame:
+    """origin, target, hops: the least number of edges from any node of one domain to any of another, up to depth.
+
+    The frontier of a level holds only (origin, node) pairs not met before.
+    """
+    named = written(seeds.filter("domain <> ''").select("label", "domain"), "named")
+    open_ = named.select(F.col("domain").alias("origin"), "label").distinct()
+    hops = written(edges.select(F.col("source").alias("label"), F.col("target").alias("next")).distinct(), "hops")
+    met, found = open_, None
     for hop in range(1, depth + 1):
-        reach = reach.join(hops, "label").select("origin", F.col("next").alias("label")).distinct()
-        hit = reach.join(named, "label").filter("origin <> domain").select("origin", F.col("domain").alias("target"), F.lit(hop).cast("long").alias("hops")).distinct()
+        new = open_.join(hops, "label").select("origin", F.col("next").alias("label")).distinct().join(met, ["origin", "label"], "left_anti")
+        open_ = written(new, "distance-level")
+        hit = open_.join(named, "label").filter("origin <> domain").select("origin", F.col("domain").alias("target"), F.lit(hop).cast("long").alias("hops")).distinct()
         found = hit if found is None else found.unionByName(hit)
+        if open_.isEmpty():
+            break
+        met = met.unionByName(open_)
     return found.groupBy("origin", "target").agg(F.min("hops").alias("hops"))
 
 

@@ -298,7 +298,9 @@ named AS (SELECT label, domain FROM seeds WHERE domain <> ''),
 h1 AS (SELECT DISTINCT n.domain AS origin, e.target AS label FROM named n JOIN part_edges e ON e.source = n.label),
 h2 AS (SELECT DISTINCT origin, e.target AS label FROM h1 JOIN part_edges e ON e.source = h1.label),
 h3 AS (SELECT DISTINCT origin, e.target AS label FROM h2 JOIN part_edges e ON e.source = h2.label),
-hits AS (SELECT origin, label, 1 AS hops FROM h1 UNION ALL SELECT origin, label, 2 FROM h2 UNION ALL SELECT origin, label, 3 FROM h3)
+h4 AS (SELECT DISTINCT origin, e.target AS label FROM h3 JOIN part_edges e ON e.source = h3.label),
+h5 AS (SELECT DISTINCT origin, e.target AS label FROM h4 JOIN part_edges e ON e.source = h4.label),
+hits AS (SELECT origin, label, 1 AS hops FROM h1 UNION ALL SELECT origin, label, 2 FROM h2 UNION ALL SELECT origin, label, 3 FROM h3 UNION ALL SELECT origin, label, 4 FROM h4 UNION ALL SELECT origin, label, 5 FROM h5)
 SELECT origin, domain AS target, min(hops)::BIGINT AS hops FROM hits JOIN named USING (label) WHERE origin <> domain GROUP BY 1, 2""")
 def domain_distance(spark, sf):
     return G.domain_distance(S.seeds(spark, sf), S.part_edges(spark, sf))

@@ -1,14 +1,15 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells, one representative kept.
 
 Equal vectors become one node with a count, so exact copies are never compared. Centres are fitted on a bounded
-sample (SAMPLE vectors at most; every vector is indexed). Each vector is at home in its nearest cell and visits its
-PROBES nearest cells, home included; a cell compares its residents with its visitors. With at most PROBES cells
-this is every pair. Otherwise a pair at cosine c is missed only if neither lies in a cell that the other visits:
-for random directions in 64 dimensions below .5 % at .9 and less above (tests measure recall against brute force).
+sample (SAMPLE vectors at most; every vector is indexed). Each vector is at home in its nearest cell. Cells are dealt
+to regions of about REGION vectors, and a vector visits each region with a cell that can hold a partner: partners of
+cell c are nearer to c than to the vector's own centre h, and by the triangle inequality no vector there reaches cosine t
+if x.(h - c) / |h - c| > sqrt(1 - t^2). No pair is missed, whatever the data. Groups far apart never meet; vectors in
+random directions visit nearly all regions, so there the work grows with the square of their number.
 
-Cells are cut into blocks of BLOCK residents and BLOCK visitors; each pair of blocks is one matrix product, in
-double precision, whatever the cell's size. A block returns link counts per vector and the edges of its components'
-stars, never its pairs. A pair that two cells see is counted in the one with the smaller number.
+Of two regions one is visited by the other's vectors, so that each pair is counted once. Regions are cut into units of
+REGION residents and REGION visitors, compared in products of BLOCK x BLOCK in double precision, whatever the region's
+size. A unit returns link counts per vector and the edges of its components' stars, never its pairs.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, each a component
 of its own; vectors of different length never link. Repeated rows link with each other as copies. Cosines within
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from rillgraph.llm import _common
 from rillgraph.llm.components import components
@@ -33,7 +35,8 @@ SAMPLE = 16_384
 #: Residents of a cell, about, up to MAX_CELLS cells.
 CELL = 200
 MAX_CELLS = 4096
-PROBES = 10
+#: Vectors of a region, about, and of each side of one unit.
+REGION = 8192
 BLOCK = 1024
 ROUNDS = 6
 
@@ -45,9 +48,9 @@ def usable(vector: str = "embedding") -> Column:
     return F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def _rows(column: pa.Array) -> np.ndarray:
+def _rows(column: pa.Array, kind: str) -> np.ndarray:
     """Binary values of equal length as the rows of a matrix of doubles."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -67,27 +70,41 @@ def centres(sample: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
-def _nodes(vectors: DataFrame) -> DataFrame:
-    """(vec_id, dim, bytes) of the usable vectors; bytes are the components as doubles."""
+def _nodes(vectors: DataFrame, kind: str) -> DataFrame:
+    """(vec_id, dim, bytes) of the usable vectors; bytes are the components in their own precision."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            made = [np.asarray(x.values.to_numpy(zero_copy_only=False), "<f8") + 0.0 for x in rows.column(1)]  # -0.0 is 0.0
+            made = [np.asarray(x.values.to_numpy(zero_copy_only=False), kind) + 0.0 for x in rows.column(1)]  # -0.0 is 0.0
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(m) for m in made], pa.int32()), pa.array([m.tobytes() for m in made], pa.binary())], names=["vec_id", "dim", "bytes"])
 
     flat = vectors.filter(usable()).select("vec_id", F.col("embedding").cast("array<double>"))
     return flat.mapInArrow(task, "vec_id long, dim int, bytes binary")
 
 
-def _compare(q: np.ndarray, h: np.ndarray, raw: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+def _compare(q: np.ndarray, h: np.ndarray, raw: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of rows of q and h that reach the threshold."""
     cos = q @ h.T
-    out = cos >= threshold
-    for i, j in zip(*np.nonzero(np.abs(cos - threshold) < 1e-12), strict=True):
-        a, b = raw[0][i], raw[1][j]
+    i, j = np.nonzero(cos >= threshold - 1e-12)
+    ok = np.ones(len(i), bool)
+    for n in np.flatnonzero(cos[i, j] < threshold + 1e-12):
+        a, b = raw[0][i[n]], raw[1][j[n]]
         a, b = a / np.abs(a).max(), b / np.abs(b).max()
-        dot = math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b))
-        out[i, j] = dot >= threshold
-    return out
+        ok[n] = math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b)) >= threshold
+    return i[ok], j[ok]
+
+
+def regions_met(x: np.ndarray, c: np.ndarray, region: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home region of each row of x, whether it visits each region); of two regions, one is visited by the other's rows."""
+    cos = x @ c.T
+    home = cos.argmax(1)
+    gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[home]
+    reach = math.sqrt(1 - min(threshold, 1) ** 2) if threshold > 0 else 2.0
+    near = cos[np.arange(len(x)), home][:, None] - cos <= reach * gap + 1e-6
+    own, at = region[home], np.arange(int(region.max()) + 1)
+    visits = np.stack([near[:, region == g].any(1) for g in at], 1)
+    goes = (own[:, None] < at) ^ ((own[:, None] + at) % 2 == 1)
+    return own, (visits & goes & (own[:, None] != at)) | (own[:, None] == at)
 
 
 def _stars(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,12 +123,13 @@ def _stars(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL, probes: int = PROBES) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL, region: int = REGION) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     _common.prepare(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    flat, _ = _common.written(_nodes(rows), "vectors")
+    kind = "<f4" if rows.schema["embedding"].dataType == ArrayType(FloatType()) else "<f8"
+    flat, _ = _common.written(_nodes(rows, kind), "vectors")
     grouped = flat.groupBy("bytes").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.max("dim").alias("dim"))
     nodes, _ = _common.written(grouped.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
 
@@ -121,70 +139,72 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL, p
     if len(dims) > 1:
         k = 1  # lengths differ: cells have no common centre; blocks compare equal lengths only
     sample = [r.bytes for r in nodes.orderBy(F.xxhash64("bytes"), "node").limit(SAMPLE).select("bytes").collect()] if k > 1 else []
-    c = centres(_unit(np.array([np.frombuffer(b, "<f8") for b in sample])), k) if k > 1 else None
-    shared = spark.sparkContext.broadcast(c)
-    near = min(probes, k)
+    c = centres(_unit(np.array([np.frombuffer(b, kind).astype(float) for b in sample])), k) if k > 1 else None
+    # cells whose centres are near each other form a region
+    many = min(k, -(-total // region))
+    of = (c @ centres(c, many).T).argmax(1) if k > 1 else None
+    of = np.unique(of, return_inverse=True)[1] if k > 1 else None
+    shared = spark.sparkContext.broadcast((c, of))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, of = shared.value
         for r in batches:
             if not r.num_rows:
                 continue
-            if shared.value is None:
-                cells = np.zeros((r.num_rows, 1), np.int32)
+            if c is None:
+                home, met = np.zeros(r.num_rows, np.int64), np.ones((r.num_rows, 1), bool)
             else:
-                cos = _unit(_rows(r.column(1))) @ shared.value.T
-                cells = np.argpartition(-cos, near - 1, axis=1)[:, :near] if near < cos.shape[1] else np.tile(np.arange(cos.shape[1]), (len(cos), 1))
-                order = np.argsort(-np.take_along_axis(cos, cells, 1), axis=1, kind="stable")
-                cells = np.take_along_axis(cells, order, 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*r.columns, pa.array(list(cells), pa.list_(pa.int32()))], names=[*r.schema.names, "cells"])
-
-    placed = nodes.select("node", "bytes", "dim", "copies").mapInArrow(place, "node long, bytes binary, dim int, copies long, cells array<int>")
-    placed, _ = _common.written(placed.withColumn("home", F.element_at("cells", 1)), "vector-cells")
+                home, met = regions_met(_unit(_rows(r.column(1), kind)), c, of, threshold)
+            visits = [np.flatnonzero(m).astype(np.int32) for m in met]
+            yield pa.RecordBatch.from_arrays([*r.columns, pa.array(home.astype(np.int32)), pa.array(visits, pa.list_(pa.int32()))], names=[*r.schema.names, "home", "visits"])
+
+    placed = nodes.select("node", "bytes", "dim", "copies").mapInArrow(place, "node long, bytes binary, dim int, copies long, home int, visits array<int>")
+    placed, _ = _common.written(placed, "vector-regions")
     # MAX_CELLS rows of the residents' and visitors' numbers: a bounded broadcast
-    residents = placed.groupBy("home").agg(F.count("*").alias("r")).select(F.col("home").alias("cell"), F.ceil(F.col("r") / BLOCK).cast("int").alias("rb"))
-    visitors = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("v")).select("cell", F.ceil(F.col("v") / BLOCK).cast("int").alias("vb"))
-    blocks, _ = _common.written(residents.join(visitors, "cell"), "vector-blocks")
+    residents = placed.groupBy("home").agg(F.count("*").alias("r")).select(F.col("home").alias("region"), F.ceil(F.col("r") / region).cast("int").alias("rb"))
+    visitors = placed.select(F.explode("visits").alias("region")).groupBy("region").agg(F.count("*").alias("v")).select("region", F.ceil(F.col("v") / region).cast("int").alias("vb"))
+    blocks, _ = _common.written(residents.join(visitors, "region"), "vector-blocks")
     blocks = F.broadcast(blocks)
     salt = F.xxhash64("node")
-    base = ["cell", "node", "bytes", "dim", "copies", "home", "cells"]
-    homes = placed.withColumn("cell", F.col("home")).join(blocks, "cell").withColumn("hb", F.pmod(salt, "rb").cast("int"))
+    base = ["region", "node", "bytes", "dim", "copies", "home"]
+    homes = placed.withColumn("region", F.col("home")).join(blocks, "region").withColumn("hb", F.pmod(salt, "rb").cast("int"))
     homes = homes.withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vb") - 1))).select(*base, "hb", "vb", F.lit(True).alias("resident"))
-    guests = placed.withColumn("cell", F.explode("cells")).join(blocks, "cell").withColumn("vb", F.pmod(salt, "vb").cast("int"))
+    guests = placed.withColumn("region", F.explode("visits")).join(blocks, "region").withColumn("vb", F.pmod(salt, "vb").cast("int"))
     guests = guests.withColumn("hb", F.explode(F.sequence(F.lit(0), F.col("rb") - 1))).select(*base, "hb", "vb", F.lit(False).alias("resident"))
 
-    def block(t: pa.Table) -> pa.Table:
-        cell_no = t.column("cell")[0].as_py()
+    def unit(t: pa.Table) -> pa.Table:
+        here = t.column("region")[0].as_py()
         t = t.combine_chunks()
-        out: list[list[np.ndarray]] = [[], [], []]
-        dims_here = set(t.column("dim").to_pylist())
-        for dim in dims_here:
-            part = t.filter(pa.compute.equal(t.column("dim"), dim))
-            h, q = (part.filter(m) for m in (part.column("resident"), pa.compute.invert(part.column("resident"))))
-            if not len(h) or not len(q):
-                continue
-            raw = _rows(q.column("bytes")), _rows(h.column("bytes"))
-            hit = _compare(_unit(raw[0]), _unit(raw[1]), raw, threshold)
-            nq, nh = q.column("node").to_numpy(), h.column("node").to_numpy()
-            home_q = q.column("home").to_numpy()
-            # a visitor's pair with a resident: if the resident visits the visitor's home too, the smaller cell counts it
-            i, j = np.nonzero(hit & (nq[:, None] != nh[None, :]))
-            cells = np.array(h.column("cells").to_pylist())
-            both = (cells[j] == home_q[i][:, None]).any(1)
-            mine = np.where(home_q[i] == cell_no, nq[i] < nh[j], ~both | (cell_no < home_q[i]))
-            i, j = i[mine], j[mine]
-            if not len(i):
+        ids, at = np.unique(t.column("node").to_numpy(), return_inverse=True)
+        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        dim, resident, stays = t.column("dim").to_numpy(), t.column("resident").to_numpy(), t.column("home").to_numpy() == here
+        copies, column = t.column("copies").to_numpy(), t.column("bytes")
+        for d in np.unique(dim):
+            q, h = (np.flatnonzero((dim == d) & (resident == r)) for r in (False, True))
+            if not len(q) or not len(h):
                 continue
-            wq, wh = q.column("copies").to_numpy(), h.column("copies").to_numpy()
-            ids, root = _stars(nq[i], nh[j])
-            links = np.zeros(len(ids), np.int64)
-            np.add.at(links, np.searchsorted(ids, nq[i]), wh[j])
-            np.add.at(links, np.searchsorted(ids, nh[j]), wq[i])
-            for k_, v in enumerate((ids, root, links)):
-                out[k_].append(v)
-        cols = [np.concatenate(c_) if c_ else np.zeros(0, np.int64) for c_ in out]
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("node", "root", "links"), cols, strict=True)})
-
-    found = homes.unionByName(guests).groupBy("cell", "hb", "vb").applyInArrow(block, "node long, root long, links long")
+            raw_q, raw_h = _rows(column.take(pa.array(q)), kind), _rows(column.take(pa.array(h)), kind)
+            unit_q, unit_h = _unit(raw_q), _unit(raw_h)
+            for y in range(0, len(q), BLOCK):
+                for z in range(0, len(h), BLOCK):
+                    i, j = _compare(unit_q[y : y + BLOCK], unit_h[z : z + BLOCK], (raw_q[y : y + BLOCK], raw_h[z : z + BLOCK]), threshold)
+                    i, j = q[y + i], h[z + j]
+                    # residents meet each other both as visitors and at home
+                    once = ~stays[i] | (at[i] < at[j])
+                    i, j = i[once], j[once]
+                    if not len(i):
+                        continue
+                    links += (np.bincount(at[i], copies[j], len(ids)) + np.bincount(at[j], copies[i], len(ids))).astype(np.int64)
+                    a, b = root[at[i]], root[at[j]]
+                    if (a != b).any():
+                        some, low = _stars(a[a != b], b[a != b])
+                        to = np.arange(len(ids))
+                        to[some] = low
+                        root = to[root]
+        use = links > 0
+        return pa.table({"node": pa.array(ids[use], pa.int64()), "root": pa.array(ids[root[use]], pa.int64()), "links": pa.array(links[use])})
+
+    found = homes.unionByName(guests).groupBy("region", "hb", "vb").applyInArrow(unit, "node long, root long, links long")
     found, _ = _common.written(found, "vector-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

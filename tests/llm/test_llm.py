@@ -94,6 +94,32 @@ def test_vectors_recall(spark):
     assert got <= want and got >= 0.98 * want
 
 
+@pytest.mark.parametrize("region", [vectors.REGION, 500])
+def test_vectors_dense_group(spark, region):
+    """Every link of a dense group among thousands of others is found, in one region and in many."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((6000, 64))
+    x[::3] = 8 * rng.standard_normal(64) / 8**0.5 + 0.82 * rng.standard_normal((2000, 64))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df, cell=20, region=region).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert want[::3].mean() > 1000 and [got[i][0] for i in range(len(u))] == want.tolist()
+    assert [got[i][1] for i in range(len(u))] == [0 if i % 3 == 0 else i for i in range(len(u))]
+
+
+def test_vectors_visits():
+    """No pair at the threshold lies in regions that do not meet, and groups far apart do not meet."""
+    rng = np.random.default_rng(4)
+    groups = 3 * np.eye(64)[np.arange(3000) % 30] + 0.1 * rng.standard_normal((3000, 64))
+    u = groups / np.linalg.norm(groups, axis=1)[:, None]
+    c = vectors.centres(u, 30)
+    own, met = vectors.regions_met(u, c, np.arange(30), 0.9)
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.9, 1))
+    assert (met[i, own[j]] | met[j, own[i]]).all() and not (met[i, own[j]] & met[j, own[i]])[own[i] != own[j]].any()
+    assert met.mean() < 0.2
+
+
 # 3
 def test_mixing(spark, odd, empty):
     out = mixing.mix(odd).collect()

@@ -6,7 +6,8 @@ works on all rows that its predecessor kept, and its decisions take effect:
 
 quality     rows whose predicted label is 0 go; others stay as they are
 line dedup  lines found in 10 documents or more go from every document; n_chars follows; documents stay, if emptied too
-near dedup  of each component at similarity 0.8 over five-word shingles, the row with the smallest id stays
+near dedup  of each component at similarity 0.8 over five-word shingles, the row with the smallest id stays; null ids come
+            last, ties go by a hash of the whole row
 mixing      each document comes as often as the mix takes it (0, 1 or 2 times)
 packing     pieces of sequences of at most 2048 ids
 
@@ -36,15 +37,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    found, _ = _common.written(neardup.near_duplicates(docs.select("doc_id", "text"), n=5), "near")
-    gone, _ = _common.written(found.filter("not kept").select("doc_id").distinct(), "near-gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    ids = found.filter("kept and doc_id is not null")
-    if ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    # ids that repeat: one row each stays
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    """One row of each group of near copies. Rows are told apart by a number of their own: ids may repeat or be null."""
+    tie = F.xxhash64(*docs.columns, *(F.isnull(c) for c in docs.columns))
+    rows, _ = _common.written(docs.select(F.struct(*docs.columns).alias("row"), tie.alias("tie"), F.monotonically_increasing_id().alias("key")), "near-rows")
+    found = neardup.near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), n=5)
+    found, _ = _common.written(found.select(F.col("doc_id").alias("key"), "component_id"), "near")
+    groups = found.groupBy("component_id").count().filter("count > 1").select("component_id")
+    order = F.struct(F.isnull("row.doc_id").alias("unnamed"), F.col("row.doc_id").alias("id"), "tie", "key")
+    members, _ = _common.written(found.join(groups, "component_id").join(rows.select("key", order.alias("order")), "key"), "near-members")
+    first = members.groupBy("component_id").agg(F.min("order").alias("first"))
+    gone, _ = _common.written(members.join(first, "component_id").filter("key <> first.key").select("key"), "near-gone")
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

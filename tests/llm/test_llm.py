@@ -319,3 +319,22 @@ def test_pipeline(spark, sf):
     whole = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).join(mixed.groupBy("doc_id").count(), "doc_id")
     assert whole.filter("n <> t * count").count() == 0
     assert corpus_pipeline.near_stage(spark, docs(spark, ODD), sf).count() < len(ODD)
+
+
+def test_near_stage_rows(spark, sf):
+    """One row of each group stays, whatever the ids: repeated with other texts, or null."""
+    import corpus_pipeline
+
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(5, a, "en", "x"), (5, b, "en", "x"), (3, b, "en", "x"), (None, c, "en", "x"), (None, c, "en", "x"), (None, c + " more", "en", "x"), (7, d, "en", "x"), (None, d, "en", "x")]
+    rows += [(9, e, "en", s) for s in "stuv"] + [(9, "", "en", "x"), (8, None, "en", "x"), (None, "", "en", "x")]
+    df = docs(spark, rows)
+
+    def kept(table):
+        return sorted(((r.doc_id, r.text, r.source) for r in corpus_pipeline.near_stage(spark, table, sf).collect()), key=repr)
+
+    one = kept(df.repartition(1))
+    assert one == kept(df.orderBy(F.desc("source"), F.desc("text")).coalesce(1)) == kept(df.repartition(5))
+    known = [r for r in one if r[1] not in (e, c, c + " more")]
+    assert known == sorted([(5, a, "x"), (3, b, "x"), (7, d, "x"), (9, "", "x"), (8, None, "x"), (None, "", "x")], key=repr)
+    assert sum(r[1] == e for r in one) == 1 and sum(r[1] in (c, c + " more") for r in one) == 1

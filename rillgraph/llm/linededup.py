@@ -3,7 +3,8 @@
 A run is a table (key binary(16), docs long), sorted by key within hash partitions: for every line key of one
 batch, in how many documents of that batch it occurs. New runs enter level 0; whenever a level holds `fan_in`
 runs they are merged into one run of the next level (sums of docs per key), so n batches leave O(log n) runs.
-A new batch is merge-anti-joined with the runs (`LineRuns.unseen`) and then adds its own run.
+A new batch adds its own run, of seen and unseen keys alike: counts are summed over all runs. `LineRuns.unseen`, the
+merge anti-join of a batch with the runs, tells its new keys; `dedup_lines` does without it.
 
 Key of a line: the line without `[\\x20\\x09-\\x0D]` at both ends, A-Z lower-cased; hashed with 128-bit XXH3, so
 that even 10^12 lines collide with a probability below 10^-14.

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rillgraph.session import share_code
+from rillgraph.session import fresh_path, share_code
 
-#: Rows in one Arrow batch; documents may be long, so batches hold few of them.
+#: Rows and bytes in one Arrow batch; documents may be long, so batches hold few of them.
 ARROW_ROWS = 1000
+ARROW_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of Python stages: whole texts are long, 10,000 of them may not fit a worker."""
+    """Bound the session's Arrow batches: whole texts are long, 10,000 of them may not fit a worker."""
     share_code(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+
+
+def aside(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all but the needed columns under names that no operator makes, and the way back to docs' columns."""
+    names = {n: n if n in needed else f"__column{i}" for i, n in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), lambda df: df.select(*(F.col(made).alias(n) for n, made in names.items()))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,21 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one is set only where it is unset."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='rillgraph-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/rillgraph/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 

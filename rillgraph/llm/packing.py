@@ -6,18 +6,21 @@ window is topped up by a cut and emitted. At the end of the partition the leftov
 windows; the last of each partition, shorter than a window, goes to a second round that merges the leftovers of
 many partitions in the same way. What then is left is cut at powers of two, which need no padding.
 
-Cases: a null or empty text has the closing id only. Repeated rows are packed each on its own. Extra columns are
-never read. Empty partitions and tables give no pieces.
+Cases: a null or empty text has the closing id only. Repeated rows are packed each on its own; so are rows with null
+ids, whose pieces have null ids too. Extra columns are never read. Empty partitions and tables give no pieces.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,95 +30,154 @@ from rillgraph.llm import _common
 OPEN = 16
 #: Leftover windows that one task of the second round merges.
 MERGE = 64
-#: Words that a worker remembers; then it starts anew.
+#: Words of one generation of a worker's memory, and their bytes: it holds two generations at most.
 CACHE_WORDS = 400_000
-#: ASCII marks that always end a word of letters and digits before them.
-MARKS = b".,;:!?#$%&*()|"
+CACHE_BYTES = 24 << 20
+#: Bytes of text that are encoded at once, but for longer texts.
+PORTION = 2 << 20
+#: Words that are looked up at once.
+WORDS_AT_ONCE = 50_000
+#: A run of lower-case Latin letters (UTF-8), and marks that always end such a run: the tokenizer splits between them.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?#$%&*()|]*)")
 
 PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+class _Generation:
+    """Known words and their ids, all in one array."""
+
+    def __init__(self):
+        self.index: dict[bytes, int] = {}
+        self.flat, self.used, self.bytes = np.zeros(1 << 16, "<u4"), 0, 0
+        self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def put(self, words: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
+        """Add words that are not there yet; ids: theirs one after another."""
+        at, n = len(self.index), len(words)
+        while at + n > len(self.begin):
+            self.begin, self.count = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.count, 2 * len(self.count))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[at : at + n] = self.used + np.cumsum(count) - count
+        self.count[at : at + n] = count
+        self.used += len(ids)
+        self.bytes += sum(map(len, words)) + 4 * len(ids)
+        self.index.update(zip(words, range(at, at + n), strict=True))
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The words' places, -1 for unknown ones."""
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places one after another, and how many each has."""
+        n = self.count[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(self.begin[at] - ends + n, n)], n
+
+
 class WordCoder:
     """Ids of whole texts by a tokenizer whose pieces never span white space: words are encoded once and remembered.
 
     Texts are split at ASCII white space only, which the tokenizer drops; whatever else a word holds (other white
-    space, special tokens' strings) the tokenizer itself encodes, so the ids are those of the whole text.
+    space, special tokens' strings) the tokenizer itself encodes, so the ids are those of the whole text. Words of
+    plain letters need none of its normalizers: a copy without them encodes those, and the marks behind them are
+    encoded apart. When a generation of words is full, it becomes the older one; words that are met again move to
+    the younger, the others are forgotten with the next change.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
-        self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _put(self, word: bytes, ids: np.ndarray) -> None:
-        at, n = len(self.index), len(ids)
-        if at == len(self.begin):
-            self.begin, self.count = np.resize(self.begin, 2 * at), np.resize(self.count, 2 * at)
-        while self.used + n > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + n] = ids
-        self.begin[at], self.count[at] = self.used, n
-        self.used += n
-        self.index[word] = at
-
-    def _ids(self, word: bytes) -> np.ndarray:
-        at = self.index[word]
-        return self.flat[self.begin[at] : self.begin[at] + self.count[at]]
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode unknown words: all in one text, whose tokens' places tell the words; marks at a word's end apart."""
-        stems = {w: s for w in words if (s := w.rstrip(MARKS)) != w and s.isalnum()}
-        parts = {p for w, s in stems.items() for p in (s, w[len(s) :])}
-        alone = [w for w in {*(w for w in words if w not in stems), *parts} if w not in self.index]
-        if alone:
-            texts = [w.decode("utf-8") for w in alone]
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        split = pre_tokenizers.Split(" ", "removed")
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.young, self.old = _Generation(), _Generation()
+
+    def _learn_letters(self, words: list[bytes]) -> None:
+        """Runs of plain letters: each ends with the only one of its tokens that ends a word."""
+        if words:
+            ids = np.array(self.letters.encode_batch_fast([b" ".join(words).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            self.young.put(words, ids, np.diff(ends, prepend=0))
+
+    def _learn_others(self, words: list[bytes]) -> None:
+        """Any words: all in one text, whose tokens' places tell the words."""
+        if words:
+            texts = [w.decode("utf-8") for w in words]
             ends = np.cumsum([len(t) + 1 for t in texts])
             got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
             place = np.searchsorted(ends, np.array([o[0] for o in got.offsets], np.int64), "right")
-            cuts = np.searchsorted(place, np.arange(len(alone) + 1))
-            for i, w in enumerate(alone):
-                self._put(w, ids[cuts[i] : cuts[i + 1]])
-        for w, s in stems.items():
-            if w not in self.index:
-                self._put(w, np.concatenate([self._ids(s), self._ids(w[len(s) :])]))
-
-    def encode(self, text: str) -> np.ndarray:
-        data = text.encode("utf-8")
-        # the tokenizer lower-cases all but its special tokens
-        words = (data if b"<|" in data else data.lower()).split()
-        out = []
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            new = [w for w in set(part) if w not in self.index]
-            if new:
-                if len(self.index) + 3 * len(new) > CACHE_WORDS:
-                    self._clear()
-                    new = list(set(part))
-                self._learn(new)
-            at = np.fromiter(map(self.index.__getitem__, part), np.int64, len(part))
-            n = self.count[at]
-            ends = np.cumsum(n)
-            out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.begin[at] - ends + n, n)])
-        return np.concatenate(out) if out else np.zeros(0, "<u4")
+            self.young.put(words, np.array(got.ids, "<u4"), np.bincount(place, minlength=len(words)))
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Add distinct words that the younger generation does not hold."""
+        young, old = self.young, self.old
+        if old.index:
+            at = old.places(words)
+            young.put([w for w, i in zip(words, at.tolist(), strict=True) if i >= 0], *old.ids(at[at >= 0]))
+            words = [w for w, i in zip(words, at.tolist(), strict=True) if i < 0]
+        matches = [PLAIN.fullmatch(w) for w in words]
+        marked = [(w, *m.groups()) for w, m in zip(words, matches, strict=True) if m and m.end(1) < len(w)]
+        letters = {w for w, m in zip(words, matches, strict=True) if m and m.end(1) == len(w)} | {s for _, s, _ in marked}
+        others = {w for w, m in zip(words, matches, strict=True) if not m} | {t for _, _, t in marked}
+        self._learn_letters([w for w in letters if w not in young.index])
+        self._learn_others([w for w in others if w not in young.index])
+        if marked:
+            ids, n = young.ids(young.places([x for _, s, t in marked for x in (s, t)]))
+            young.put([w for w, _, _ in marked], ids, n.reshape(-1, 2).sum(1))
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.young.index) > CACHE_WORDS or self.young.bytes > CACHE_BYTES:
+            self.young, self.old = _Generation(), self.young
+        at = self.young.places(words)
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            unknown = [words[i] for i in new]
+            self._learn(list(set(unknown)))
+            at[new] = self.young.places(unknown)
+        return self.young.ids(at)
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        words: list[bytes] = []
+        ends = []
+        for text in texts:
+            data = text.encode("utf-8", "replace")
+            # the tokenizer lower-cases all but its special tokens
+            words += (data if b"<|" in data else data.lower()).split()
+            ends.append(len(words))
+        made = [self._encoded(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        ids = np.concatenate([m[0] for m in made]) if made else np.zeros(0, "<u4")
+        upto = np.concatenate([[0], np.cumsum(np.concatenate([m[1] for m in made]))]) if made else np.zeros(1, np.int64)
+        return np.split(ids, upto[ends[:-1]])
 
 
 _CODERS: dict[str, WordCoder] = {}
 
 
-def word_coder(path: str) -> Callable[[str], np.ndarray]:
+def word_coder(path: str) -> WordCoder:
     """The coder of a vocabulary file; one for each Python worker."""
     if path not in _CODERS:
         _CODERS[path] = WordCoder(path)
-    return _CODERS[path].encode
+    return _CODERS[path]
+
+
+def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts that hold PORTION bytes or little more, or one text."""
+    size = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PORTION, "right")))
+        yield at, end
+        at = end
 
 
 class _Windows:
@@ -190,8 +252,9 @@ class _Windows:
         return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, (_, t) in zip(cols[:7], PIECE, strict=True)), pa.array(cols[7], pa.binary())], names=[*(n for n, _ in PIECE), "ids"])
 
 
-def pack(docs: DataFrame, encode: Callable[[], Callable[[str], np.ndarray]], size: int = 2048, open_windows: int = OPEN, end_id: int = 1) -> DataFrame:
-    """Pieces of all documents. docs: doc_id long, text string. encode: gives, on the worker, the text's ids as uint32.
+def pack(docs: DataFrame, encode: Callable[[], WordCoder], size: int = 2048, open_windows: int = OPEN, end_id: int = 1) -> DataFrame:
+    """Pieces of all documents. docs: doc_id long, text string. encode: gives, on the worker, an object
+    whose encode_many(texts) returns each text's ids as uint32.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Sequences have `size` ids
     or a power of two. Ids of sequences follow the partitions of docs, so reruns over the same files agree.
@@ -202,14 +265,16 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[str], np.ndarray]], siz
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        code, part = encode(), TaskContext.get().partitionId()
+        coder, part = encode(), TaskContext.get().partitionId()
         windows = _Windows(size, open_windows, part << 32)
         for rows in batches:
-            for doc, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                ids = np.append(code(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                windows.add(doc, 0, len(ids), ids)
-                if len(windows.rows) > 20_000:
-                    yield windows.drain()
+            for lo, hi in _portions(rows.column(1)):
+                coded = coder.encode_many([t or "" for t in rows.column(1).slice(lo, hi - lo).to_pylist()])
+                for doc, ids in zip(rows.column(0).slice(lo, hi - lo).to_pylist(), coded, strict=True):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    windows.add(doc, 0, len(ids), ids)
+                    if len(windows.rows) > 20_000:
+                        yield windows.drain()
             yield windows.drain()
         left, at = windows.merged(), 0
         for doc, start, total, ids in left:
@@ -236,10 +301,10 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[str], np.ndarray]], siz
     return full.unionAll(merged).drop("ids")
 
 
-def public_words(path: str | None = None) -> Callable[[], Callable[[str], np.ndarray]]:
+def public_words(path: str | None = None) -> Callable[[], WordCoder]:
     """The coder of the public word_bpe_49k vocabulary; path overrides where its file lies."""
 
-    def make() -> Callable[[str], np.ndarray]:
+    def make() -> WordCoder:
         if path:
             return word_coder(path)
         import public_tokenizers

@@ -4,12 +4,15 @@ Each document has the exponential key -ln(u) / w, u a uniform number derived fro
 quality weight. A source's target words are its share of the mix; whole epochs of the source come first, and the
 fractional rest takes documents in key order while the prefix sum of their words stays nearest the budget.
 
-No source is ever sorted in one task: keys fall into BUCKETS ordered ranges, their word sums are aggregated
-before the shuffle, and only the one range that holds a source's budget is sorted exactly.
+No source is ever sorted in one task: rows fall into ordered ranges of their keys, whose word sums are aggregated before
+the shuffle, and only the range that holds a source's budget is looked at again. While that range holds more than
+WINDOW rows it is cut into ranges by the key's next digits, then by size, then by the row's number; the rest is sorted
+exactly. So a source of junk, whose keys lie close together, and rows with one key are cut like others.
 
 Cases: null text has size 0 and is taken 0 words; null sources form a source of their own, last in order; ties of
-keys (repeated ids) are ordered by id, then size, so that equal rows are interchangeable; extra columns are never
-read. A source without words has target 0. An empty table gives an empty result.
+keys (repeated or null ids) are ordered by id, size and a hash of the row's number in its table, so that of equal
+rows as many are taken as the budget holds; extra columns are never read. A source without words has target 0. An
+empty table gives an empty result. Reruns over the same files agree.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 
 from rillgraph.llm import _common
 
-#: Ordered ranges of keys per source.
+#: Ordered ranges per source and step.
 BUCKETS = 1024
+#: Rows of a source that one task sorts, at most.
+WINDOW = 50_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -67,57 +72,94 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float
     return s.select("source", "source_size", F.when(open_, F.col("final.level") * F.col("w")).otherwise(F.col("cap")).alias("target"))
 
 
-def _sized(docs: DataFrame, seed: str, buckets: int) -> DataFrame:
+def _sized(docs: DataFrame, seed: str) -> DataFrame:
+    """docs with size, key and a number of the row's own; the caller writes them, so that the number is fixed."""
     key = es_key(F.col("doc_id"), text_weight(F.col("text")), seed)
-    rows = docs.withColumn("__size", n_words(F.col("text"))).withColumn("__key", key)
-    return rows.withColumn("__bucket", F.least(F.floor((1 - F.exp(-F.col("__key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    return docs.withColumns({"__size": n_words(F.col("text")), "__key": key, "__tie": F.xxhash64(F.monotonically_increasing_id())})
+
+
+def _order() -> Column:
+    return F.struct("__key", "doc_id", "__size", "__tie")
+
+
+def _digits(buckets: int) -> list[Column]:
+    """Ordered digits of a row's place: of its key, of its size, of its number. Together they follow the order of rows."""
+    place = F.col("__key") / (F.col("__key") + 1)
+    out = [F.pmod(F.floor(place * float(buckets) ** i), F.lit(buckets)).cast("int") for i in (1, 2, 3, 4)]
+    out += [F.shiftright("__size", 20).cast("int"), F.shiftright("__size", 10).bitwiseAND(1023).cast("int"), F.col("__size").bitwiseAND(1023).cast("int")]
+    # the arithmetic shift keeps the sign, and with it the order
+    out += [F.shiftright("__tie", 54).cast("int"), *(F.shiftright("__tie", i).bitwiseAND(1023).cast("int") for i in (44, 34, 24, 14, 4))]
+    return out
 
 
 def _assigned(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """sized with the plan's columns of its source and __times, how often the mix takes a row: no row moves while plan is small."""
-    p = plan.select(*(F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "epochs", "rest", "cut", "last")))
+    p = plan.select(*(F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "epochs", "last")))
     rows = sized.join(p, sized["source"].eqNullSafe(p["__source"]))
-    at_cut = (F.col("__bucket") == F.col("__cut")) & F.coalesce(F.struct("__key", "doc_id", "__size") <= F.col("__last"), F.lit(False))
-    more = F.when(F.col("__cut").isNull(), F.col("__rest") > 0).otherwise((F.col("__bucket") < F.col("__cut")) | at_cut)
+    more = F.coalesce(_order() <= F.col("__last"), F.lit(False))
     return rows.withColumn("__times", (F.col("__epochs") + more.cast("long")).cast("int"))
 
 
-def plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row per source: source_size, target, epochs, rest, cut, last.
+def plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, most: float = 2.0, buckets: int = BUCKETS, window: int = WINDOW) -> DataFrame:
+    """One row per source: source_size, target, epochs, last.
 
-    All words are taken `epochs` times; of the rest, the documents in key ranges below `cut`, and in that range those
-    up to `last` (key, doc_id, size). cut is null if the rest takes all documents or none.
+    All words are taken `epochs` times; of the rest, the documents up to `last` (key, doc_id, size, tie); null: none.
     """
-    sums = sized.groupBy("source", "__bucket").agg(F.sum("__size").alias("words"))
+    digits = _digits(buckets)
+    sized = sized.select("source", "doc_id", "__size", "__key", "__tie")
+    sums = sized.groupBy("source", digits[0].alias("__digit")).agg(F.sum("__size").alias("words"), F.count("*").alias("n"), F.max(_order()).alias("top"))
     sums, _ = _common.written(sums, "mix-sums")
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most)
     goal = goal.withColumn("epochs", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     goal, _ = _common.written(goal, "mix-goal")
 
-    upto = W.partitionBy("source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = sums.withColumn("end", F.sum("words").over(upto)).withColumn("start", F.col("end") - F.col("words")).withColumnRenamed("source", "s")
-    # at most one range of a source starts within the budget and ends beyond it
-    cut = goal.join(ends, goal["source"].eqNullSafe(ends["s"])).filter((F.col("start") <= F.col("rest")) & (F.col("end") > F.col("rest")))
-    cut, _ = _common.written(cut.select("s", F.col("__bucket").alias("cut"), "start", "rest"), "mix-cut")
-    inside = sized.join(cut, sized["source"].eqNullSafe(cut["s"]) & (sized["__bucket"] == cut["cut"]))
-    prefix = W.partitionBy("source").orderBy("__key", "doc_id", "__size").rowsBetween(W.unboundedPreceding, -1)
-    taken = inside.select("source", "doc_id", "__size", "__key", "start", "rest").withColumn("before", F.col("start") + F.coalesce(F.sum("__size").over(prefix), F.lit(0)))
-    last = taken.filter(F.col("before") + F.col("__size") / 2 <= F.col("rest")).groupBy(F.col("source").alias("l")).agg(F.max(F.struct("__key", "doc_id", "__size")).alias("last"))
-    out = goal.join(cut.select("s", "cut"), goal["source"].eqNullSafe(F.col("s")), "left").join(last, goal["source"].eqNullSafe(F.col("l")), "left").drop("s", "l")
+    none = F.lit(None).cast(sums.schema["top"].dataType)
+    cuts = goal.filter("rest > 0").select(F.col("source").alias("s"), "rest", F.lit(0).cast("long").alias("start"), none.alias("floor"))
+    inside = sized
+    for i in range(len(digits)):
+        if i:
+            sums = _within(inside, cuts).groupBy("source", digits[i].alias("__digit")).agg(F.sum("__size").alias("words"), F.count("*").alias("n"), F.max(_order()).alias("top"))
+        upto = W.partitionBy("source").orderBy("__digit")
+        before = upto.rowsBetween(W.unboundedPreceding, -1)
+        ranges = sums.join(cuts, sums["source"].eqNullSafe(cuts["s"])).withColumns({
+            "at": F.col("start") + F.coalesce(F.sum("words").over(before), F.lit(0)),
+            "under": F.coalesce(F.max("top").over(before), F.col("floor")),
+        })
+        # one range of a source starts within the budget and ends beyond it
+        ranges = ranges.filter((F.col("at") <= F.col("rest")) & (F.col("at") + F.col("words") > F.col("rest")))
+        cuts, _ = _common.written(ranges.select("s", "rest", F.col("at").alias("start"), F.col("under").alias("floor"), F.col("__digit").alias("d"), "n"), "mix-cut")
+        inside = _within(inside, cuts, digits[i])
+        cuts, largest = cuts.drop("d", "n"), cuts.agg(F.max("n")).first()[0]
+        if (largest or 0) <= window:
+            break
+    prefix = W.partitionBy("source").orderBy("__key", "doc_id", "__size", "__tie").rowsBetween(W.unboundedPreceding, -1)
+    taken = _within(inside, cuts).withColumn("before", F.col("start") + F.coalesce(F.sum("__size").over(prefix), F.lit(0)))
+    last = taken.filter(F.col("before") + F.col("__size") / 2 <= F.col("rest")).groupBy(F.col("source").alias("l")).agg(F.max(_order()).alias("last"))
+    ends = cuts.join(last, F.col("s").eqNullSafe(F.col("l")), "left").select(F.col("s").alias("e"), F.coalesce("last", "floor").alias("last"))
+    out = goal.join(ends, goal["source"].eqNullSafe(F.col("e")), "left").select("source", "source_size", "target", "epochs", "last")
     return _common.written(out, "mix-plan")[0]
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, most: float = 2.0, seed: str = "", buckets: int = BUCKETS) -> DataFrame:
+def _within(rows: DataFrame, cuts: DataFrame, digit: Column | None = None) -> DataFrame:
+    """The rows of the cuts' sources; with a digit, those in the cut range only, without the cuts' columns."""
+    if digit is None:
+        return rows.join(cuts, rows["source"].eqNullSafe(cuts["s"]))
+    return rows.join(cuts.select("s", "d"), rows["source"].eqNullSafe(cuts["s"]) & (digit == F.col("d"))).drop("s", "d")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, most: float = 2.0, seed: str = "", buckets: int = BUCKETS, window: int = WINDOW) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for each row of docs (doc_id, text, source)."""
-    sized, _ = _common.written(_sized(docs.select("doc_id", "source", "text"), seed, buckets).drop("text"), "mix-sized")
-    out = _assigned(sized, plan(sized, weights, total, most))
+    sized, _ = _common.written(_sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-sized")
+    out = _assigned(sized, plan(sized, weights, total, most, buckets, window))
     return out.select("doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__times")).cast("long").alias("taken"))
 
 
-def repeat(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, most: float = 2.0, seed: str = "", buckets: int = BUCKETS) -> DataFrame:
-    """docs (all columns, among them doc_id, text, source), each row as often as the mix takes it."""
-    rows = _sized(docs, seed, buckets)
-    small, _ = _common.written(rows.select("doc_id", "source", "__size", "__key", "__bucket"), "mix-sized")
-    out = _assigned(rows, plan(small, weights, total, most)).filter("__times > 0")
+def repeat(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, most: float = 2.0, seed: str = "", buckets: int = BUCKETS, window: int = WINDOW) -> DataFrame:
+    """docs (all columns, among them doc_id, text, source), each row as often as the mix takes it.
+
+    The rows are written once with their sizes and keys: the texts are searched once, and no row moves.
+    """
+    rows, _ = _common.written(_sized(docs, seed), "mix-rows")
+    out = _assigned(rows, plan(rows, weights, total, most, buckets, window)).filter("__times > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

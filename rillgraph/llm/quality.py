@@ -1,17 +1,19 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-Terms of a text are trigrams of character classes (case, digits, spaces, punctuation) and repeated words; their
-square-rooted shares form the term vector. A truncated SVD, fitted on a bounded sample of labelled rows, maps it to
-a latent vector. The sample's vectors and labels are broadcast (PER_LABEL rows per label, so the size is bounded by
-the parameters); for each block of documents one exact matrix product gives all cosines, and the NEIGHBOURS nearest
-vote with their labels weighted by similarity.
+Terms of a text are its character n-grams (n = 1 to 3, case kept), hashed into TERMS places, and one term for words that
+repeat the word before, which counts all their n-grams. Their weight is the root of the count times the inverse document
+frequency in the sample. A truncated SVD of the
+sample's term-document matrix maps a term vector to a latent vector. The sample's latent vectors and labels are
+broadcast (PER_LABEL rows per label, so the size is bounded by the parameters, whatever the texts' lengths: executors
+count the terms, and only the counts come to the driver); for each block of documents one exact matrix product gives
+all cosines, and the NEIGHBOURS nearest vote with their labels weighted by similarity.
 
 Learning uses only rows whose crc32(doc_id as text) mod 5 is not 0. Labels, lang, source and doc_id are no inputs
 of a score.
 
-Cases: null and empty texts, and any text if there are no labels, score 0. Null labels are not learned. Repeated
-rows are scored each. Ties among neighbours are resolved by the sample's order, which follows hashed ids. Extra
-columns are kept by `score` unless they are named score or predicted.
+Cases: null and empty texts, and any text if there are no labels, score 0. Null labels are not learned; a null id has no
+label. Repeated rows are scored each. Ties among neighbours (cosines equal to six places) go by the sample's order,
+which follows hashed ids. Extra columns are kept by `score`; those named score or predicted give way to the results.
 """
 
 from __future__ import annotations
@@ -26,82 +28,65 @@ from pyspark.sql import functions as F
 
 from rillgraph.llm import _common
 
-PER_LABEL = 1500
-DIMENSIONS = 48
+PER_LABEL = 1000
+DIMENSIONS = 96
 NEIGHBOURS = 25
 THRESHOLD = 0.3
 #: How strongly nearer neighbours count: votes weigh similarity to this power.
 SHARPNESS = 8
-_CLASSES = 16
-TERMS = _CLASSES**3 + 2
-
-
-def _class_table() -> np.ndarray:
-    """Class of each code point below 65,536: lower, upper, digit, space, line end, sentence marks; other marks by number."""
-    out = np.zeros(1 << 16, np.int64)
-    for i in range(1 << 16):
-        c = chr(i)
-        if c == "\n":
-            out[i] = 4
-        elif c.isspace():
-            out[i] = 3
-        elif c.isdigit():
-            out[i] = 2
-        elif c.isupper():
-            out[i] = 1
-        elif c.isalpha():
-            out[i] = 0
-        elif c in ".,;:":
-            out[i] = 5
-        else:
-            out[i] = 6 + i % (_CLASSES - 6)
-    return out
-
-
-_TABLE: list[np.ndarray] = []
+#: Places that terms are hashed into.
+TERMS = 2048
+_MULTIPLY = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))  # fixed values: odd multipliers of a multiplicative hash
 
 
 def terms(text: str | None) -> np.ndarray:
-    """The term vector of a whole text, TERMS long; zero if it is empty."""
-    out = np.zeros(TERMS, np.float32)
+    """How often each term occurs in a whole text, TERMS long; zero if it is empty."""
+    out = np.zeros(TERMS, np.int64)
     if not text:
         return out
-    if not _TABLE:
-        _TABLE.append(_class_table())
-    c = _TABLE[0][np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), (1 << 16) - 1)]
-    c = np.concatenate([[3], c, [3]])
-    tri = (c[:-2] * _CLASSES + c[1:-1]) * _CLASSES + c[2:]
-    out[: _CLASSES**3] = np.bincount(tri, minlength=_CLASSES**3)
-    out[: _CLASSES**3] /= len(tri)
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    h = np.zeros(len(c), np.uint32)
+    for n, m in enumerate(_MULTIPLY):
+        if len(c) > n:
+            h = (h[: len(c) - n] + c[n:]) * m
+            out += np.bincount(h >> np.uint32(21), minlength=TERMS)
     words = text.split()
-    if len(words) > 1:
-        out[-2] = sum(map(str.__eq__, words, words[1:])) / (len(words) - 1)
-        out[-1] = 1 - len(set(words)) / len(words)
-    return np.sqrt(out)
+    out[0] += sum(len(_MULTIPLY) * (len(a) + 1) for a, b in zip(words, words[1:]) if a == b)
+    return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """projection: TERMS x DIMENSIONS; vectors: unit rows of the labelled sample; labels: 0 or 1 each."""
+    """idf: TERMS; projection: TERMS x DIMENSIONS; vectors: unit rows of the labelled sample; labels: 0 or 1 each."""
 
+    idf: np.ndarray
     projection: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at unit length, in place; zero rows stay."""
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    return np.divide(x, norm, out=x, where=norm > 0)
 
 
 def _svd(x: np.ndarray, k: int) -> np.ndarray:
     """The k leading right singular vectors by subspace iteration."""
-    q = np.random.default_rng(0).standard_normal((x.shape[1], k))
+    q = np.random.default_rng(0).standard_normal((x.shape[1], k)).astype(x.dtype)
     for _ in range(8):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     return q
 
 
+def train(roots: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
+    """The model of a sample: the roots of its term counts (a row per text) and its labels."""
+    idf = np.log((1 + len(roots)) / (1 + (roots > 0).sum(0))).astype(np.float32) + np.float32(1)
+    x = _unit(roots.astype(np.float32) * idf)
+    q = _svd(x, min(dimensions, *x.shape))
+    return Model(idf, q, _unit(x @ q), labels.astype(np.float64))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
@@ -113,34 +98,40 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
     for y in (0, 1):
         some = rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = some if picked is None else picked.unionAll(some)
-    # 2 * per_label rows at most: a bounded broadcast, and a bounded number of texts
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(4 * per_label)
-    got = [(terms(r.text), r.y) for r in sample.select("text", "y").toLocalIterator() if r.text]
-    if not got:
+    # 2 * per_label rows at most: a bounded broadcast, and a bounded number of texts even if ids repeat
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("text")).limit(2 * per_label)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            made = [np.sqrt(terms(t.as_py())).astype("<f2").tobytes() for t in rows.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), rows.column(1)], names=["roots", "y"])
+
+    got = sample.filter("text <> ''").select("text", "y").mapInArrow(count, "roots binary, y int").toArrow()
+    if not len(got):
         return None
-    x, y = np.array([g[0] for g in got], np.float64), np.array([g[1] for g in got], np.float64)
-    q = _svd(_unit(x), min(dimensions, *x.shape))
-    return Model(q.astype(np.float32), _unit((_unit(x) @ q).astype(np.float64)), y)
+    roots = np.frombuffer(b"".join(got.column(0).to_pylist()), "<f2").reshape(-1, TERMS)
+    return train(roots, got.column(1).to_numpy(), dimensions)
 
 
-def votes(model: Model, x: np.ndarray) -> np.ndarray:
-    """Scores of term vectors: the share of label 1 among the nearest neighbours, weighted by similarity."""
-    v = _unit((_unit(x) @ model.projection).astype(np.float64))
-    cos = v @ model.vectors.T
+def votes(model: Model, counts: np.ndarray) -> np.ndarray:
+    """Scores of texts' term counts: the share of label 1 among the nearest neighbours, weighted by similarity."""
+    v = _unit(_unit(np.sqrt(counts, dtype=np.float32) * model.idf) @ model.projection)
+    cos = np.round(v @ model.vectors.T, 6)
     k = min(NEIGHBOURS, cos.shape[1])
-    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-    w = np.clip(np.take_along_axis(cos, near, 1), 0, None) ** SHARPNESS
+    least = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
+    # of the ties at the k-th place the first ones in the sample
+    near, tied = cos > least, cos == least
+    near |= tied & (np.cumsum(tied, 1) <= k - near.sum(1, keepdims=True))
+    w = np.where(near, np.clip(cos, 0, None), 0).astype(np.float64) ** SHARPNESS
     total = w.sum(1)
-    return np.divide((w * model.labels[near]).sum(1), total, out=np.zeros(len(x)), where=total > 0)
+    return np.divide(w @ model.labels, total, out=np.zeros(len(w)), where=total > 0)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """docs (all columns, among them text) with score double and predicted int."""
     spark = docs.sparkSession
     _common.prepare(spark)
-    for name in ("score", "predicted"):
-        if name in docs.columns:
-            raise ValueError(f"column {name} is made here; rename yours first")
+    docs = docs.drop("score", "predicted")
     if model is None:
         return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
     shared = spark.sparkContext.broadcast(model)
@@ -149,10 +140,11 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             s = np.zeros(rows.num_rows)
-            for i in range(0, rows.num_rows, 500):
-                texts = rows.column(where).slice(i, 500).to_pylist()
-                s[i : i + 500] = votes(shared.value, np.array([terms(t) for t in texts]))
+            for i in range(0, rows.num_rows, 250):
+                texts = rows.column(where).slice(i, 250).to_pylist()
+                s[i : i + 250] = votes(shared.value, np.array([terms(t) for t in texts]))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.clip(s, 0, 1)), pa.array((s >= threshold).astype(np.int32))], names=[*rows.schema.names, "score", "predicted"])
+        pa.default_memory_pool().release_unused()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(task, f"{schema}, score double, predicted int")

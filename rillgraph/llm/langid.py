@@ -5,14 +5,16 @@ have, by presence, over the root of the product of their numbers of n-grams. Nys
 kernel values with them, whitened by the landmarks' own kernel matrix; one-versus-rest kernel ridge regression on
 these features gives a value per language. All of it is linear in the text's presence vector, so the three matrices
 are multiplied once, and a block of documents is scored by one product of presence with an n-grams x languages
-matrix. n-grams are hashed into BUCKETS places, which bounds the broadcast.
+matrix. n-grams are hashed into BUCKETS places, which bounds the broadcast; two n-grams in one place count as one, and
+a text of 3,000 n-grams has about 17 such pairs, which leaves the order of the kernel values as it is.
 
-Learning uses text and lang of at most SALTS * PER_SALT documents per language, none whose crc32(doc_id as text)
-mod 5 is 0. lang, source and doc_id are no inputs of a prediction.
+Learning uses text and lang of at most SALTS * PER_SALT rows per language, none whose crc32(doc_id as text)
+mod 5 is 0. Executors make their n-grams; the places of these (at most 1 MB a text, 10 KB as a rule) come to the driver,
+where a system of LANDMARKS rows per language is solved. lang, source and doc_id are no inputs of a prediction.
 
 Cases: `und` with score 0 for null texts, texts without a letter, and if nothing was learned. Ties go to the
-language first by code point. Repeated rows are predicted each. Extra columns are kept by `predict` unless they are
-named lang_pred or score.
+language first by code point. Repeated rows are predicted each. Extra columns are kept by `predict`; those named
+lang_pred or score give way to the results.
 """
 
 from __future__ import annotations
@@ -70,12 +72,11 @@ def _kernel(sets: list[np.ndarray], place: np.ndarray, landmarks: np.ndarray) ->
     return out
 
 
-def train(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """The model of a sample; landmarks are its first rows of each language in turn."""
+def train(sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """The model of a sample's sets of grams; landmarks are its first rows of each language in turn."""
     names = sorted(set(langs))
     if not names:
         return None
-    sets = [grams(t) for t in texts]
     turn: dict[str, int] = {}
     chosen = []
     for i, lang in enumerate(langs):
@@ -108,10 +109,20 @@ def fit(docs: DataFrame) -> Model | None:
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
     order = W.partitionBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
     picked = rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= PER_SALT).select("doc_id").distinct()
-    # SALTS * PER_SALT ids per language: a bounded broadcast
-    sample = docs.select("doc_id", "text", "lang").filter("lang is not null").join(F.broadcast(picked), "doc_id")
-    got = sorted(((r.h, r.text, r.lang) for r in sample.select(F.xxhash64("doc_id").alias("h"), "text", "lang").toLocalIterator() if has_letter(r.text)), key=lambda x: (x[0], x[1], x[2]))
-    return train([g[1] for g in got], [g[2] for g in got])
+    # SALTS * PER_SALT ids per language: a bounded broadcast. Ids may repeat, so the rows are bounded again
+    sample = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").join(F.broadcast(picked), "doc_id")
+    own = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
+    sample = sample.withColumn("rn", F.row_number().over(own)).filter(F.col("rn") <= SALTS * PER_SALT).select("lang", "rn", "text")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts = rows.column(2).to_pylist()
+            sets = [grams(t).astype("<i4").tobytes() if has_letter(t) else None for t in texts]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:2], pa.array(sets, pa.binary())], names=["lang", "rn", "grams"])
+
+    got = sample.mapInArrow(made, "lang string, rn int, grams binary").filter("grams is not null").toArrow()
+    rows = sorted(zip(got.column(1).to_pylist(), got.column(0).to_pylist(), got.column(2).to_pylist(), strict=True))
+    return train([np.frombuffer(g, "<i4") for _, _, g in rows], [lang for _, lang, _ in rows])
 
 
 def values(model: Model, texts: list[str]) -> np.ndarray:
@@ -126,9 +137,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs (all columns, among them text) with lang_pred string and score double."""
     spark = docs.sparkSession
     _common.prepare(spark)
-    for name in ("lang_pred", "score"):
-        if name in docs.columns:
-            raise ValueError(f"column {name} is made here; rename yours first")
+    docs = docs.drop("lang_pred", "score")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     shared = spark.sparkContext.broadcast(model)

@@ -159,7 +159,7 @@ FROM f
 OP7_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CASE WHEN c > 0 AND NOT isinf(c) THEN 1 ELSE 0 END) AS bits FROM embeddings WHERE embedding IS NOT NULL),
 d AS (
-  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.bits[i] <> v.bits[i] THEN 1 ELSE 0 END))::INT AS distance
+  SELECT q.vec_id AS query_id, v.vec_id, coalesce(list_sum(list_transform(range(1, greatest(len(q.bits), len(v.bits)) + 1), lambda i: CASE WHEN coalesce(q.bits[i], 0) <> coalesce(v.bits[i], 0) THEN 1 ELSE 0 END)), 0)::INT AS distance
   FROM v q, v WHERE q.vec_id % 100 = 0)
 SELECT query_id, row_number() OVER w AS rank, vec_id, distance FROM d
 WINDOW w AS (PARTITION BY query_id ORDER BY distance, vec_id) QUALIFY row_number() OVER w <= 10

@@ -12,7 +12,8 @@ REGION residents and REGION visitors, compared in products of BLOCK x BLOCK in d
 size. A unit returns link counts per vector and the edges of its components' stars, never its pairs.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, each a component
-of its own; vectors of different length never link. Repeated rows link with each other as copies. Cosines within
+of its own; vectors of different length never link. Null ids: such a vector links and counts as others do; it names no
+component unless all ids of it are null, and then the component's id is null. Repeated rows link with each other as copies. Cosines within
 1e-12 of the threshold are summed again exactly. Labels and extra columns are never read.
 """
 
@@ -32,7 +33,8 @@ from rillgraph.llm.components import components
 
 #: Vectors that centres are fitted on, at most.
 SAMPLE = 16_384
-#: Residents of a cell, about, up to MAX_CELLS cells.
+#: Residents of a cell, about, up to MAX_CELLS cells of a length. Cells only tell which regions need not meet: beyond
+#: MAX_CELLS they grow and tell less, and every pair that may link is still compared.
 CELL = 200
 MAX_CELLS = 4096
 #: Vectors of a region, about, and of each side of one unit.
@@ -133,38 +135,43 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL, r
     grouped = flat.groupBy("bytes").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.max("dim").alias("dim"))
     nodes, _ = _common.written(grouped.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
 
-    total = nodes.count()
-    k = max(1, min(MAX_CELLS, total // cell))
-    dims = [r[0] for r in nodes.select("dim").distinct().limit(2).collect()]
-    if len(dims) > 1:
-        k = 1  # lengths differ: cells have no common centre; blocks compare equal lengths only
-    sample = [r.bytes for r in nodes.orderBy(F.xxhash64("bytes"), "node").limit(SAMPLE).select("bytes").collect()] if k > 1 else []
-    c = centres(_unit(np.array([np.frombuffer(b, kind).astype(float) for b in sample])), k) if k > 1 else None
-    # cells whose centres are near each other form a region
-    many = min(k, -(-total // region))
-    of = (c @ centres(c, many).T).argmax(1) if k > 1 else None
-    of = np.unique(of, return_inverse=True)[1] if k > 1 else None
-    shared = spark.sparkContext.broadcast((c, of))
+    # vectors of different length never link: each length has centres, cells and regions of its own
+    lengths = sorted((r["dim"], r["count"]) for r in nodes.groupBy("dim").count().collect())
+    plans, first_region = {}, 0
+    for dim, total in lengths:
+        k = max(1, min(MAX_CELLS, total // cell))
+        c = of = None
+        if k > 1:
+            some = nodes.filter(F.col("dim") == dim).orderBy(F.xxhash64("bytes"), "node").limit(SAMPLE).select("bytes").toArrow()
+            c = centres(_unit(_rows(some.column(0), kind)), k)
+            # cells whose centres are near each other form a region
+            of = np.unique((c @ centres(c, min(k, -(-total // region))).T).argmax(1), return_inverse=True)[1]
+        plans[dim] = (c, of, first_region)
+        first_region += int(of.max()) + 1 if k > 1 else 1
+    shared = spark.sparkContext.broadcast(plans)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, of = shared.value
         for r in batches:
-            if not r.num_rows:
-                continue
-            if c is None:
-                home, met = np.zeros(r.num_rows, np.int64), np.ones((r.num_rows, 1), bool)
-            else:
-                home, met = regions_met(_unit(_rows(r.column(1), kind)), c, of, threshold)
-            visits = [np.flatnonzero(m).astype(np.int32) for m in met]
-            yield pa.RecordBatch.from_arrays([*r.columns, pa.array(home.astype(np.int32)), pa.array(visits, pa.list_(pa.int32()))], names=[*r.schema.names, "home", "visits"])
+            home, visits = np.zeros(r.num_rows, np.int32), [None] * r.num_rows
+            dims = r.column(2).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                c, of, start = shared.value[dim]
+                at = np.flatnonzero(dims == dim)
+                if c is None:
+                    own, met = np.zeros(len(at), np.int64), np.ones((len(at), 1), bool)
+                else:
+                    own, met = regions_met(_unit(_rows(r.column(1).take(pa.array(at)), kind)), c, of, threshold)
+                home[at] = own + start
+                for i, m in zip(at.tolist(), met, strict=True):
+                    visits[i] = (np.flatnonzero(m) + start).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*r.columns, pa.array(home), pa.array(visits, pa.list_(pa.int32()))], names=[*r.schema.names, "home", "visits"])
 
     placed = nodes.select("node", "bytes", "dim", "copies").mapInArrow(place, "node long, bytes binary, dim int, copies long, home int, visits array<int>")
     placed, _ = _common.written(placed, "vector-regions")
-    # MAX_CELLS rows of the residents' and visitors' numbers: a bounded broadcast
+    # one row per region with its residents' and visitors' numbers; broadcast below Spark's own limit only
     residents = placed.groupBy("home").agg(F.count("*").alias("r")).select(F.col("home").alias("region"), F.ceil(F.col("r") / region).cast("int").alias("rb"))
     visitors = placed.select(F.explode("visits").alias("region")).groupBy("region").agg(F.count("*").alias("v")).select("region", F.ceil(F.col("v") / region).cast("int").alias("vb"))
     blocks, _ = _common.written(residents.join(visitors, "region"), "vector-blocks")
-    blocks = F.broadcast(blocks)
     salt = F.xxhash64("node")
     base = ["region", "node", "bytes", "dim", "copies", "home"]
     homes = placed.withColumn("region", F.col("home")).join(blocks, "region").withColumn("hb", F.pmod(salt, "rb").cast("int"))

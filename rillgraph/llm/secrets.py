@@ -9,7 +9,7 @@ the verification then rejects. Candidates are written first, so that the join wi
 their size is below autoBroadcastJoinThreshold and a sort-merge join beyond it.
 
 Cases: a null text counts as empty and has no spans; repeated rows each get their own result; spans of different
-kinds may overlap; extra columns are kept unless they have the name of a result.
+kinds may overlap; extra columns are kept; one named found gives way to the result.
 """
 
 from __future__ import annotations
@@ -153,9 +153,14 @@ def _text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
-def build_index(docs: DataFrame, grams: Sequence[str], text: str = "text") -> DataFrame:
-    """Postings (gram string, content long) of the given trigrams over all texts, lower-cased."""
+def build_index(docs: DataFrame, grams: Sequence[str] | None = None, text: str = "text") -> DataFrame:
+    """Postings (gram string, content long) over all texts, lower-cased: of the given trigrams, or of all of them.
+
+    All trigrams make an index that any later rule can be asked of; it takes several times the texts' bytes.
+    """
     rows = docs.select(F.xxhash64(_text(F.col(text))).alias("content"), F.lower(_text(F.col(text))).alias("low"))
+    if grams is None:
+        return rows.select("content", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("(?s)(?=(...))"), F.lit(1)))).alias("gram"))
     found = F.filter(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams)), lambda g: g.isNotNull())
     return rows.select("content", F.explode(found).alias("gram"))
 
@@ -188,14 +193,19 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
 
 
-def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """docs with found: array<struct<start long, rank int, end long>>, sorted; rank is the rule's place in rules."""
+def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", index: DataFrame | None = None) -> DataFrame:
+    """docs with found: array<struct<start long, rank int, end long>>, sorted; rank is the rule's place in rules.
+
+    index: kept postings of docs with at least the trigrams of the rules; without one, those are posted first.
+    """
+    docs = docs.drop("found")
     grams = sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
     none = F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint>>)")
     source = docs
     if grams:
-        index, _ = _common.written(build_index(docs, grams, text), "secret-index")
-        likely, _ = _common.written(candidates(index, rules), "secret-candidates")
+        if index is None:
+            index, _ = _common.written(build_index(docs, grams, text), "secret-index")
+        likely, _ = _common.written(candidates(index.filter(F.col("gram").isin(grams)), rules), "secret-candidates")
         likely = likely.select(F.col("content").alias("__content"), F.col("kinds").alias("__kinds"))
         source = docs.join(likely, F.xxhash64(_text(F.col(text))) == F.col("__content"), "left")
     parts = []

@@ -89,11 +89,11 @@ class WordCoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.letters.normalizer = normalizers.Sequence([])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)
         split = pre_tokenizers.Split(" ", "removed")
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
@@ -159,6 +159,10 @@ class WordCoder:
         upto = np.concatenate([[0], np.cumsum(np.concatenate([m[1] for m in made]))]) if made else np.zeros(1, np.int64)
         return np.split(ids, upto[ends[:-1]])
 
+    def trim(self) -> None:
+        """Forget all words at a task's end: the worker lives on for other stages, and most words are of one task only."""
+        self.young, self.old = _Generation(), _Generation()
+
 
 _CODERS: dict[str, WordCoder] = {}
 
@@ -281,6 +285,7 @@ def pack(docs: DataFrame, encode: Callable[[], WordCoder], size: int = 2048, ope
             windows.rows.append((doc, start, len(ids), None, total, part, at, ids.tobytes()))
             at += 1
         yield windows.drain()
+        coder.trim()
         pa.default_memory_pool().release_unused()
 
     def second_round(rows: pa.Table) -> pa.Table:

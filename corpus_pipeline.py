@@ -11,7 +11,8 @@ near dedup  of each component at similarity 0.8 over five-word shingles, the row
 mixing      each document comes as often as the mix takes it (0, 1 or 2 times)
 packing     pieces of sequences of at most 2048 ids
 
-Null texts have no quality (score 0) and go in the first stage; rows with a null id are kept like others.
+Null texts have no quality (score 0) and go in the first stage; rows with a null id are kept like others. Columns of any
+name pass through.
 """
 
 from __future__ import annotations
@@ -25,15 +26,18 @@ from rillgraph.llm import _common, linededup, mixing, neardup, packing, quality
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the classifier accepts."""
     model = quality.fit(docs, _common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    rows, back = _common.aside(docs, ("doc_id", "text"))
+    return back(quality.score(rows, model).filter("predicted = 1"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without lines that many documents share."""
-    out = linededup.dedup_lines(docs, min_docs=10)
-    text = F.when(F.col("text").isNotNull(), F.col("kept"))
-    new = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    rows, back = _common.aside(docs, ("text", "n_chars"))
+    out = linededup.dedup_lines(rows, min_docs=10)
+    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return back(out)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Text functions: keywords, n-grams, negation, contradiction."""
+"""Text functions: keywords, n-grams, contradiction, prompt parts."""
 
 from __future__ import annotations
 
@@ -7,13 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Pairs of a statement and its negation, for answers in either language of the engine's texts.
+# Pairs of a statement and its negation, in their order. Other pairs are a parameter of `stance`.
 NEGATIONS = (
-    ("是", "不是"), ("有", "没有"), ("能", "不能"), ("可以", "不可以"), ("会", "不会"), ("应该", "不应该"), ("需要", "不需要"),
-    ("yes", "no"), ("with", "without"), ("can", "cannot"), ("likely", "unlikely"), ("safe", "unsafe"), ("stable", "unstable"),
-)
-
-#: Words that say little; callers extend them from a file.
+    ("有效", "无效"),
+    ("可以", "不可以"),
+    ("应该", "不应该"),
+    ("能", "不能"),
+    ("会", "不会"),
+    ("是", "不是"),
+    ("有", "没有"),
+    ("需要", "不需要"),
+    ("正确", "错误"),
+    ("安全", "危险"),
+    ("推荐", "不推荐"),
+    ("适合", "不适合"),
+    ("必须", "禁止"),
+)
+
+#: Words that say little; callers extend them from a file.
 STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was")
 
 
@@ -22,10 +33,14 @@ def round_half(value: Column, digits: int) -> Column:
     return F.floor(value * float(10**digits) + 0.5) / float(10**digits)
 
 
+def _none() -> Column:
+    return F.expr("cast(array() as array<string>)")
+
+
 def keywords(text: Column, least: int = 2, letters: str = "\\p{L}", drop: Sequence[str] = STOPWORDS) -> Column:
-    """The distinct runs of `least` or more letters, in order, without stop words. letters: a character class, \\p{IsHan} for Han."""
+    """The distinct runs of `least` or more letters, in order, without dropped words (stop words, domain names). letters: a character class, \\p{IsHan} for Han."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"{letters}{{{least},}}"), F.lit(0)))
-    return F.array_except(F.coalesce(found, F.expr("cast(array() as array<string>)")), F.array(*map(F.lit, drop)))
+    return F.array_except(F.coalesce(found, _none()), F.array(*map(F.lit, drop)))
 
 
 def keyword_weight(word: Column, known: Column) -> Column:
@@ -33,11 +48,11 @@ def keyword_weight(word: Column, known: Column) -> Column:
     return F.when(known & (F.length(word) >= 4), 1.5).when(known & (F.length(word) >= 3), 1.2).otherwise(1.0)
 
 
-def char_grams(text: Column, sizes: Sequence[int] = (2, 3)) -> Column:
-    """The distinct character n-grams of the text without white space."""
-    bare = F.regexp_replace(F.lower(text), "\\s+", "")
-    # a one-element array binds the text, which the inner function would otherwise make anew for every place
-    return F.flatten(F.transform(F.array(bare), lambda t: F.array_distinct(F.flatten(F.array(*(_of_size(t, n) for n in sizes))))))
+def char_grams(text: Column, sizes: Sequence[int] = (2, 3), letters: str = "\\p{L}", drop: Sequence[str] = STOPWORDS) -> Column:
+    """The distinct character n-grams within the runs of letters, stop words left out."""
+    runs = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"{letters}+"), F.lit(0)), _none())
+    grams = F.flatten(F.transform(runs, lambda r: F.flatten(F.array(*(_of_size(r, n) for n in sizes)))))
+    return F.array_except(grams, F.array(*map(F.lit, drop)))
 
 
 def _of_size(t: Column, n: int) -> Column:
@@ -46,28 +61,30 @@ def _of_size(t: Column, n: int) -> Column:
 
 
 def jaccard(a: Column, b: Column, empty: float) -> Column:
-    """Intersection over union of two arrays; `empty` if both are."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Intersection over union of two arrays of distinct values; `empty` if both are."""
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - both
+    return F.when(union == 0, F.lit(empty)).otherwise(both / union)
 
 
-def contradicts(a: Column, b: Column, pairs: Sequence[tuple[str, str]] = NEGATIONS) -> Column:
-    """Whether one text says a statement and the other its negation; the negation is masked before the statement is sought."""
+def stance(text: Column, pairs: Sequence[tuple[str, str]] = NEGATIONS) -> Column:
+    """struct<says long, denies long>: a bit per pair whose statement alone, or negation alone, the text holds.
 
-    def says(text: Column, yes: str, no: str) -> Column:
-        return F.contains(F.replace(text, F.lit(no), F.lit("\u0001")), F.lit(yes))
+    Where the statement is a part of its negation, a text with the negation does not hold the statement.
+    """
+    says, denies = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for i, (yes, no) in enumerate(pairs):
+        has_yes, has_no = F.contains(text, F.lit(yes)), F.contains(text, F.lit(no))
+        only_no = has_no if yes in no else has_no & ~has_yes
+        bit = F.lit(1 << i).cast("long")
+        says = says.bitwiseOR(F.when(has_yes & ~has_no, bit).otherwise(0))
+        denies = denies.bitwiseOR(F.when(only_no, bit).otherwise(0))
+    return F.struct(says.alias("says"), denies.alias("denies"))
 
-    out = F.lit(False)
-    for yes, no in pairs:
-        one = says(a, yes, no) & F.contains(b, F.lit(no)) & ~says(b, yes, no)
-        other = says(b, yes, no) & F.contains(a, F.lit(no)) & ~says(a, yes, no)
-        out = out | one | other
-    return out
 
-
-def merged_answers(answers: Column) -> Column:
-    """Distinct answers, one below the other."""
-    return F.array_join(F.array_distinct(answers), "\n")
+def contradicts(a: Column, b: Column) -> Column:
+    """Whether of two stances one says what the other denies."""
+    return a["says"].bitwiseAND(b["denies"]).bitwiseOR(a["denies"].bitwiseAND(b["says"])) != 0
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -75,11 +92,12 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor(F.length(text) * 0.6).cast("long")
 
 
-def negated(text: Column, token: Column, words: Sequence[str] = ("not", "no", "never", "不", "没"), scope: int = 4) -> Column:
-    """Whether a token's first occurrence starts within `scope` characters after a negation word's first occurrence ends."""
-    at = F.instr(text, token)
-    out = F.lit(False)
-    for w in words:
-        end = F.instr(text, F.lit(w)) + len(w)
-        out = out | ((F.instr(text, F.lit(w)) > 0) & (at > 0) & (at >= end) & (at < end + scope))
-    return out
+def without_marks(title: Column) -> Column:
+    """A title without what stands before its first letter or digit."""
+    return F.trim(F.regexp_replace(title, "^[^\\p{L}\\p{N}_]+", ""))
+
+
+def timestamp_of(text: Column) -> Column:
+    """An ISO 8601 time; failing that, the same without its zone; else null. Times with a zone are taken as they are written."""
+    bare = F.regexp_replace(text, "(Z+|\\+.*)$", "")
+    return F.coalesce(F.try_to_timestamp(bare), F.try_to_timestamp(F.replace(bare, F.lit("T"), F.lit(" "))))

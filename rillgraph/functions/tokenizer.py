@@ -1,137 +1,151 @@
-"""Greedy tokenizer of query texts against a vocabulary of labels and aliases.
+"""Greedy tokenizer of query texts against labels and aliases.
 
-Order: the whole text as a label, as an alias, as a label within one edit; then negation words split it, each part is
-read by longest match up to eight characters, what is left over is tried as an alias, letter by letter combinations
-within one edit, and runs of letters and digits. A scan of this kind has no set form, so it is an Arrow function; the
-vocabulary is sent to each worker once and must fit there.
+Runs of the greedy script (Han, as a rule) are split at negation words; a part is tried whole, as a label, as an alias, as
+a label within one edit, and else read by longest match up to eight characters; characters left over side by side are
+tried together within one edit, then each alone. Words of Latin letters and digits are matched whole. A match that
+begins within four characters after a negation word is excluded.
+
+What a text may match is found by joins: all its candidate strings are exploded and looked up among labels, aliases and,
+within one edit, labels again, so no vocabulary goes to a worker. Only the order of the choices, which has no set form,
+is an Arrow function over one query's own finds.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillgraph.operators.graph import fuzzy_match
 from rillgraph.session import share_code
 
 LONGEST = 8
 SCOPE = 4
-NEGATION_WORDS = ("没有", "不是", "不能", "不会", "不", "没", "无", "非")  # fixed values: longest first
+# The negation words.
+NEGATION_WORDS = ("不是", "并非", "没有", "不会", "不能", "不要", "并非是", "不", "没", "非", "无", "别", "莫", "勿")
+HAN = "[一-鿿]+"
 TOKEN = "query_id long, pos int, text string, how string, label string, excluded boolean"
 
+_NEGATION = re.compile("|".join(sorted(NEGATION_WORDS, key=len, reverse=True)))
+_WORD = re.compile("[a-zA-Z0-9]+")
 
-@dataclass(frozen=True)
-class Vocabulary:
-    """labels with their out-degree, and aliases with their label."""
-
-    labels: Mapping[str, int]
-    aliases: Mapping[str, str]
+#: What a string may be: (how, label) in the order of preference exact, alias, fuzzy.
+Finds = Mapping[str, tuple[str, str]]
+Token = tuple[str, str, str | None]
 
-    def near(self, word: str) -> str | None:
-        """The label within one edit, by degree, then name; single characters are not tried.
 
-        Labels are posted under themselves and each form with one character left out; two words within one edit
-        share such a form.
-        """
-        if len(word) < 2:
-            return None
-        cut = {word[:i] + word[i + 1 :] for i in range(len(word))} | {word}
-        hits = {w for form in cut for w in self._posted().get(form, ()) if _within_one(word, w)}
-        return min(hits, key=lambda w: (-self.labels[w], w), default=None)
+def _parts(text: str, script: re.Pattern) -> list[str]:
+    """The parts between negation words of all runs of the greedy script."""
+    return [p for run in script.findall(text) for p in _NEGATION.split(run) if p]
 
-    def _posted(self) -> dict[str, list[str]]:
-        if not hasattr(self, "_forms"):
-            forms: dict[str, list[str]] = {}
-            for w in self.labels:
-                for form in {w[:i] + w[i + 1 :] for i in range(len(w))} | {w}:
-                    forms.setdefault(form, []).append(w)
-            object.__setattr__(self, "_forms", forms)
-        return self._forms
 
+def candidates(text: str | None, script: str = HAN) -> set[str]:
+    """Every string of a text that a token may be."""
+    parts = _parts(text or "", re.compile(script))
+    whole = "".join(parts)
+    short = {whole[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(whole) - n + 1)}
+    return short | set(parts) | set(_WORD.findall(text or ""))
 
-def _within_one(a: str, b: str) -> bool:
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
-    short, long = sorted((a, b), key=len)
-    return len(long) - len(short) == 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
 
-
-def tokens(text: str | None, v: Vocabulary) -> list[tuple[str, str, str | None, bool]]:
-    """(text, how, label, excluded) of one query; how: exact, alias, fuzzy or unmatched."""
-    text = (text or "").strip()
-    if not text:
-        return []
-    if text in v.labels:
-        return [(text, "exact", text, False)]
-    if text in v.aliases:
-        return [(text, "alias", v.aliases[text], False)]
-    if 2 <= len(text) <= LONGEST and (near := v.near(text)):
-        return [(text, "fuzzy", near, False)]
-    ends, parts, at, start = [], [], 0, 0
-    while at < len(text):
-        word = next((w for w in NEGATION_WORDS if text.startswith(w, at)), None)
-        if word:
-            parts.append((start, text[start:at]))
-            at += len(word)
-            ends.append(at)
-            start = at
-        else:
-            at += 1
-    parts.append((start, text[start:]))
-    out = []
-    for begin, part in parts:
-        out += _scan(begin, part, v)
-    return [(t, how, label, any(e <= text.find(t) < e + SCOPE for e in ends)) for _, t, how, label in sorted(out)]
-
-
-def _scan(begin: int, part: str, v: Vocabulary) -> list[tuple[int, str, str, str | None]]:
-    out, left, i = [], [], 0
-    while i < len(part):
-        for n in range(min(LONGEST, len(part) - i), 0, -1):
-            piece = part[i : i + n]
-            if piece in v.labels or piece in v.aliases:
-                how = "exact" if piece in v.labels else "alias"
-                out.append((begin + i, piece, how, piece if how == "exact" else v.aliases[piece]))
-                i += n
+def _scan(part: str, finds: Finds) -> Iterator[Token]:
+    """Longest match from the left; a character that begins none is left over."""
+    at = 0
+    while at < len(part):
+        for n in range(min(LONGEST, len(part) - at), 0, -1):
+            how, label = finds.get(part[at : at + n], ("", ""))
+            if how in ("exact", "alias"):
+                yield part[at : at + n], how, label
+                at += n
                 break
         else:
-            left.append(i)
-            i += 1
-    runs: list[list[int]] = []
-    for i in left:
-        if runs and runs[-1][-1] == i - 1:
-            runs[-1].append(i)
-        else:
-            runs.append([i])
-    for run in runs:
-        piece = part[run[0] : run[-1] + 1]
-        hit = next(((a, n, near) for n in range(min(LONGEST, len(piece)), 1, -1) for a in range(len(piece) - n + 1) if (near := v.near(piece[a : a + n]))), None)
-        if hit:
-            a, n, near = hit
-            out.append((begin + run[0] + a, piece[a : a + n], "fuzzy", near))
-            piece = piece[:a] + " " * n + piece[a + n :]
-        for word in piece.split():
-            out.append((begin + run[0] + piece.find(word), word, "unmatched", None))
-    return out
+            yield part[at], "unmatched", None
+            at += 1
 
 
-def tokenize(queries: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """query_id, pos, text, how, label, excluded for queries (query_id, text)."""
-    shared = share_code(queries.sparkSession).sparkContext.broadcast(vocabulary)
+def _combined(found: list[Token], finds: Finds) -> list[Token]:
+    """Characters left over side by side: the longest, then leftmost string of them within one edit; then each alone."""
+    out: list[Token] = []
+    i = 0
+    while i < len(found):
+        j = i
+        while j < len(found) and found[j][1] == "unmatched" and len(found[j][0]) == 1:
+            j += 1
+        left = "".join(t for t, _, _ in found[i:j])
+        spans = ((a, n) for n in range(min(len(left), LONGEST), 1, -1) for a in range(len(left) - n + 1))
+        hit = next(((a, n) for a, n in spans if finds.get(left[a : a + n], ("",))[0] == "fuzzy"), None)
+        if hit:
+            a, n = hit
+            out += [*found[i : i + a], (left[a : a + n], *finds[left[a : a + n]]), *found[i + a + n : j]]
+        else:
+            out += found[i:j]
+        if j == i:
+            out.append(found[i])
+            j += 1
+        i = j
+    alone = lambda t: (t[0], *finds[t[0]]) if t[1] == "unmatched" and finds.get(t[0], ("",))[0] == "fuzzy" else t
+    return [alone(t) for t in out]
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+
+def tokens(text: str | None, finds: Finds, script: str = HAN) -> list[tuple[str, str, str | None, bool]]:
+    """(text, how, label, excluded) of one query; how: exact, alias, fuzzy or unmatched."""
+    text = text or ""
+    found: list[Token] = []
+    for part in _parts(text, re.compile(script)):
+        how, label = finds.get(part, ("", None))
+        if how in ("exact", "alias") or (how == "fuzzy" and 2 <= len(part) <= LONGEST):
+            found.append((part, how, label))
+        else:
+            found += _scan(part, finds)
+    found = _combined(found, finds)
+    for word in _WORD.findall(text):
+        how, label = finds.get(word, ("unmatched", None))
+        found.append((word, how, label) if how in ("exact", "alias") else (word, "unmatched", None))
+    ends = [m for w in NEGATION_WORDS for m in (x.end() for x in re.finditer(f"(?={w})", text)) for m in (m + len(w),)]
+    return [(t, how, label, how != "unmatched" and any(e <= text.find(t) < e + SCOPE for e in ends)) for t, how, label in found]
+
+
+def lookup(words: DataFrame, labels: DataFrame, aliases: DataFrame) -> DataFrame:
+    """word, how, label of the words (word) that match: as a label, as an alias, or within one edit of a label (label, degree)."""
+    exact = labels.select(F.col("label").alias("word"), F.lit(0).alias("rank"), F.lit("exact").alias("how"), "label")
+    alias = aliases.select(F.col("alias").alias("word"), F.lit(1).alias("rank"), F.lit("alias").alias("how"), "label")
+    plain = words.select("word").distinct()
+    known = plain.join(exact.unionAll(alias), "word").groupBy("word").agg(F.min(F.struct("rank", "how", "label")).alias("m")).select("word", "m.how", "m.label")
+    near = fuzzy_match(plain.filter(F.length("word") <= LONGEST).join(known, "word", "left_anti"), labels)
+    return known.unionByName(near.select("word", F.lit("fuzzy").alias("how"), "label"))
+
+
+def tokenize(queries: DataFrame, labels: DataFrame, aliases: DataFrame, script: str = HAN) -> DataFrame:
+    """query_id, pos, text, how, label, excluded for queries (query_id, text); labels: label, degree; aliases: alias, label.
+
+    Repeated query ids are one query each time they come with another text. Null and empty texts have no token.
+    """
+    share_code(queries.sparkSession)
+    rows = queries.select(F.col("query_id").cast("long"), "text").filter("text is not null").distinct()
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            of = [(q, t, w) for q, t in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True) for w in candidates(t, script)]
+            q, t, w = zip(*of, strict=True) if of else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(t, pa.string()), pa.array(w, pa.string())], names=["query_id", "text", "word"])
+
+    asked = rows.mapInArrow(explode, "query_id long, text string, word string")
+    finds = lookup(asked.select("word"), labels, aliases)
+    of = asked.join(finds, "word").groupBy("query_id", "text").agg(F.collect_list(F.struct("word", "how", "label")).alias("finds"))
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
+        for r in batches:
             out = []
-            for q, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                out += [(q, i, *t) for i, t in enumerate(tokens(text, shared.value))]
+            for q, text, own in zip(*(c.to_pylist() for c in r.columns), strict=True):
+                known = {f["word"]: (f["how"], f["label"]) for f in own or ()}
+                out += [(q, i, *t) for i, t in enumerate(tokens(text, known, script))]
             cols = list(zip(*out, strict=True)) or [[]] * 6
-            types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["query_id", "pos", "text", "how", "label", "excluded"])
 
-    return queries.select(F.col("query_id").cast("long"), "text").mapInArrow(task, TOKEN)
+    return rows.join(of, ["query_id", "text"], "left").select("query_id", "text", "finds").mapInArrow(order, TOKEN)
 
 
 def matched_seeds(found: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillgraph.config import CONFIG
@@ -11,6 +10,10 @@ from rillgraph.functions.columns import cycles_since, goal_id
 from rillgraph.functions.text import round_half
 
 
+# The monitors of the system as a whole.
+SYSTEM_MONITORS = ("system_total_nodes", "system_total_edges", "system_avg_confidence", "system_distillation_rate", "system_seed_growth_rate")
+
+
 def last_n(history: DataFrame, n: int) -> DataFrame:
     """The newest n rows of a log."""
     return history.orderBy(F.desc("created_at"), F.desc("query_id")).limit(n)
@@ -40,8 +43,7 @@ def monitors(seeds: DataFrame, edges: DataFrame, have: DataFrame) -> DataFrame:
     """label, category, source of monitor nodes that are not there yet: one per domain, per relation, and five of the system."""
     d = seeds.filter("domain <> ''").select(F.concat(F.lit("meta:domain:"), "domain").alias("label"), F.lit("domain").alias("category"), F.col("domain").alias("source_domain"))
     r = edges.select(F.concat(F.lit("meta:relation:"), "relation"), F.lit("relation"), F.lit("").alias("s"))
-    names = ("density", "confidence", "pool", "conflict", "boundary")
-    s = seeds.sparkSession.createDataFrame([(f"meta:system:{n}", "system", "") for n in names], "label string, category string, source_domain string")
+    s = seeds.sparkSession.createDataFrame([(f"meta:{n}", "system", n) for n in SYSTEM_MONITORS], "label string, category string, source_domain string")
     return d.unionAll(r).unionAll(s).distinct().join(have.select("label"), "label", "left_anti")
 
 
@@ -56,11 +58,11 @@ def monitor_edges(metrics: DataFrame) -> DataFrame:
 
 
 def dormancy(state: DataFrame) -> DataFrame:
-    """Next status of monitors (label, status, unchanged, changed): dormant after 100 unchanged cycles, active on change, retired after 300."""
-    n = F.when(F.col("changed"), 0).otherwise(F.col("unchanged") + 1)
+    """Next status of monitors (label, status, unchanged, changed), one step a cycle: dormant after 100 unchanged cycles, from there active on change or retired after 300."""
+    n = F.when(F.col("status") == "retired", F.col("unchanged")).when(F.col("changed"), 0).otherwise(F.col("unchanged") + 1)
     status = (
-        F.when((F.col("status") == "dormant") & F.col("changed"), "active").when((F.col("status") != "retired") & (n >= CONFIG.retired_cycles), "retired")
-        .when((F.col("status") == "active") & (n >= CONFIG.dormant_cycles), "dormant").otherwise(F.col("status"))
+        F.when((F.col("status") == "active") & (n >= CONFIG.dormant_cycles), "dormant").when((F.col("status") == "dormant") & F.col("changed"), "active")
+        .when((F.col("status") == "dormant") & (n >= CONFIG.retired_cycles), "retired").otherwise(F.col("status"))
     )
     return state.select("label", status.alias("status"), n.cast("long").alias("unchanged"))
 
@@ -68,7 +70,7 @@ def dormancy(state: DataFrame) -> DataFrame:
 def goals(domains: DataFrame, as_of: Column) -> DataFrame:
     """goal_id, domain, kind: what triggers exploration. domains: domain, low_count, density, avg_density, conflicts."""
     kinds = F.array(
-        F.when(F.col("low_count") >= CONFIG.goal_low_conf, "low_confidence"),
+        F.when(F.col("low_count") > CONFIG.goal_low_conf, "low_confidence"),
         F.when(F.col("density") < F.col("avg_density") * CONFIG.goal_density_ratio, "low_density"),
         F.when(F.col("conflicts") > CONFIG.conflict_alert, "high_conflict"),
     )
@@ -124,5 +126,58 @@ def alerts(edges: DataFrame, events: DataFrame, as_of: Column) -> DataFrame:
 
 def newest(rows: DataFrame, keep: int) -> DataFrame:
     """checkpoint rows (id, created_at) with keep: the newest ones stay."""
-    rank = F.row_number().over(W.orderBy(F.desc("created_at"), F.desc("id")))
-    return rows.withColumn("kept", rank <= keep)
+    first = rows.orderBy(F.desc("created_at"), F.desc("id")).limit(keep).select("id", F.lit(True).alias("__kept"))
+    return rows.join(first, "id", "left").withColumn("kept", F.coalesce("__kept", F.lit(False))).drop("__kept")
+
+
+def term_goals(terms: DataFrame, as_of: Column, above: int = CONFIG.goal_low_conf) -> DataFrame:
+    """goal_id, domain, kind of unmatched terms (domain, n) seen more than `above` times."""
+    often = terms.filter(F.col("n") > above).select("domain", F.lit("new_term").alias("kind")).distinct()
+    return often.select(goal_id(F.col("domain"), F.col("kind"), as_of).alias("goal_id"), "domain", "kind")
+
+
+def merged_goals(have: DataFrame, triggered: DataFrame, as_of: Column) -> DataFrame:
+    """goal_id, domain, kind, status, weight, touched: a trigger (goal_id, domain, kind, weight) renews the open goal of its domain and kind, or makes a pending one."""
+    new = triggered.select("domain", "kind", F.col("goal_id").alias("__id"), F.col("weight").alias("__w"))
+    open_ = have.filter(F.col("status").isin("pending", "exploring")).join(new, ["domain", "kind"], "full_outer")
+    hit = F.col("__id").isNotNull()
+    open_ = open_.select(
+        F.coalesce("goal_id", "__id").alias("goal_id"), "domain", "kind", F.coalesce("status", F.lit("pending")).alias("status"),
+        F.when(hit, F.col("__w")).otherwise(F.col("weight")).alias("weight"), F.when(hit, as_of).otherwise(F.col("touched")).alias("touched"),
+    )
+    closed = have.filter(~F.col("status").isin("pending", "exploring")).select(*open_.columns)
+    return open_.unionByName(closed)
+
+
+def cooling_history(goals_: DataFrame, as_of: Column) -> DataFrame:
+    """goal_id, before, after, old_weight, new_weight, reason: a row for each pending goal that a cooling changes."""
+    stale = goals_.filter((F.col("status") == "pending") & (cycles_since(as_of, F.col("touched")) >= CONFIG.goal_decay_cycles))
+    new = round_half(F.col("weight") * CONFIG.goal_decay, 4)
+    gone = new < CONFIG.goal_expire
+    return stale.select("goal_id", F.col("status").alias("before"), F.when(gone, "expired").otherwise("pending").alias("after"), F.col("weight").alias("old_weight"), new.alias("new_weight"), F.when(gone, "decay_expire").otherwise("decay").alias("reason"))
+
+
+def decay_grid(stats: DataFrame, grid: list[float], near: float = 0.1, decay: float = CONFIG.ripple_decay) -> DataFrame:
+    """decay, precision of each value of a grid over log rows (decay_factor, ripple_depth, activated_count).
+
+    Rows within `near` of a value speak for it, all rows where there is none. Their mean of depth over the root of the
+    count is compared with what it would be at the value.
+    """
+    close = lambda d: F.abs(F.col("decay_factor") - d) <= near + 1e-9
+    use = F.col("activated_count") > 0
+    value = F.round(F.col("ripple_depth") / F.sqrt("activated_count"), 9).cast("decimal(28,9)")
+    parts = [x for i, d in enumerate(grid) for x in (F.count_if(close(d)).alias(f"c{i}"), F.sum(F.when(use & close(d), value)).alias(f"s{i}"))]
+    sums = stats.agg(*parts, F.sum(F.when(use, value)).alias("all"))
+    rows = F.array(*(F.struct(F.lit(d).alias("decay"), F.when(F.col(f"c{i}") > 0, F.col(f"s{i}")).otherwise(F.col("all")).alias("total")) for i, d in enumerate(grid)))
+    theory = F.lit(decay) / F.col("r.decay")
+    precision = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(1 - theory) / theory))
+    return sums.select(F.explode(rows).alias("r")).select("r.decay", F.when(F.coalesce(F.col("r.total"), F.lit(0)) == 0, 0.0).otherwise(F.round(precision, 6)).alias("precision"))
+
+
+def quality_grid(history: DataFrame, grid: list[float], low: float = CONFIG.confidence_low) -> DataFrame:
+    """threshold, positive, negative, quality: what shares would be reinforced and corrected at each threshold."""
+    rows = history.withColumn("threshold", F.explode(F.array(*map(F.lit, grid)))).groupBy("threshold")
+    p, n = F.count_if(F.col("confidence") >= F.col("threshold")), F.count_if((F.col("confidence") < F.col("threshold")) & (F.col("confidence") < low))
+    out = rows.agg(p.alias("p"), n.alias("n"), F.count("*").alias("all"))
+    quality = F.coalesce(2 * F.col("p") / F.nullif(2 * F.col("p") + F.col("n"), F.lit(0)), F.lit(0.0))
+    return out.select("threshold", F.round(F.col("p") / F.col("all"), 6).alias("positive"), F.round(F.col("n") / F.col("all"), 6).alias("negative"), F.round(quality, 6).alias("quality"))

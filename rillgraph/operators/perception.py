@@ -1,7 +1,9 @@
-"""Perception nodes: presets, and activations from features."""
+"""Perception nodes: presets, activations from features, alignment of vectors."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +40,21 @@ def _out(df: DataFrame, frame: str, rules: list) -> DataFrame:
     return df.select(*_fired(frame, rules)).select(frame, "a.seed", F.least(F.lit(1.0), F.col("a.activation")).alias("activation"))
 
 
+def _at(seed: str) -> float:
+    """The preset threshold of a node."""
+    return next(t for label, _, t in PRESETS if label == f"percept:{seed}")
+
+
+def clamped(value: float, default: float, most: float | None = 1.0) -> float:
+    """A configured threshold, or the default where it is below 0 or above `most` (None: no upper bound)."""
+    return value if value >= 0 and (most is None or value <= most) else default
+
+
 def visual(features: DataFrame) -> DataFrame:
     """frame_id, seed, activation of red, green, blue, brightness and edges beyond their thresholds."""
-    r = [(f"percept:visual:{c}", F.col(c) > 0.3, F.col(c)) for c in ("red", "green", "blue")]
-    r += [("percept:visual:bright", F.col("brightness") > 0.7, F.col("brightness")), ("percept:visual:dark", F.col("brightness") < 0.3, 1 - F.col("brightness")), ("percept:visual:edge_dense", F.col("edges") > 0.4, F.col("edges"))]
+    r = [(f"percept:visual:{c}", F.col(c) > _at(f"visual:{c}"), F.col(c)) for c in ("red", "green", "blue")]
+    light, edges = F.col("brightness"), F.col("edges")
+    r += [("percept:visual:bright", light > _at("visual:bright"), light), ("percept:visual:dark", light < _at("visual:dark"), 1 - light), ("percept:visual:edge_dense", edges > _at("visual:edge_dense"), edges)]
     return _out(features, "frame_id", r)
 
 
@@ -71,3 +84,33 @@ def strategy(domains: DataFrame, external: bool = False) -> DataFrame:
     """domain, strategy from counts (domain, seeds, edges, pending): internal, candidate_upgrade, external or none."""
     inside = (F.col("seeds") > 0) & (F.col("edges") > 0)
     return domains.select("domain", F.when(inside, "internal").when(F.col("pending") > 0, "candidate_upgrade").when(F.lit(external), "external").otherwise("none").alias("strategy"))
+
+
+def aligned(vectors: DataFrame, threshold: float = 0.3, block: int = 1024) -> DataFrame:
+    """id, n, best, similarity: of each vector (id, label, x array<double>) with others of its label above the threshold, how many, and the nearest.
+
+    A label's vectors are cut into blocks, and each pair of blocks is one task's product; a block goes to as many tasks
+    as its label has blocks. Null and zero vectors have no cosine; lengths of a label agree.
+    """
+    size = vectors.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = vectors.filter(F.exists("x", lambda v: v != 0)).join(size, "label").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "x")
+
+    def unit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        ids, own = pdf["id"].to_numpy(), pdf["own"].to_numpy()
+        x = np.stack(pdf["x"].to_list())
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        cos = x @ x.T
+        ok = (cos > threshold) & (ids[:, None] != ids[None, :])
+        if pdf["a"].iloc[0] != pdf["b"].iloc[0]:
+            ok &= own[:, None] != own[None, :]
+        near = np.where(ok, np.round(cos, 6), -2.0)
+        best = near.argmax(1)  # the smallest id of equal ones
+        use = ok.any(1)
+        return pd.DataFrame({"id": ids[use], "n": ok.sum(1)[use], "best": ids[best][use], "similarity": near.max(1)[use]})
+
+    found = rows.groupBy("label", "a", "b").applyInPandas(unit, "id long, n long, best long, similarity double")
+    nearest = F.max(F.struct("similarity", (-F.col("best")).alias("b")))
+    return found.groupBy("id").agg(F.sum("n").alias("n"), nearest.alias("m")).select("id", "n", (-F.col("m.b")).alias("best"), "m.similarity")

@@ -1,8 +1,9 @@
 """Spreading activation for many queries at once: one join and one aggregation per wave.
 
 Every wave the frontier meets the edges on the source; contributions are summed per (query, target) and merged into
-the state. Nodes that are new become the next frontier; active ones gain but emit no more. Activation is that at the
-wave's start, so the result does not depend on row order.
+the state by one aggregation over both. Nodes that are new become the next frontier; active ones gain but emit no more.
+Activation is that at the wave's start, so the result does not depend on row order. The edges and each wave's state are
+written once, so that a wave reads its predecessor instead of computing it again, and lost executors cost one wave.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rillgraph.config import CONFIG
 from rillgraph.functions.columns import domain_or, exact_sum, layered_weight
+from rillgraph.session import written
 
 
 @dataclass(frozen=True)
@@ -34,19 +36,38 @@ def preactivated(users: DataFrame, edges: DataFrame) -> DataFrame:
     return base.unionByName(near.select("query_id", F.col("target").alias("label"), "activation", F.lit(1).alias("depth"), "parent"))
 
 
+def _merged(state: DataFrame, hop: DataFrame, wave: int) -> DataFrame:
+    """The state after a wave's contributions: one shuffle of both."""
+    nothing = lambda kind: F.lit(None).cast(kind)
+    old = state.select("query_id", "label", "activation", "depth", "parent", "emits", nothing("double").alias("contribution"), nothing("string").alias("source"))
+    new = hop.select("query_id", F.col("target").alias("label"), nothing("double").alias("activation"), nothing("int").alias("depth"), nothing("string").alias("parent"), nothing("boolean").alias("emits"), "contribution", "source")
+    # rows without a contribution have no order, so the strongest source is sought among the others
+    strongest = F.min_by("source", F.when(F.col("contribution").isNotNull(), F.struct(-F.col("contribution"), F.col("source"))))
+    sums = old.unionAll(new).groupBy("query_id", "label").agg(
+        F.max("activation").alias("activation"), F.min("depth").alias("depth"), F.max("parent").alias("parent"), F.max("emits").alias("emits"),
+        exact_sum(F.col("contribution")).alias("gain"), strongest.alias("from"),
+    )
+    total = F.least(F.lit(CONFIG.max_activation), F.coalesce("activation", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0)))
+    parent = F.when(F.col("depth").isNull(), F.col("from")).otherwise(F.col("parent"))
+    return sums.select("query_id", "label", total.alias("activation"), F.coalesce("depth", F.lit(wave)).alias("depth"), parent.alias("parent"), F.coalesce("emits", F.lit(True)).alias("emits"))
+
+
 def ripple(matched: DataFrame, edges: DataFrame, depth: int = CONFIG.ripple_depth, users: DataFrame | None = None, personal: DataFrame | None = None, cold: DataFrame | None = None, virtual: bool = False) -> Ripple:
     """Activate from matched (query_id, label) over edges (source, target, relation, weight).
 
     users (query_id, user_label) pre-activate and, with personal (user_label, source, target, relation, weight) and
     cold (user_label, factor), change the weights that leave matched nodes. Nodes named meta: emit nothing.
     """
-    edges = edges.filter(~F.col("source").startswith("meta:"))
-    frontier = matched.select("query_id", "label").distinct().withColumns({"activation": F.lit(CONFIG.initial_activation), "depth": F.lit(0), "parent": F.lit(None).cast("string")})
-    state = frontier
+    edges = written(edges.filter(~F.col("source").startswith("meta:")), "ripple-edges")
+    state = matched.select("query_id", "label").distinct().withColumns({"activation": F.lit(CONFIG.initial_activation), "depth": F.lit(0), "parent": F.lit(None).cast("string"), "emits": F.lit(True)})
     if users is not None:
-        state = state.unionByName(preactivated(users, edges).join(frontier.select("query_id", "label"), ["query_id", "label"], "left_anti"))
+        # what only the user's node points to is active but emits nothing
+        before = preactivated(users, edges).join(matched.select("query_id", "label"), ["query_id", "label"], "left_anti")
+        state = state.unionByName(before.withColumn("emits", F.lit(False)))
     paths = None
     for wave in range(1, depth + 1):
+        state = written(state, "ripple-state")
+        frontier = state.filter(F.col("emits") & (F.col("depth") == wave - 1))
         hop = frontier.select("query_id", F.col("label").alias("source"), F.col("activation").alias("emitted")).join(edges, "source")
         own, factor = F.lit(0.0), F.lit(1.0)
         if users is not None and personal is not None and wave == 1:
@@ -59,15 +80,8 @@ def ripple(matched: DataFrame, edges: DataFrame, depth: int = CONFIG.ripple_dept
         weight = layered_weight(F.col("weight"), own, factor, virtual)
         hop = hop.select("query_id", "source", "target", "relation", weight.alias("weight"), F.lit(wave).alias("depth"), (F.col("emitted") * weight * CONFIG.ripple_decay**wave).alias("contribution"))
         paths = hop if paths is None else paths.unionByName(hop)
-        gained = hop.groupBy("query_id", F.col("target").alias("label")).agg(exact_sum(F.col("contribution")).alias("gain"), F.min_by("source", F.struct(-F.col("contribution"), F.col("source"))).alias("from"))
-        merged = state.join(gained, ["query_id", "label"], "full_outer")
-        total = F.least(F.lit(CONFIG.max_activation), F.coalesce("activation", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0)))
-        state = merged.select("query_id", "label", total.alias("activation"), F.coalesce("depth", F.lit(wave)).alias("depth"), F.when(F.col("depth").isNull(), F.col("from")).otherwise(F.col("parent")).alias("parent"))
-        frontier = state.filter(F.col("depth") == wave).filter("parent is not null")
-        if users is not None and wave == 1:
-            # what only the user's node points to was active before and emits nothing
-            frontier = frontier.join(preactivated(users, edges).select("query_id", "label"), ["query_id", "label"], "left_anti")
-    return Ripple(state, paths)
+        state = _merged(state, hop, wave)
+    return Ripple(state.drop("emits"), paths)
 
 
 def domain_scores(activated: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -94,10 +108,16 @@ def top_paths(paths: DataFrame, k: int = CONFIG.top_k_paths) -> DataFrame:
     return paths.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def learning_paths(paths: DataFrame, targets: DataFrame, cap: int = CONFIG.max_pairs) -> DataFrame:
-    """Paths whose both ends are among the targets (query_id, label), once per pair (first relation), capped per query in path order."""
-    ends = targets.select("query_id", "label").distinct()
-    kept = paths.join(ends.withColumnRenamed("label", "source"), ["query_id", "source"], "left_semi").join(ends.withColumnRenamed("label", "target"), ["query_id", "target"], "left_semi")
+def learning_paths(paths: DataFrame, targets: DataFrame | None = None, cap: int = CONFIG.max_pairs) -> DataFrame:
+    """Paths once per pair (first relation), capped per query in path order.
+
+    targets (query_id, label), such as the top 20 of each query, keeps paths with both ends among them; without it all
+    active nodes count, which both ends of a path always are.
+    """
+    kept = paths
+    if targets is not None:
+        ends = targets.select("query_id", "label").distinct()
+        kept = paths.join(ends.withColumnRenamed("label", "source"), ["query_id", "source"], "left_semi").join(ends.withColumnRenamed("label", "target"), ["query_id", "target"], "left_semi")
     first = kept.groupBy("query_id", "source", "target").agg(F.min(F.struct("depth", "relation")).alias("m"))
     order = W.partitionBy("query_id").orderBy("m.depth", "source", "target")
     return first.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= cap).select("query_id", "source", "target", F.col("m.relation").alias("relation"), F.col("m.depth").alias("depth"))

@@ -1,13 +1,17 @@
-"""Verification of answers against the activated region, and cross-validation between answers."""
+"""Verification of answers against the activated region, cross-validation between answers, and their rendering."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillgraph.config import CONFIG
 from rillgraph.functions import text as T
 from rillgraph.functions.columns import exact_sum
+from rillgraph.session import written
 
 
 def answer_keywords(answers: DataFrame, known: DataFrame, **how) -> DataFrame:
@@ -18,6 +22,11 @@ def answer_keywords(answers: DataFrame, known: DataFrame, **how) -> DataFrame:
     return words.join(k, F.col("word") == F.col("__word"), "left").select("answer_id", "word", T.keyword_weight(F.col("word"), is_known).alias("weight"), is_known.alias("known"))
 
 
+def active_words(active: DataFrame, aliases: DataFrame) -> DataFrame:
+    """word: the active labels (word) and every alias (alias, label) of one."""
+    return active.select("word").union(aliases.join(active.select(F.col("word").alias("label")), "label", "left_semi").select("alias")).distinct()
+
+
 def verify(answers: DataFrame, words: DataFrame, active: DataFrame) -> DataFrame:
     """answer_id, n_keywords, confidence, direction, verdict. words: answer_keywords(); active: word.
 
@@ -38,34 +47,96 @@ def unmatched(words: DataFrame, active: DataFrame) -> DataFrame:
     return words.join(active.select("word"), "word", "left_anti").select("answer_id", "word")
 
 
+def references(words: DataFrame, active: DataFrame, aliases: DataFrame) -> DataFrame:
+    """answer_id, word, label: keywords that are no active label; label is the active node that one is an alias of, else null (unmatched)."""
+    open_ = words.select("answer_id", "word").join(active.select("word"), "word", "left_anti")
+    owner = aliases.join(active.select(F.col("word").alias("label")), "label", "left_semi").select(F.col("alias").alias("word"), "label")
+    return open_.join(owner, "word", "left").select("answer_id", "word", "label")
+
+
 def pairs_of(answers: DataFrame) -> DataFrame:
-    """Pairs (a before b by pos) of one group's answers with their n-grams, made once per answer.
+    """group_id, a, b, jaccard, contradiction of the pairs of a group's answers (group_id, pos, text), a before b by pos.
 
-    answers: group_id, pos, text; groups are a query's few experts.
+    Each answer is read once: its n-grams become hashes and its statements two bit sets, and only those are joined.
+    Groups are a query's few experts.
     """
-    answers = answers.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("grams", T.char_grams(F.col("text")))
-    a = answers.select("group_id", F.col("pos").alias("a"), F.col("text").alias("text_a"), F.col("grams").alias("grams_a"))
-    b = answers.select("group_id", F.col("pos").alias("b"), F.col("text").alias("text_b"), F.col("grams").alias("grams_b"))
-    return a.join(b, "group_id").filter("a < b")
+    grams = F.transform(T.char_grams(F.col("text")), lambda g: F.xxhash64(g))
+    rows = written(answers.select("group_id", "pos", grams.alias("grams"), T.stance(F.coalesce("text", F.lit(""))).alias("stance")), "answers")
+    a, b = (rows.select("group_id", F.col("pos").alias(x), F.col("grams").alias(f"grams_{x}"), F.col("stance").alias(f"stance_{x}")) for x in "ab")
+    both = a.join(b, "group_id").filter("a < b")
+    return both.select("group_id", "a", "b", T.jaccard(F.col("grams_a"), F.col("grams_b"), 1.0).alias("jaccard"), T.contradicts(F.col("stance_a"), F.col("stance_b")).alias("contradiction"))
 
 
 def cross_validate(answers: DataFrame) -> DataFrame:
     """group_id, min_jaccard, contradiction, status, factor: consistent if the least n-gram overlap is above .8 and nothing contradicts."""
-    pairs = pairs_of(answers)
-    j = T.jaccard(F.col("grams_a"), F.col("grams_b"), 1.0)
-    out = pairs.groupBy("group_id").agg(F.round(F.min(j), 6).alias("min_jaccard"), F.bool_or(T.contradicts(F.col("text_a"), F.col("text_b"))).alias("contradiction"))
+    out = pairs_of(answers).groupBy("group_id").agg(F.round(F.min("jaccard"), 6).alias("min_jaccard"), F.bool_or("contradiction").alias("contradiction"))
     fine = (F.col("min_jaccard") > CONFIG.consistency) & ~F.col("contradiction")
     return out.withColumns({"status": F.when(fine, "consistent").otherwise("contested"), "factor": F.when(fine, 1.0).otherwise(CONFIG.discount)})
 
 
+def merged_answers(answers: DataFrame) -> DataFrame:
+    """group_id, merged: the first answer, and below it each later one that has n-grams the first lacks, marked with its name. answers: group_id, pos, name, text."""
+    rows = answers.filter("text is not null").withColumn("grams", T.char_grams(F.col("text")))
+    first = rows.groupBy("group_id").agg(F.min_by(F.struct("pos", "text", "grams"), "pos").alias("first"))
+    later = rows.join(first, "group_id").filter((F.col("pos") > F.col("first.pos")) & (F.size(F.array_except("grams", "first.grams")) > 0))
+    added = later.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.format_string("[%s补充] %s", "name", "text").alias("t")))).alias("added"))
+    text = F.concat_ws("\n\n", F.col("first.text"), F.transform("added", lambda x: x["t"]))
+    return first.join(added, "group_id", "left").select("group_id", text.alias("merged"))
+
+
+def _ordered(items: Column, field: str) -> Column:
+    return F.transform(F.array_sort(F.collect_list(items)), lambda x: x[field])
+
+
 def render_answers(scores: DataFrame, top: DataFrame, seeds: DataFrame, relations: DataFrame) -> DataFrame:
     """query_id, answer: a line per selected domain, then the most active nodes with shortened definitions, then the strongest paths."""
-    lines = scores.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "domain"))).alias("d"))
+    lines = scores.groupBy("query_id").agg(_ordered(F.struct((-F.col("score")).alias("s"), "domain"), "domain").alias("d"))
     named = top.join(seeds.select("label", "definition"), "label", "left")
     item = F.concat("label", F.lit(": "), F.substring(F.coalesce("definition", F.lit("")), 1, 120))
-    nodes = named.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("t")))).alias("n"))
+    nodes = named.groupBy("query_id").agg(_ordered(F.struct("rank", item.alias("t")), "t").alias("n"))
     step = F.concat("source", F.lit(" -"), "relation", F.lit("-> "), "target")
-    paths = relations.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", step.alias("t")))).alias("p"))
+    paths = relations.groupBy("query_id").agg(_ordered(F.struct("rank", step.alias("t")), "t").alias("p"))
     out = lines.join(nodes, "query_id", "left").join(paths, "query_id", "left")
-    text = F.concat_ws("\n", F.array_join(F.transform("d", lambda x: x["domain"]), ", "), F.array_join(F.transform("n", lambda x: x["t"]), "\n"), F.array_join(F.transform("p", lambda x: x["t"]), "\n"))
-    return out.select("query_id", text.alias("answer"))
+    return out.select("query_id", F.concat_ws("\n", F.array_join("d", ", "), F.array_join("n", "\n"), F.array_join("p", "\n")).alias("answer"))
+
+
+def answers_json(activated: DataFrame, scores: DataFrame, seeds: DataFrame, relations: DataFrame, matched: DataFrame) -> DataFrame:
+    """query_id, answer: one JSON object per query with its most active nodes (definitions cut at 200), strongest paths, scores and counts."""
+    from rillgraph.operators.ripple import selected_domains, top_seeds
+
+    named = top_seeds(activated).join(seeds.select("label", "domain", "definition"), "label", "left")
+    node = F.struct("label", F.round("activation", 4).alias("activation"), "domain", F.substring(F.coalesce("definition", F.lit("")), 1, 200).alias("definition"), "depth")
+    nodes = named.groupBy("query_id").agg(_ordered(F.struct("rank", node.alias("t")), "t").alias("activated_seeds"))
+    path = F.struct("source", "target", "relation", "weight", "depth")
+    paths = relations.groupBy("query_id").agg(_ordered(F.struct("rank", path.alias("t")), "t").alias("paths"))
+    by_domain = scores.groupBy("query_id").agg(_ordered(F.struct((-F.col("score")).alias("s"), F.struct("domain", F.round("score", 4).alias("score")).alias("t")), "t").alias("domain_scores"))
+    counts = activated.groupBy("query_id").agg(F.count("*").alias("total_activated")).join(matched.groupBy("query_id").agg(F.count("*").alias("matched_seeds")), "query_id", "left")
+    out = nodes.join(counts, "query_id").join(paths, "query_id", "left").join(by_domain, "query_id", "left").join(selected_domains(scores).withColumnRenamed("domains", "selected_domains"), "query_id", "left")
+    fields = ("query_id", "activated_seeds", "paths", "domain_scores", "selected_domains", "matched_seeds", "total_activated")
+    return out.select("query_id", F.to_json(F.struct(*fields)).alias("answer"))
+
+
+def prompts(nodes: DataFrame, paths: DataFrame, queries: DataFrame, budget: int = CONFIG.context_tokens, chars: int = CONFIG.query_chars) -> DataFrame:
+    """query_id, prompt, tokens: a block of nodes within 60 % of the token budget, one of paths within 40 %, and the query's first characters.
+
+    nodes: query_id, rank, label, domain; paths: query_id, rank, source, relation, target; queries: query_id, text.
+    """
+    from rillgraph.operators.ripple import within_budget
+
+    def block(rows: DataFrame, line: Column, share: float, name: str) -> DataFrame:
+        rows = rows.select("query_id", "rank", line.alias("line")).withColumn("cost", T.estimated_tokens(F.col("line")))
+        kept = within_budget(rows, "cost", ["rank"], budget * share)
+        return kept.groupBy("query_id").agg(F.array_join(_ordered(F.struct("rank", "line"), "line"), "\n").alias(name))
+
+    n = block(nodes, F.concat(F.lit("- "), "label", F.lit(" ("), F.coalesce("domain", F.lit("")), F.lit(")")), 0.6, "n")
+    p = block(paths, F.concat(F.lit("- "), "source", F.lit(" "), "relation", F.lit(" "), "target"), 0.4, "p")
+    out = queries.join(n, "query_id", "left").join(p, "query_id", "left")
+    context = F.concat_ws("\n", F.coalesce("n", F.lit("（无激活概念）")), F.coalesce("p", F.lit("（无概念间关系）")))
+    return out.select("query_id", F.concat_ws("\n", context, F.substring("text", 1, chars)).alias("prompt"), T.estimated_tokens(context).alias("tokens"))
+
+
+def infer(prompts_: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None) -> DataFrame:
+    """query_id, answer by a model: a function over batches of (query_id, prompt) that gives (query_id, answer); without one the prompt's context is the answer."""
+    if model is None:
+        return prompts_.select("query_id", F.col("prompt").alias("answer"))
+    return prompts_.select("query_id", "prompt").mapInPandas(model, "query_id long, answer string")

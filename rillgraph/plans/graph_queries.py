@@ -267,13 +267,13 @@ def missing_edges(spark, sf):
     return G.missing_edges(pairs.select(S.key("part", "l_partkey").alias("a"), S.key("part", "p2").alias("b")), S.part_edges(spark, sf))
 
 
-@query(with_(PART_EDGES, MATCHED, ripple(1)) + """,
-ranked AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY activation DESC, label) AS i FROM state1 WHERE activation >= 0.1::DOUBLE),
+@query(with_(PART_EDGES, MATCHED, ripple(3, virtual=True)) + """,
+ranked AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY activation DESC, label) AS i FROM state3 WHERE activation >= 0.1::DOUBLE),
 pairs AS (SELECT x.query_id, x.label AS a, y.label AS b, row_number() OVER (PARTITION BY x.query_id ORDER BY x.i, y.i) AS n FROM ranked x JOIN ranked y ON x.query_id = y.query_id AND y.i - x.i BETWEEN 1 AND 4)
 SELECT query_id, a, b FROM pairs WHERE n <= 50 AND NOT EXISTS (SELECT 1 FROM part_edges e WHERE least(e.source, e.target) = least(a, b) AND greatest(e.source, e.target) = greatest(a, b))""")
 def missing_associations(spark, sf):
     edges = S.part_edges(spark, sf)
-    return G.associations(R.ripple(S.matched(spark, sf), edges, 1).activated, edges)
+    return G.associations(R.ripple(S.matched(spark, sf), edges, 3, virtual=True).activated, edges)
 
 
 BLANKED = "blanked AS (SELECT label, type, CASE WHEN label LIKE 'part:%' THEN '' ELSE domain END AS domain FROM seeds)"

@@ -17,8 +17,7 @@ from rillgraph.sources import graph as S
 
 
 def _paths(spark, sf):
-    run = R.ripple(S.matched(spark, sf), S.part_edges(spark, sf), 1)
-    return R.learning_paths(run.paths, run.activated)
+    return R.learning_paths(R.ripple(S.matched(spark, sf), S.part_edges(spark, sf)).paths)
 
 
 LEARN = """
@@ -26,7 +25,7 @@ kept AS (SELECT query_id, source, target, min({'d': depth, 'r': relation}) AS m
 learn AS (SELECT query_id, source, target, m.r AS relation FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY m.d, source, target) AS n FROM kept) WHERE n <= 500)"""
 
 
-@query(with_(PART_EDGES, MATCHED, ripple(1), LEARN) + "SELECT query_id, source, target, relation FROM learn")
+@query(with_(PART_EDGES, MATCHED, ripple(2), LEARN) + "SELECT query_id, source, target, relation FROM learn")
 def karma_paths(spark, sf):
     return _paths(spark, sf).select("query_id", "source", "target", "relation")
 
@@ -42,14 +41,14 @@ def _deltas(spark, sf):
     return L.path_deltas(_paths(spark, sf), v), o.select(F.col("o_orderkey").alias("query_id"), S.key("user", "o_custkey").alias("user_label"))
 
 
-@query(with_(PART_EDGES, MATCHED, ripple(1), LEARN, VERDICTS) + """,
+@query(with_(PART_EDGES, MATCHED, ripple(2), LEARN, VERDICTS) + """,
 d AS (SELECT source, target, relation, sum(round(delta, 9)::DECIMAL(28,9))::DOUBLE AS d FROM deltas GROUP BY 1, 2, 3)
 SELECT e.source, e.target, e.relation, round(CASE WHEN d IS NULL THEN weight ELSE greatest(0.01::DOUBLE, least(2.0::DOUBLE, round(weight + d, 9))) END, 6) AS weight FROM part_edges e LEFT JOIN d USING (source, target, relation)""")
 def karma_update(spark, sf):
     return L.adjust(S.part_edges(spark, sf), _deltas(spark, sf)[0]).withColumn("weight", F.round("weight", 6))
 
 
-@query(with_(PART_EDGES, MATCHED, ripple(1), LEARN, VERDICTS, PERSONAL) + """,
+@query(with_(PART_EDGES, MATCHED, ripple(2), LEARN, VERDICTS, PERSONAL) + """,
 d AS (SELECT user_label, source, target, relation, sum(round(delta, 9)::DECIMAL(28,9))::DOUBLE AS d FROM deltas GROUP BY ALL)
 SELECT coalesce(p.user_label, d.user_label) AS user_label, coalesce(p.source, d.source) AS source, coalesce(p.target, d.target) AS target, coalesce(p.relation, d.relation) AS relation,
        round(CASE WHEN d IS NULL THEN weight ELSE greatest(0.01::DOUBLE, least(2.0::DOUBLE, round(coalesce(weight, 0.5) + d.d, 9))) END, 6) AS weight
@@ -66,14 +65,13 @@ canon AS (SELECT user_label, relation, CASE WHEN relation = 'COOCCURS_WITH' THEN
 pool AS (SELECT source, target, relation, count(*) AS count, string_agg(DISTINCT user_label, ',' ORDER BY user_label) AS contributors, CASE WHEN count(*) >= 3 THEN 'upgraded' ELSE 'pending' END AS status FROM canon GROUP BY 1, 2, 3)"""
 
 
-def _pool(spark, sf, above=0):
-    """The pool of positive feedback, on orders above a price."""
+def _pool(spark, sf):
+    """The pool of positive feedback."""
     deltas, users = _deltas(spark, sf)
-    some = S.table(spark, sf, "orders").filter(F.col("o_totalprice") > above).select(F.col("o_orderkey").alias("query_id"))
-    return L.pool((deltas.join(some, "query_id") if above else deltas).filter("delta > 0").join(users, "query_id"))
+    return L.pool(deltas.filter("delta > 0").join(users, "query_id"))
 
 
-BASE = (PART_EDGES, MATCHED, ripple(1), LEARN, VERDICTS, POOL)
+BASE = (PART_EDGES, MATCHED, ripple(2), LEARN, VERDICTS, POOL)
 
 
 @query(with_(*BASE) + "SELECT * FROM pool")
@@ -88,13 +86,10 @@ def pool_upgrade(spark, sf):
     return L.upgrade(S.part_edges(spark, sf).filter("weight > 0.3"), _pool(spark, sf))
 
 
-DEAR = POOL.replace("delta > 0", "delta > 0 AND query_id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 450000)")
-
-
-@query(with_(SEEDS, *BASE[:-1], DEAR) + """
+@query(with_(SEEDS, *BASE) + """
 SELECT DISTINCT source, target, relation, count FROM pool WHERE status = 'pending' AND (source IN (SELECT label FROM seeds WHERE domain = 'ECONOMY') OR target IN (SELECT label FROM seeds WHERE domain = 'ECONOMY'))""")
 def pool_by_domain(spark, sf):
-    return L.pool_in_domain(_pool(spark, sf, 450_000), S.seeds(spark, sf), "ECONOMY")
+    return L.pool_in_domain(_pool(spark, sf), S.seeds(spark, sf), "ECONOMY")
 
 
 @query(with_(*BASE) + """
@@ -170,10 +165,10 @@ def candidate_promote(spark, sf):
 
 
 @query(with_(PART_EDGES) + """,
-p AS (SELECT 'part:' || a.l_partkey AS s, 'part:' || b.l_partkey AS t FROM items a JOIN items b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_orderkey % 7 = 0)
+p AS (SELECT 'part:' || a.l_partkey AS s, 'part:' || b.l_partkey AS t FROM items a JOIN items b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)
 SELECT DISTINCT source, target, 'RELATED' AS relation, 0.05::DOUBLE AS weight FROM (SELECT s AS source, t AS target FROM p UNION ALL SELECT t, s FROM p)""")
 def promotion_edges(spark, sf):
-    items = S.table(spark, sf, "lineitem").filter("l_orderkey % 7 = 0").select("l_orderkey", "l_partkey").distinct()
+    items = S.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
     pairs = items.join(items.select("l_orderkey", F.col("l_partkey").alias("b")), "l_orderkey").filter("l_partkey < b")
     promoted = pairs.groupBy(S.key("part", "l_partkey").alias("label")).agg(F.collect_set(S.key("part", "b")).alias("seeds"))
     return L.promotion_edges(promoted, S.part_edges(spark, sf)).select("source", "target", "relation", "weight")
@@ -243,7 +238,7 @@ MONITORS = """
 monitors AS (
   SELECT DISTINCT 'meta:domain:' || domain AS label, 'domain' AS category, domain AS source_domain FROM seeds WHERE domain <> ''
   UNION SELECT DISTINCT 'meta:relation:' || relation, 'relation', '' FROM part_edges
-  UNION SELECT 'meta:system:' || x, 'system', '' FROM (VALUES ('density'), ('confidence'), ('pool'), ('conflict'), ('boundary')) t(x))"""
+  UNION SELECT 'meta:system_' || x, 'system', 'system_' || x FROM (VALUES ('total_nodes'), ('total_edges'), ('avg_confidence'), ('distillation_rate'), ('seed_growth_rate')) t(x))"""
 
 
 @query(with_(SEEDS, PART_EDGES, MONITORS) + "SELECT * FROM monitors WHERE label <> 'meta:domain:geo'")
@@ -261,8 +256,8 @@ def meta_edges(spark, sf):
 
 @query("""
 WITH s AS (SELECT event_id AS label, CASE event_id % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'dormant' ELSE 'retired' END AS status, (event_id * 37) % 400 AS unchanged, event_id % 4 = 0 AS changed FROM events),
-n AS (SELECT *, CASE WHEN changed THEN 0 ELSE unchanged + 1 END AS n FROM s)
-SELECT label, CASE WHEN status = 'dormant' AND changed THEN 'active' WHEN status <> 'retired' AND n >= 300 THEN 'retired' WHEN status = 'active' AND n >= 100 THEN 'dormant' ELSE status END AS status, n::BIGINT AS unchanged FROM n""")
+n AS (SELECT *, CASE WHEN status = 'retired' THEN unchanged WHEN changed THEN 0 ELSE unchanged + 1 END AS n FROM s)
+SELECT label, CASE WHEN status = 'active' AND n >= 100 AND NOT changed THEN 'dormant' WHEN status = 'dormant' AND changed THEN 'active' WHEN status = 'dormant' AND n >= 300 THEN 'retired' ELSE status END AS status, n::BIGINT AS unchanged FROM n""")
 def dormancy(spark, sf):
     e = F.col("event_id")
     s = S.table(spark, sf, "events").select(e.alias("label"), F.when(e % 3 == 0, "active").when(e % 3 == 1, "dormant").otherwise("retired").alias("status"), (e * 37 % 400).alias("unchanged"), (e % 4 == 0).alias("changed"))
@@ -280,7 +275,7 @@ def _triggers(spark, sf):
 
 
 @query("WITH " + TRIGGERS + """,
-k AS (SELECT domain, 'low_confidence' AS kind FROM g WHERE low_count >= 5 UNION ALL SELECT domain, 'low_density' FROM g WHERE density < avg_density * 0.5::DOUBLE UNION ALL SELECT domain, 'high_conflict' FROM g WHERE conflicts > 10)
+k AS (SELECT domain, 'low_confidence' AS kind FROM g WHERE low_count > 5 UNION ALL SELECT domain, 'low_density' FROM g WHERE density < avg_density * 0.5::DOUBLE UNION ALL SELECT domain, 'high_conflict' FROM g WHERE conflicts > 10)
 SELECT 'goal_' || substr(md5(domain || '|' || kind || '|2024-02-01'), 1, 6) AS goal_id, domain, kind FROM k""")
 def goals_generate(spark, sf):
     return M.goals(_triggers(spark, sf), F.lit("2024-02-01"))
@@ -346,11 +341,24 @@ def tune_karma(spark, sf):
     return S.history(spark, sf).groupBy("domain").agg(F.round(p / F.count("*"), 6).alias("positive"), F.round(n / F.count("*"), 6).alias("negative"), F.round(2 * p / F.nullif(2 * p + n, F.lit(0)), 6).alias("quality"))
 
 
-@query("SELECT i / 100 AS decay, round(1 - abs(i / 100 - 0.7::DOUBLE) / 0.7::DOUBLE, 6) AS precision FROM range(50, 91, 5) r(i)")
+@query("WITH " + HISTORY + """,
+stats AS (SELECT 0.5::DOUBLE + (user_id % 3) / 10 AS decay_factor, (user_id % 4)::DOUBLE AS depth, (query_id % 50)::DOUBLE AS n FROM history),
+grid AS (SELECT i / 100 AS decay FROM range(50, 111, 5) r(i)),
+near AS (SELECT decay, count(*) FILTER (abs(decay_factor - decay) <= 0.1::DOUBLE + 1e-9) AS near FROM grid, stats GROUP BY 1),
+eff AS (SELECT decay, count(*) FILTER (n > 0) AS used, coalesce(sum(round(depth / sqrt(nullif(n, 0)), 9)::DECIMAL(28,9)) FILTER (n > 0), 0)::DOUBLE AS total FROM near JOIN stats ON near = 0 OR abs(decay_factor - decay) <= 0.1::DOUBLE + 1e-9 GROUP BY 1)
+SELECT decay, CASE WHEN used = 0 OR total = 0 THEN 0.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - abs(1 - 0.7::DOUBLE / decay) / (0.7::DOUBLE / decay))), 6) END AS precision FROM eff""")
 def tune_decay(spark, sf):
-    """Decay precision: with any usable row it is 1 - |d - .7| / .7, so .7 always wins; kept as it is."""
-    d = F.col("id") / 100
-    return spark.range(50, 91, 5).select(d.alias("decay"), F.round(1 - F.abs(d - 0.7) / 0.7, 6).alias("precision"))
+    """Decay precision of a grid over logged rows."""
+    h = S.history(spark, sf)
+    stats = h.select((F.lit(0.5) + (F.col("user_id") % 3) / 10).alias("decay_factor"), (F.col("user_id") % 4).cast("double").alias("ripple_depth"), (F.col("query_id") % 50).cast("double").alias("activated_count"))
+    return M.decay_grid(stats, [i / 100 for i in range(50, 111, 5)])
+
+
+@query("WITH " + HISTORY + """,
+g AS (SELECT i / 100 AS threshold, count(*) FILTER (confidence >= i / 100) AS p, count(*) FILTER (confidence < i / 100 AND confidence < 0.3::DOUBLE) AS n, count(*) AS total FROM history, range(50, 96, 5) r(i) GROUP BY 1)
+SELECT threshold, round(p::DOUBLE / total, 6) AS positive, round(n::DOUBLE / total, 6) AS negative, round(coalesce(2 * p::DOUBLE / nullif(2 * p + n, 0), 0), 6) AS quality FROM g""")
+def tune_quality(spark, sf):
+    return M.quality_grid(S.history(spark, sf), [i / 100 for i in range(50, 96, 5)])
 
 
 @query(with_(EDGES, HISTORY) + """
@@ -380,9 +388,9 @@ def last_status(spark, sf):
     return S.table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
 
 
-@query("SELECT event_id AS id, ts AS created_at, row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 30 AS kept FROM events WHERE event_type = 'signup' AND user_id < 20")
+@query("SELECT event_id AS id, ts AS created_at, row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 30 AS kept FROM events")
 def checkpoint_retention(spark, sf):
-    rows = S.table(spark, sf, "events").filter("event_type = 'signup' and user_id < 20").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    rows = S.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
     return M.newest(rows, 30)
 
 
@@ -437,12 +445,28 @@ def rate_limit_windows(spark, sf):
     return E.rate_windows(S.table(spark, sf, "events").withColumnRenamed("user_id", "key"), 2, "1 day")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (
+  SELECT user_id, event_id, i, ts AS start, 1 AS n FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.i, CASE WHEN epoch_us(e.ts) - epoch_us(r.start) >= 86400000000 THEN e.ts ELSE r.start END, CASE WHEN epoch_us(e.ts) - epoch_us(r.start) >= 86400000000 THEN 1 ELSE r.n + 1 END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT event_id, n <= 2 AS allowed FROM r""")
 def rate_limit_fixed(spark, sf):
     return E.fixed_windows(S.table(spark, sf, "events").select(F.col("user_id").alias("key"), "ts", "event_id"), 2, 86_400)
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, value > 60 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (
+  SELECT user_id, event_id, i, 'closed' AS state, true AS passed, CASE WHEN failed THEN 1 ELSE 0 END AS bad, NULL::TIMESTAMP AS opened FROM e WHERE i = 1
+  UNION ALL
+  SELECT user_id, event_id, i, CASE WHEN shut THEN 'open' WHEN opened IS NOT NULL THEN 'half_open' ELSE 'closed' END, NOT shut,
+         CASE WHEN shut THEN bad WHEN failed THEN bad + 1 ELSE 0 END, CASE WHEN shut THEN opened WHEN failed AND bad + 1 >= 3 THEN ts END
+  FROM (SELECT e.user_id, e.event_id, e.i, e.ts, e.failed, r.bad, r.opened, r.opened IS NOT NULL AND epoch_us(e.ts) - epoch_us(r.opened) < 86400000000 AS shut
+        FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT event_id, state, passed FROM r""")
 def circuit_breaker(spark, sf):
     calls = S.table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), "ts", (F.col("value") > 60).alias("failed"))
     return E.circuit_breaker(calls, 3, 86_400)
@@ -454,7 +478,9 @@ def audio_features(spark, sf):
     return E.audio_features(frames)
 
 
-@query()
+@query("""
+WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t FROM events)
+SELECT p.event_id AS percept_id, c.event_id AS concept_id, p.event_type AS percept, c.event_type AS concept FROM e p JOIN e c ON p.t - c.t BETWEEN -60000000 AND 60000000 WHERE p.event_type IN ('view', 'click') AND c.event_type = 'purchase'""")
 def stream_hebbian(spark, sf):
     """Stream-stream co-activation over the events folder, run to its end."""
     from rillgraph.session import fresh_path
@@ -467,16 +493,15 @@ def stream_hebbian(spark, sf):
 
 
 @query("""
-WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 10 = 0), r AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 10 = 5)
-SELECT q.vec_id AS a, r.vec_id AS b, round(list_cosine_similarity(q.x, r.x), 6) AS similarity FROM q JOIN r USING (label) WHERE list_cosine_similarity(q.x, r.x) > 0.1::DOUBLE""")
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+s AS (SELECT a.vec_id AS id, b.vec_id AS other, list_cosine_similarity(a.x, b.x) AS c FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
+k AS (SELECT id, other, round(c, 6) AS similarity FROM s WHERE c > 0.3::DOUBLE)
+SELECT id, count(*) AS n, (list(other ORDER BY similarity DESC, other))[1] AS best, max(similarity) AS similarity FROM k GROUP BY 1""")
 def align_candidates(spark, sf):
-    """Alignment candidates: percept vectors against concept vectors of their class, by cosine."""
-    v = S.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = v.withColumn("norm", F.sqrt(dot(F.col("x"), F.col("x"))))
-    q, r = v.filter("vec_id % 10 = 0").toDF("a", "label", "xa", "na"), v.filter("vec_id % 10 = 5").toDF("b", "label", "xb", "nb")
-    sim = dot(F.col("xa"), F.col("xb")) / (F.col("na") * F.col("nb"))
-    return q.join(r, "label").withColumn("similarity", sim).filter("similarity > 0.1").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Alignment candidates of every vector among those of its class, by cosine: how many, and the nearest."""
+    from rillgraph.operators import perception as P
+
+    return P.aligned(S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("x")))
 
 
 @query("""

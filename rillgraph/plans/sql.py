@@ -49,14 +49,15 @@ def exact(value: str) -> str:
     return f"sum(round({value}, 9)::DECIMAL(28,9))::DOUBLE"
 
 
-def ripple(depth: int, edges: str = "part_edges") -> str:
-    """Unrolled waves from matched over edges, without users: state{depth} and paths."""
+def ripple(depth: int, edges: str = "part_edges", virtual: bool = False) -> str:
+    """Unrolled waves from matched over edges, without users: state{depth} and paths. virtual: global weights as they are."""
+    weight = "e.weight" if virtual else "e.weight * 0.7::DOUBLE"
     parts = ["""
 state0 AS (SELECT query_id, label, 1.0::DOUBLE AS activation, 0 AS depth, NULL::VARCHAR AS parent FROM matched)"""]
     for w in range(1, depth + 1):
         parts.append(f"""
 hop{w} AS (
-  SELECT s.query_id, s.label AS source, e.target, e.relation, e.weight * 0.7::DOUBLE AS weight, {w} AS depth, s.activation * (e.weight * 0.7::DOUBLE) * {0.7**w!r}::DOUBLE AS contribution
+  SELECT s.query_id, s.label AS source, e.target, e.relation, {weight} AS weight, {w} AS depth, s.activation * ({weight}) * {0.7**w!r}::DOUBLE AS contribution
   FROM state{w - 1} s JOIN {edges} e ON e.source = s.label WHERE s.depth = {w - 1} AND e.source NOT LIKE 'meta:%'),
 gain{w} AS (SELECT query_id, target AS label, {exact('contribution')} AS gain, (list(source ORDER BY contribution DESC, source))[1] AS origin FROM hop{w} GROUP BY 1, 2),
 state{w} AS (

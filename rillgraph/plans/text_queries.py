@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from rillgraph.functions import text as T
 from rillgraph.functions import tokenizer
-from rillgraph.functions.columns import clean_answer, html_escaped, user_id
+from rillgraph.functions.columns import clean_answer, exact_sum, html_escaped, user_id
 from rillgraph.operators import ripple as R
 from rillgraph.operators import verify as V
 from rillgraph.plans.graph_queries import query
+from rillgraph.plans.sql import MATCHED, PART_EDGES, SEEDS, exact, ripple, with_
 from rillgraph.sources import graph as S
 
 DROP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
@@ -56,11 +57,15 @@ def unmatched_keywords(spark, sf):
     return V.unmatched(words, active)
 
 
-PAIRS = """
-bare AS (SELECT conv_id, turn, coalesce(text, '') AS text, regexp_replace(lower(coalesce(text, '')), '\\s+', '', 'g') AS t FROM conversations),
+# pairs for texts in Latin letters, beside the fixed ones
+PAIRS_TOO = (*T.NEGATIONS, ("with", "without"), ("likely", "unlikely"), ("the", "never the"))
+GRAMS = f"""
+bare AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+runs AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS t FROM bare),
 g AS (
-  SELECT conv_id, turn, substr(t, i, n) AS gram FROM bare, (VALUES (2), (3)) s(n), unnest(range(1, length(t) - n + 2)) AS u(i)
-  GROUP BY ALL),
+  SELECT DISTINCT conv_id, turn, substr(t, i, n) AS gram FROM runs, (VALUES (2), (3)) s(n), unnest(range(1, length(t) - n + 2)) AS u(i)
+  WHERE NOT list_contains({DROP}, substr(t, i, n)))"""
+PAIRS = GRAMS + """,
 size AS (SELECT conv_id, turn, count(*) AS n FROM g GROUP BY ALL),
 p AS (SELECT a.conv_id AS group_id, a.turn AS a, b.turn AS b, a.text AS text_a, b.text AS text_b FROM bare a JOIN bare b ON a.conv_id = b.conv_id AND a.turn < b.turn),
 shared AS (SELECT x.conv_id AS group_id, x.turn AS a, y.turn AS b, count(*) AS both FROM g x JOIN g y ON x.conv_id = y.conv_id AND x.turn < y.turn AND x.gram = y.gram GROUP BY ALL),
@@ -70,29 +75,29 @@ j AS (
 
 
 def _turns(spark, sf):
-    return S.table(spark, sf, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"), "text")
+    return S.table(spark, sf, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"), F.col("role").alias("name"), "text")
 
 
 @query("WITH " + PAIRS + " SELECT group_id, a, b, round(jaccard, 6) AS jaccard FROM j")
 def ngram_jaccard(spark, sf):
-    pairs = V.pairs_of(_turns(spark, sf))
-    j = T.jaccard(F.col("grams_a"), F.col("grams_b"), 1.0)
-    return pairs.select("group_id", "a", "b", F.round(j, 6).alias("jaccard"))
+    return V.pairs_of(_turns(spark, sf)).select("group_id", "a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-def _contra_sql() -> str:
+def _contra_sql(pairs=T.NEGATIONS) -> str:
+    """One text holds the statement and not the negation, the other the negation and not the statement; a statement within its own negation does not count."""
     out = []
-    for yes, no in T.NEGATIONS:
-        says = lambda t: f"contains(replace({t}, '{no}', chr(1)), '{yes}')"  # noqa: B023, E731
-        for x, y in (("text_a", "text_b"), ("text_b", "text_a")):
-            out.append(f"({says(x)} AND contains({y}, '{no}') AND NOT {says(y)})")
+    for yes, no in pairs:
+        says = lambda t: f"(contains({t}, '{yes}') AND NOT contains({t}, '{no}'))"  # noqa: B023, E731
+        denies = lambda t: f"contains({t}, '{no}')" + ("" if yes in no else f" AND NOT contains({t}, '{yes}')")  # noqa: B023, E731
+        out += [f"({says(x)} AND {denies(y)})" for x, y in (("text_a", "text_b"), ("text_b", "text_a"))]
     return " OR ".join(out)
 
 
-@query("WITH " + PAIRS + f" SELECT group_id, a, b, ({_contra_sql()}) AS contradiction FROM p")
+@query("WITH " + PAIRS + f" SELECT group_id, a, b, ({_contra_sql(PAIRS_TOO)}) AS contradiction FROM p")
 def contradiction(spark, sf):
-    pairs = V.pairs_of(_turns(spark, sf))
-    return pairs.select("group_id", "a", "b", T.contradicts(F.col("text_a"), F.col("text_b")).alias("contradiction"))
+    rows = _turns(spark, sf).select("group_id", "pos", T.stance(F.coalesce("text", F.lit("")), PAIRS_TOO).alias("s"))
+    both = rows.toDF("group_id", "a", "sa").join(rows.toDF("group_id", "b", "sb"), "group_id").filter("a < b")
+    return both.select("group_id", "a", "b", T.contradicts(F.col("sa"), F.col("sb")).alias("contradiction"))
 
 
 @query("WITH " + PAIRS + f""",
@@ -102,21 +107,23 @@ def cross_validate(spark, sf):
     return V.cross_validate(_turns(spark, sf))
 
 
-@query("""
-SELECT conv_id, string_agg(text, chr(10) ORDER BY first) AS merged FROM (SELECT conv_id, text, min(turn) AS first FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2) GROUP BY conv_id""")
+@query("WITH " + GRAMS + """,
+t AS (SELECT conv_id, turn, role, text FROM conversations WHERE text IS NOT NULL),
+f AS (SELECT conv_id, min(turn) AS first FROM t GROUP BY 1),
+new AS (SELECT DISTINCT g.conv_id, g.turn FROM g JOIN f ON f.conv_id = g.conv_id AND g.turn > f.first WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.conv_id = g.conv_id AND b.turn = f.first AND b.gram = g.gram)),
+added AS (SELECT conv_id, string_agg('[' || role || '补充] ' || text, chr(10) || chr(10) ORDER BY turn) AS more FROM t JOIN new USING (conv_id, turn) GROUP BY 1)
+SELECT t.conv_id AS group_id, concat_ws(chr(10) || chr(10), t.text, more) AS merged FROM t JOIN f ON f.conv_id = t.conv_id AND f.first = t.turn LEFT JOIN added ON added.conv_id = t.conv_id""")
 def merge_answers(spark, sf):
-    first = S.table(spark, sf, "conversations").filter("text is not null").groupBy("conv_id", "text").agg(F.min("turn").alias("first"))
-    ordered = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("first", "text"))).alias("t"))
-    return ordered.select("conv_id", T.merged_answers(F.transform("t", lambda x: x["text"])).alias("merged"))
+    return V.merged_answers(_turns(spark, sf))
 
 
 @query(r"""
-SELECT page_id, substr(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), 1, 400) AS escaped,
+SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped,
        trim(regexp_replace(regexp_replace('<think>' || url || '</think> ' || url || '<|end|>', '(?s)<think>.*?</think>', '', 'g'), '<\|[^|>]*\|>', '', 'g')) AS cleaned FROM pages""")
 def clean_texts(spark, sf):
     """HTML escapes and the removal of thinking parts and control marks."""
     answer = F.concat(F.lit("<think>"), "url", F.lit("</think> "), "url", F.lit("<|end|>"))
-    return S.table(spark, sf, "pages").select("page_id", F.substring(html_escaped(F.col("html")), 1, 400).alias("escaped"), clean_answer(answer).alias("cleaned"))
+    return S.table(spark, sf, "pages").select("page_id", html_escaped(F.col("html")).alias("escaped"), clean_answer(answer).alias("cleaned"))
 
 
 @query("SELECT conv_id, turn, floor(length(text) * 0.6::DOUBLE)::BIGINT AS tokens, substr(text, 1, 500) AS query FROM conversations")
@@ -129,19 +136,141 @@ def user_ids(spark, sf):
     return S.table(spark, sf, "customer").select("c_custkey", user_id(F.lower("c_mktsegment"), F.col("c_custkey").cast("string")).alias("user_id"))
 
 
-@query()
+WORD_GRAPH = """
+labels AS (SELECT label, count(*) AS degree FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zA-Z0-9]+')) AS label FROM benchmark) GROUP BY 1),
+alias AS (SELECT lower(p_type) AS alias, min(p_type) AS label FROM part GROUP BY 1),
+toks AS (SELECT conv_id * 1000 + turn AS query_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS text FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-zA-Z0-9]+') AS w FROM conversations WHERE text IS NOT NULL)),
+found AS (
+  SELECT query_id, pos, text, CASE WHEN l.label IS NOT NULL THEN 'exact' WHEN a.label IS NOT NULL THEN 'alias' ELSE 'unmatched' END AS how, coalesce(l.label, a.label) AS label, false AS excluded
+  FROM toks LEFT JOIN labels l ON l.label = text LEFT JOIN alias a ON a.alias = text)"""
+
+
+def _vocabulary(spark, sf):
+    """Words of the benchmark as labels, lower-cased part types as aliases."""
+    words = S.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zA-Z0-9]+"), F.lit(0))).alias("label"))
+    return words.groupBy("label").agg(F.count("*").alias("degree")), S.table(spark, sf, "part").groupBy(F.lower("p_type").alias("alias")).agg(F.min("p_type").alias("label"))
+
+
+def _tokens(spark, sf):
+    turns = S.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.lower("text").alias("text"))
+    return tokenizer.tokenize(turns, *_vocabulary(spark, sf))
+
+
+@query("WITH " + WORD_GRAPH + " SELECT query_id, pos::INT AS pos, text, how, label, excluded FROM found")
 def tokenize_batch(spark, sf):
-    """Turns tokenized against the parts' names; sequential, so tests hold it against worked examples."""
-    names = {r[0]: r[1] for r in S.table(spark, sf, "part").groupBy("p_name").count().toLocalIterator()}
-    types = {r[0].lower(): r[0] for r in S.table(spark, sf, "part").select("p_type").distinct().toLocalIterator()}
-    turns = S.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-    return tokenizer.tokenize(turns, tokenizer.Vocabulary(names, types))
+    """Turns tokenized against the benchmark's words."""
+    return _tokens(spark, sf)
+
+
+CHAIN = WORD_GRAPH + """,
+matched AS (SELECT query_id, label, min(pos)::INT AS pos FROM found WHERE label IN (SELECT label FROM labels WHERE degree % 5 <> 0) GROUP BY 1, 2)"""
+
+
+def _matched(spark, sf):
+    labels, _ = _vocabulary(spark, sf)
+    seeds = labels.select("label", F.when(F.col("degree") % 5 == 0, "META").otherwise("CONCEPT").alias("type"))
+    return tokenizer.matched_seeds(_tokens(spark, sf), seeds)
+
+
+@query("WITH " + CHAIN + " SELECT * FROM matched")
+def matched_tokens(spark, sf):
+    """Tokens as matched nodes: a fifth of the labels count as META and are left out."""
+    return _matched(spark, sf)
+
+
+FOLLOWS = """,
+seq AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-zA-Z0-9]+') AS w FROM benchmark)),
+word_edges AS (SELECT a.word AS source, b.word AS target, 'FOLLOWS' AS relation, CASE WHEN count(*) >= 3 THEN 0.7 ELSE 0.3 END::DOUBLE AS weight FROM seq a JOIN seq b ON a.item_id = b.item_id AND b.i = a.i + 1 WHERE a.word <> b.word GROUP BY 1, 2)"""
+
+
+@query("WITH " + CHAIN + FOLLOWS + "," + ripple(2, "word_edges") + """
+SELECT query_id, count(*) AS activated, round(sum(round(activation, 9)::DECIMAL(28,9))::DOUBLE, 6) AS total, max(depth)::BIGINT AS depth FROM state2 GROUP BY 1""")
+def query_chain(spark, sf):
+    """The whole chain for all turns: tokens, matched nodes, two waves over which word follows which."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-zA-Z0-9]+"), F.lit(0))
+    pair = F.explode(F.arrays_zip(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))).alias("a"), F.slice(words, 2, 1 << 30).alias("b"))).alias("p")
+    edges = S.table(spark, sf, "benchmark").select(pair).filter("p.a <> p.b").groupBy(F.col("p.a").alias("source"), F.col("p.b").alias("target")).agg(F.when(F.count("*") >= 3, 0.7).otherwise(0.3).alias("weight"))
+    run = R.ripple(_matched(spark, sf), edges.withColumn("relation", F.lit("FOLLOWS")))
+    return run.activated.groupBy("query_id").agg(F.count("*").alias("activated"), F.round(exact_sum(F.col("activation")), 6).alias("total"), F.max("depth").cast("long").alias("depth"))
 
 
-@query()
+ANSWER = """,
+dom AS (SELECT query_id, coalesce(nullif(domain, ''), '常识') AS domain, """ + exact("activation") + """ AS score FROM state1 LEFT JOIN seeds USING (label) GROUP BY 1, 2 HAVING """ + exact("activation") + """ >= 0.3::DOUBLE),
+d AS (SELECT query_id, string_agg(domain, ', ' ORDER BY score DESC, domain) AS t FROM dom GROUP BY 1),
+nr AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY activation DESC, label) AS rank FROM state1),
+n AS (SELECT query_id, string_agg(label || ': ' || substr(coalesce(definition, ''), 1, 120), chr(10) ORDER BY rank) AS t FROM nr LEFT JOIN seeds USING (label) WHERE rank <= 20 GROUP BY 1),
+pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY contribution DESC, source, target, relation) AS rank FROM paths),
+p AS (SELECT query_id, string_agg(source || ' -' || relation || '-> ' || target, chr(10) ORDER BY rank) AS t FROM pr WHERE rank <= 10 GROUP BY 1)"""
+
+
+def _answered(spark, sf):
+    run = R.ripple(S.matched(spark, sf), S.part_edges(spark, sf), 1)
+    nodes = S.seeds(spark, sf)
+    return run, nodes, R.domain_scores(run.activated, nodes)
+
+
+@query(with_(SEEDS, PART_EDGES, MATCHED, ripple(1)) + ANSWER + " SELECT d.query_id, concat_ws(chr(10), d.t, n.t, p.t) AS answer FROM d LEFT JOIN n USING (query_id) LEFT JOIN p USING (query_id)")
 def answer_text(spark, sf):
     """Rendered answers of all orders."""
+    run, nodes, scores = _answered(spark, sf)
+    return V.render_answers(scores.filter("score >= 0.3"), R.top_seeds(run.activated), nodes, R.top_paths(run.paths))
+
+
+@query(with_(SEEDS, PART_EDGES, MATCHED, ripple(1)) + ANSWER.replace(", string_agg(domain, ', '", ", string_agg(domain, ','") + """,
+c AS (SELECT query_id, count(*) AS total FROM state1 GROUP BY 1), m AS (SELECT query_id, count(*) AS hits FROM matched GROUP BY 1), np AS (SELECT query_id, count(*) AS n FROM pr WHERE rank <= 10 GROUP BY 1)
+SELECT c.query_id, nr.label AS first, least(total, 20)::BIGINT AS nodes, np.n AS paths, d.t AS domains, hits AS matched, total FROM c JOIN m USING (query_id) JOIN nr ON nr.query_id = c.query_id AND nr.rank = 1 LEFT JOIN d ON d.query_id = c.query_id LEFT JOIN np ON np.query_id = c.query_id""")
+def answer_json(spark, sf):
+    """Answers as JSON objects, read back field by field."""
+    run, nodes, scores = _answered(spark, sf)
+    out = V.answers_json(run.activated, scores, nodes, R.top_paths(run.paths), S.matched(spark, sf))
+    kind = "activated_seeds array<struct<label string>>, paths array<struct<source string>>, selected_domains array<string>, matched_seeds long, total_activated long"
+    j = out.select("query_id", F.from_json("answer", kind).alias("j"))
+    return j.select("query_id", F.col("j.activated_seeds")[0]["label"].alias("first"), F.size("j.activated_seeds").cast("long").alias("nodes"), F.size("j.paths").cast("long").alias("paths"), F.array_join("j.selected_domains", ",").alias("domains"), F.col("j.matched_seeds").alias("matched"), F.col("j.total_activated").alias("total"))
+
+
+@query(with_(PART_EDGES, MATCHED, ripple(1)) + """,
+nr AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY activation DESC, label) AS rank FROM state1),
+nl AS (SELECT query_id, rank, '- ' || label || ' ()' AS line FROM nr),
+nu AS (SELECT *, sum(floor(length(line) * 0.6::DOUBLE)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM nl),
+nb AS (SELECT query_id, string_agg(line, chr(10) ORDER BY rank) AS t FROM nu WHERE used <= 60 GROUP BY 1),
+pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY contribution DESC, source, target, relation) AS rank FROM paths),
+pl AS (SELECT query_id, rank, '- ' || source || ' ' || relation || ' ' || target AS line FROM pr),
+pu AS (SELECT *, sum(floor(length(line) * 0.6::DOUBLE)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM pl),
+pb AS (SELECT query_id, string_agg(line, chr(10) ORDER BY rank) AS t FROM pu WHERE used <= 40 GROUP BY 1),
+c AS (SELECT o_orderkey AS query_id, o_comment_ AS text, coalesce(nb.t, '（无激活概念）') || chr(10) || coalesce(pb.t, '（无概念间关系）') AS context FROM (SELECT o_orderkey, o_orderpriority || ' ' || o_orderstatus AS o_comment_ FROM orders) o LEFT JOIN nb ON nb.query_id = o_orderkey LEFT JOIN pb ON pb.query_id = o_orderkey)
+SELECT query_id, context || chr(10) || substr(text, 1, 8) AS answer FROM c""")
+def prompt_answers(spark, sf):
+    """Prompts within a budget of 100 tokens, answered by the default model, which gives the context back."""
     run = R.ripple(S.matched(spark, sf), S.part_edges(spark, sf), 1)
-    nodes = S.seeds(spark, sf)
-    scores = R.domain_scores(run.activated, nodes).filter("score >= 0.3")
-    return V.render_answers(scores, R.top_seeds(run.activated), nodes, R.top_paths(run.paths))
+    nodes = R.top_seeds(run.activated, 1 << 30).select("query_id", "rank", "label", F.lit("").alias("domain"))
+    paths = R.top_paths(run.paths, 1 << 30)
+    asked = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("text"))
+    return V.infer(V.prompts(nodes, paths, asked, budget=100, chars=8))
+
+
+@query("WITH " + WORDS + """,
+alias AS (SELECT substr(word, 1, 3) AS alias, min(word) AS label FROM active GROUP BY 1)
+SELECT answer_id, w.word, a.label FROM words w LEFT JOIN alias a ON a.alias = w.word WHERE w.word NOT IN (SELECT word FROM active)""")
+def backrefs(spark, sf):
+    """Keywords that nothing active covers: aliases of active nodes, and unmatched ones."""
+    _, words, active = _words(spark, sf)
+    aliases = active.groupBy(F.substring("word", 1, 3).alias("alias")).agg(F.min("word").alias("label"))
+    return V.references(words, active, aliases)
+
+
+@query("WITH " + WORDS + " SELECT word, count(*) AS n FROM words WHERE word NOT IN (SELECT word FROM active) GROUP BY 1 ORDER BY n DESC, word LIMIT 10")
+def top_unmatched(spark, sf):
+    from rillgraph.operators.reports import top_unmatched as top
+
+    _, words, active = _words(spark, sf)
+    return top(V.unmatched(words, active))
+
+
+@query("WITH " + WORDS + """,
+alias AS (SELECT upper(word) AS alias, word AS label FROM known)
+SELECT word FROM active UNION SELECT alias FROM alias WHERE label IN (SELECT word FROM active)""")
+def active_words(spark, sf):
+    """Active labels and their aliases."""
+    _, _, active = _words(spark, sf)
+    known = S.table(spark, sf, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{2,}"), F.lit(0))).alias("label")).distinct()
+    return V.active_words(active, known.select(F.upper("label").alias("alias"), "label"))

@@ -5,15 +5,17 @@
 2. Nodes are posted under each (coordinate, value). Values held once cannot collide and go. Two nodes that agree in
    at least MATCHES coordinates share one of each other's COORDINATES - MATCHES + 1 rarest postings (prefix), so
    only those are kept; the other, longer postings are skipped, and collisions there are counted by comparing the
-   signatures.
+   signatures of the nodes that met, which costs less than to merge the long postings.
 3. Only links between different components matter for the result, so pairs of a group are never listed. First each
    node is tried with that smallest node of its postings with which it collides most; the links give components.
-4. Postings that still hold several components are compared in blocks of BLOCK x BLOCK signatures, whatever their
-   length. What comes out is linear: the nodes that may link into another component, and stars that join the
-   components in question into families.
-5. A family's nodes in question are compared in blocks, this time with their texts: pairs of different components
-   with MATCHES collisions are confirmed on the full sets, best first, while their components are still apart.
-   Again only stars come out.
+4. Postings that still hold several components are compared again, in blocks of BLOCK signatures: the nodes outside of
+   a posting's largest component with those inside it and with each other, never the largest component with itself.
+   A posting of L nodes with M outside is L * M / BLOCK rows of a signature; M is small where one group is large. What
+   comes out is linear: the nodes that may link into another component, and stars that join the components in question
+   into families.
+5. A family's nodes in question are compared in the same blocks, this time with their texts: pairs of different
+   components with MATCHES collisions are confirmed on the full sets, best first, while their components are still
+   apart. Again only stars come out.
 
 A candidate is a link only if the full sets confirm it: 100 * intersection >= 80 * union.
 
@@ -22,7 +24,8 @@ A pair at the threshold itself has a signature agreement of Bin(32, .8): it miss
 
 Cases: null or empty texts, and texts of white space only, have no shingle and link with nothing. Texts with fewer
 words than a shingle are one shingle. Repeated rows are one node. Ids that repeat with different texts are separate
-nodes; a component is named by its smallest id. Extra columns are never read.
+nodes; a component is named by its smallest id. Rows with a null id link like others; a component without any id has a
+null component_id, and its rows are all kept. Extra columns are never read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillgraph.llm import _common
@@ -102,20 +105,25 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, fp (digest of the set; null: empty), sig."""
+    """doc_id, rid, n_shingles, fp (digest of the set; null: empty), sig."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             size, fp, sig = [], [], []
-            for text in rows.column(1):
+            for text in rows.column(2):
                 s = shingles(text.as_py(), n)
                 size.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "fp", "sig"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:2], pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "rid", "n_shingles", "fp", "sig"])
         _forget()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, n_shingles long, fp binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), _rid(), "text").mapInArrow(task, "doc_id long, rid long, n_shingles long, fp binary, sig binary")
+
+
+def _rid() -> Column:
+    """What texts are found again by: the id, or a hash of the text where it is null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid")
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
@@ -132,13 +140,17 @@ def _postings(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(task, "key long, node long")
 
 
-def _prefix(nodes: DataFrame) -> DataFrame:
-    """(node, key, held, pivot): the postings that matching nodes must share; held nodes have the key, pivot is the smallest."""
+def _lists(nodes: DataFrame) -> DataFrame:
+    """(node, all): a node's postings that others share too, rarest first; nodes with fewer than MATCHES cannot link."""
     posted = _postings(nodes)
     shared = posted.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("pivot")).filter("held > 1")
     mine = posted.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "key", "pivot"))).alias("all"))
-    rare = F.slice("all", F.lit(1), F.size("all") - (MATCHES - 1))
-    return mine.filter(F.size("all") >= MATCHES).select("node", F.explode(rare).alias("p")).select("node", "p.key", "p.held", "p.pivot")
+    return mine.filter(F.size("all") >= MATCHES)
+
+
+def _prefix(lists: DataFrame) -> DataFrame:
+    """(node, key, pivot): the postings that matching nodes must share; pivot is the smallest node that has the key."""
+    return lists.select("node", F.explode(F.slice("all", F.lit(1), F.size("all") - (MATCHES - 1))).alias("p")).select("node", "p.key", "p.pivot")
 
 
 def _possible(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,11 +200,46 @@ def _units(rows: DataFrame, by: list[str], number: int) -> DataFrame:
     return rows.groupBy(F.pmod(F.xxhash64(*by), F.lit(max(1, -(-number // UNIT)))).alias("unit"))
 
 
-def _blocked(rows: DataFrame, blocks: str) -> DataFrame:
-    """rows once for each pair (x, y) of blocks that their own block is in; blocks: the number of blocks of the row's group."""
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
-    return rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("other", blocks)
+def _shape(rows: DataFrame) -> DataFrame:
+    """Of each group (of rows group, node, label) with several labels: its largest label, and the nodes in and outside of it."""
+    per = rows.groupBy("group", "label").agg(F.count("*").alias("n"))
+    return per.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("inside"), F.sum("n").alias("n")).filter("n > inside").select("group", "major", "inside", (F.col("n") - F.col("inside")).alias("outside"))
+
+
+def _blocked(rows: DataFrame, shape: DataFrame) -> DataFrame:
+    """rows once for each unit (group, cross, x, y) that they are compared in.
+
+    cross: block x of the nodes outside of the largest label with block y of those inside; else blocks x and y of the
+    nodes outside. The largest label is never compared with itself.
+    """
+    blocks = shape.select("group", "major", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(f"{c}_blocks") for c in ("inside", "outside")))
+    rows = rows.join(blocks, "group").withColumn("big", F.col("label") == F.col("major"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("big"), F.col("inside_blocks")).otherwise(F.col("outside_blocks"))).cast("int"))
+
+    def to(last: str) -> Column:
+        return F.sequence(F.lit(0), F.col(last) - 1)
+
+    def unit(cross: bool, x: Column, y: Column) -> Column:
+        return F.struct(F.lit(cross).alias("cross"), x.alias("x"), y.alias("y"))
+
+    block = F.col("block")
+    inside = F.transform(to("outside_blocks"), lambda x: unit(True, x, block))
+    outside = F.concat(F.transform(to("inside_blocks"), lambda y: unit(True, block, y)), F.transform(to("outside_blocks"), lambda o: unit(False, F.least(block, o), F.greatest(block, o))))
+    rows = rows.withColumn("unit", F.explode(F.when(F.col("big"), inside).otherwise(outside)))
+    return rows.select("group", "node", "label", "big", "block", "unit.cross", "unit.x", "unit.y")
+
+
+#: What tells units apart.
+_UNIT = ["group", "cross", "x", "y"]
+
+
+def _sides(col: dict[str, np.ndarray], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a unit's two sides; the same array if a block meets itself."""
+    at = np.arange(lo, hi)
+    if col["cross"][lo]:
+        return at[~col["big"][at]], at[col["big"][at]]
+    x, y = col["x"][lo], col["y"][lo]
+    return (at, at) if x == y else (at[col["block"][at] == x], at[col["block"][at] == y])
 
 
 def _pivot_pairs(prefix: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -228,9 +275,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
         b, a, text = table.column("b").to_numpy(), table.column("a").to_numpy(), table.column("text")
         out: list[tuple[int, int]] = []
         for lo, hi in runs:
-            mine = next((i for i in range(lo, hi) if a[i] == b[i]), None)
-            if mine is None:
-                continue  # the pivot's only ids are null: nothing names it
+            mine = next(i for i in range(lo, hi) if a[i] == b[i])
             y = shingles(text[mine].as_py(), n)
             for i in range(lo, hi):
                 if a[i] != b[i]:
@@ -245,23 +290,27 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
     return _units(left.unionByName(right), ["b", "chunk"], 2 * pairs.count()).applyInArrow(unit, "a long, b long")
 
 
-def _in_question(prefix: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _met(lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """(group, node, label, big, block, cross, x, y) of all units in which nodes of different components must be compared, and their number."""
+    rows = _prefix(lists).select(F.col("key").alias("group"), "node").join(labels, "node", "left").select("group", "node", F.coalesce("component", "node").alias("label"))
+    shape, _ = _common.written(_shape(rows), "posting-shapes")
+    met, _ = _common.written(_blocked(rows, shape), "mixed")
+    return met, met.count()
+
+
+def _in_question(lists: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(node, label, root): nodes that may link into another component; root joins the components that may be linked."""
-    named = prefix.select("key", "node", "pivot").join(labels, "node", "left").select("key", "pivot", "node", F.coalesce("component", "node").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = _blocked(named.join(mixed, "key").join(nodes.select("node", "sig", "n_shingles"), "node"), "blocks")
+    met, number = _met(lists, labels)
+    rows = met.join(nodes.select("node", "sig", "n_shingles"), "node")
 
     def unit(table: pa.Table) -> pa.Table:
-        table, runs = _groups(table, ["key", "x", "y"])
-        col = {c: table.column(c).to_numpy() for c in ("x", "y", "node", "label", "n_shingles", "block")}
+        table, runs = _groups(table, _UNIT)
+        col = {c: table.column(c).to_numpy() for c in ("cross", "x", "y", "node", "label", "n_shingles", "block", "big")}
         sig = _sigs(table.column("sig"))
         names, at_name = np.unique(col["label"], return_inverse=True)
         union, flagged = _Union(len(names)), np.zeros(len(table), bool)
         for lo, hi in runs:
-            at = np.arange(lo, hi)
-            x, y = col["x"][lo], col["y"][lo]
-            left, right = (at, at) if x == y else (at[col["block"][at] == x], at[col["block"][at] == y])
+            left, right = _sides(col, lo, hi)
             if not len(left) or not len(right):
                 continue
             _, ok = _possible(sig[left], sig[right], col["n_shingles"][left], col["n_shingles"][right], percent)
@@ -274,36 +323,30 @@ def _in_question(prefix: DataFrame, nodes: DataFrame, labels: DataFrame, percent
         root = np.array([union.find(p) for p in rows_[:, 1].tolist()], np.int64)
         return pa.table({"node": pa.array(rows_[:, 0], pa.int64()), "label": pa.array(names[rows_[:, 1]], pa.int64()), "root": pa.array(names[root], pa.int64())})
 
-    # postings of one pivot meet in a unit, where what they say of a node is said once
-    rows, path = _common.written(rows, "mixed")
-    found = _units(rows, ["pivot", "x", "y"], rows.count()).applyInArrow(unit, "node long, label long, root long").distinct()
-    found, _ = _common.written(found, "question")
-    _common.remove(prefix.sparkSession, path)
-    return found
+    found = _units(rows, _UNIT, number).applyInArrow(unit, "node long, label long, root long").distinct()
+    return _common.written(found, "question")[0]
 
 
 def _family_links(question: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): stars of confirmed links between different components, each family compared in blocks."""
     family = components(question.select(F.col("label").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("label"), F.col("component").alias("family"))
-    members, _ = _common.written(question.select("node", "label").distinct().join(family, "label"), "members")
-    size = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(size, "family").join(nodes.select("node", "sig", "n_shingles"), "node").join(texts, "node")
+    members, _ = _common.written(question.select("node", "label").distinct().join(family, "label").withColumnRenamed("family", "group"), "members")
+    met, _ = _common.written(_blocked(members, _shape(members)), "family-blocks")
+    rows = met.join(nodes.select("node", "sig", "n_shingles"), "node").join(texts, "node")
 
     def unit(table: pa.Table) -> pa.Table:
-        table, runs = _groups(table, ["family", "x", "y"])
-        col = {c: table.column(c).to_numpy() for c in ("x", "y", "node", "label", "n_shingles", "block")}
+        table, runs = _groups(table, _UNIT)
+        col = {c: table.column(c).to_numpy() for c in ("cross", "x", "y", "node", "label", "n_shingles", "block", "big")}
         sig, text = _sigs(table.column("sig")), table.column("text")
         out: list[tuple[int, int]] = []
         for lo, hi in runs:
-            x, y = col["x"][lo], col["y"][lo]
-            at = np.arange(lo, hi)
-            left, right = (at, at) if x == y else (at[col["block"][at] == x], at[col["block"][at] == y])
+            left, right = _sides(col, lo, hi)
             if not len(left) or not len(right):
                 continue
             hits, ok = _possible(sig[left], sig[right], col["n_shingles"][left], col["n_shingles"][right], percent)
             ok &= col["label"][left][:, None] != col["label"][right][None, :]
-            if x == y:
-                ok &= at[:, None] < at[None, :]
+            if left is right:
+                ok &= left[:, None] < left[None, :]
             use = np.unique(np.concatenate([left[ok.any(1)], right[ok.any(0)]]))
             if not len(use):
                 continue
@@ -333,14 +376,13 @@ def _family_links(question: DataFrame, nodes: DataFrame, texts: DataFrame, n: in
         cols = list(zip(*out, strict=True)) or [[], []]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
-    number = members.join(size, "family").agg(F.sum("blocks")).first()[0] or 0
-    return _units(_blocked(rows, "blocks"), ["family", "x", "y"], number).applyInArrow(unit, "a long, b long")
+    return _units(rows, _UNIT, met.count()).applyInArrow(unit, "a long, b long")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, text) of the wanted nodes, each text that of the node's smallest id."""
-    some, _ = _common.written(nodes.join(wanted.distinct(), "node", "left_semi").select("node", "rep", "fp"), "wanted")
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null and text is not null").join(some, "rep")
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int, once: bool) -> DataFrame:
+    """(node, text) of the wanted nodes; once: no rid repeats."""
+    some, _ = _common.written(nodes.join(wanted.distinct(), "node", "left_semi").select("node", "rid", "fp"), "wanted")
+    rows = docs.filter("text is not null").select(_rid(), "text").join(some, "rid").select("node", "text", "fp")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # an id may repeat with other texts: those have another set
@@ -348,8 +390,6 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> Data
             same = [xxhash.xxh3_128_digest(shingles(t.as_py(), n).tobytes()) == f.as_py() for t, f in zip(r.column(1), r.column(2), strict=True)]
             yield r.select(["node", "text"]).filter(pa.array(same, pa.bool_()))
 
-    once = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    rows = rows.select("node", "text", "fp")
     return rows.drop("fp") if once else rows.mapInArrow(own, "node long, text string").dropDuplicates(["node"])
 
 
@@ -358,18 +398,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     _common.prepare(spark)
     signed, _ = _common.written(_signed(docs, n), "signed")
-    grouped = signed.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig"), F.max("n_shingles").alias("n_shingles"))
+    once = signed.groupBy("rid").count().filter("count > 1").isEmpty()
+    grouped = signed.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"), F.max("sig").alias("sig"), F.max("n_shingles").alias("n_shingles"))
     nodes, _ = _common.written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # below 100 / (100 - percent) - 1 shingles, only equal sets reach the similarity
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
-    prefix, _ = _common.written(_prefix(nodes.filter(F.col("n_shingles") >= least)), "prefix")
+    lists, _ = _common.written(_lists(nodes.filter(F.col("n_shingles") >= least)), "lists")
 
-    tried, _ = _common.written(_pivot_pairs(prefix, nodes, percent), "pivots")
-    links, _ = _common.written(_confirmed(tried, _texts(docs, nodes, tried.select(F.col("a").alias("node")).union(tried.select("b")), n), n, percent), "links")
+    tried, _ = _common.written(_pivot_pairs(_prefix(lists), nodes, percent), "pivots")
+    wanted = tried.select(F.col("a").alias("node")).union(tried.select("b"))
+    links, _ = _common.written(_confirmed(tried, _texts(docs, nodes, wanted, n, once), n, percent), "links")
     labels, _ = _common.written(components(links), "labels")
-    question = _in_question(prefix, nodes, labels, percent)
+    question = _in_question(lists, nodes, labels, percent)
     if not question.isEmpty():
-        more = _family_links(question, nodes, _texts(docs, nodes, question.select("node"), n), n, percent)
+        more = _family_links(question, nodes, _texts(docs, nodes, question.select("node"), n, once), n, percent)
         links, _ = _common.written(links.unionByName(more), "links")
         labels, _ = _common.written(components(links), "labels")
 

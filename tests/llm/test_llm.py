@@ -108,6 +108,19 @@ def test_vectors_dense_group(spark, region):
     assert [got[i][1] for i in range(len(u))] == [0 if i % 3 == 0 else i for i in range(len(u))]
 
 
+def test_vectors_lengths(spark):
+    """One vector of another length, and one without an id, leave the cells of the others as they are."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 16))
+    x[1500:] = x[:1500] + 0.2 * rng.standard_normal((1500, 16))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9000, [1.0, 2.0]), (None, [float(v) for v in x[0]])]
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell=10, region=300).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = u @ u.T >= 0.9
+    want = (hit.sum(1) - 1 + hit[:, 0]).tolist()
+    assert [got[i] for i in range(3000)] == want and got[9000] == 0 and got[None] == want[0]
+
+
 def test_vectors_visits():
     """No pair at the threshold lies in regions that do not meet, and groups far apart do not meet."""
     rng = np.random.default_rng(4)
@@ -137,6 +150,53 @@ def test_mixing(spark, odd, empty):
     assert mixing.repeat(many).columns == many.columns
 
 
+@pytest.mark.parametrize("window", [mixing.WINDOW, 10])
+def test_mixing_ties(spark, window):
+    """Equal rows and null ids come near their target too."""
+    d = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c d").alias("text"), F.when(F.col("id") < 600, "x").otherwise("y").alias("source"))
+    got = mixing.mix(d, window=window).groupBy("source", "target").agg(F.sum("taken").alias("t")).collect()
+    assert len(got) == 2 and all(abs(r.t - r.target) <= 4 for r in got)
+
+
+def test_quality_votes():
+    """The vote against brute force, ties by the sample's order."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(rng.choice(list("abcdeXYZ!"), 5)) for _ in range(30)) for _ in range(60)]
+    texts += [texts[0]] * 40
+    labels = np.array([i % 2 for i in range(100)])
+    model = quality.train(np.sqrt(np.array([quality.terms(t) for t in texts])), labels, 8)
+    x = np.array([quality.terms(t) for t in texts[:20]])
+    got = quality.votes(model, x)
+    for i in range(20):
+        v = np.sqrt(x[i]) * model.idf
+        v = (v / np.linalg.norm(v)) @ model.projection
+        v /= np.linalg.norm(v)
+        cos = [round(float(c), 6) for c in model.vectors @ v]
+        near = sorted(range(100), key=lambda j: (-cos[j], j))[: quality.NEIGHBOURS]
+        w = [max(cos[j], 0) ** quality.SHARPNESS for j in near]
+        assert got[i] == pytest.approx(sum(a * labels[j] for a, j in zip(w, near, strict=True)) / sum(w), abs=1e-4)
+    assert quality.votes(model, np.zeros((1, quality.TERMS)))[0] == 0
+
+
+def test_langid_kernel():
+    """Kernel, landmarks and ridge regression written out on a tiny corpus; ties go to the first language."""
+    texts = ["aba abba", "abab aab", "xyx yxx", "xyyx xx", "aab xy", "bba yx"]
+    langs = ["a", "a", "b", "b", "a", "b"]
+    sets = [langid.grams(t) for t in texts]
+    model = langid.train(sets, langs, landmarks=2)
+    kernel = lambda p, q: len(set(p.tolist()) & set(q.tolist())) / np.sqrt(len(p) * len(q))
+    marks = [sets[0], sets[1], sets[2], sets[3]]
+    own = np.array([[kernel(p, q) for q in marks] for p in marks])
+    value, vector = np.linalg.eigh(own)
+    whiten = vector / np.sqrt(value)
+    features = np.array([[kernel(p, q) for q in marks] for p in sets]) @ whiten
+    y = np.array([[lang == n for n in "ab"] for lang in langs], float)
+    w = (y / y.sum(0)).sum(1)
+    solved = np.linalg.solve(features.T @ (features * w[:, None]) + langid.RIDGE * w.mean() * np.eye(4), features.T @ (y * w[:, None]))
+    assert model.languages == ["a", "b"]
+    assert np.allclose(langid.values(model, texts), features @ solved, atol=1e-4)
+
+
 # 4, 5
 def test_classifiers(spark, odd, empty):
     sf = "/root/testdata/sf0.01"  # the smallest tables have 19 held-out labels
@@ -171,6 +231,26 @@ def test_warc(spark):
     assert warc.read(spark, none).count() == 0
 
 
+def test_warc_twice(spark):
+    """Two runs are equal byte by byte, whatever the partitions; record ids differ, ids may repeat."""
+    import pathlib
+
+    rows = [(i % 90, f"u{i}", f"page {i % 40} " * 3000) for i in range(200)] + [(7, "u", "same")] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def files(df):
+        folder = _common.fresh_path(spark, "test-warc")
+        warc.write(df, folder, roll_bytes=4000)
+        return {p.name: p.read_bytes() for p in pathlib.Path(folder.removeprefix("file://")).glob("*.warc.gz")}, folder
+
+    one, folder = files(pages.repartition(3))
+    two, _ = files(pages.orderBy(F.desc("url")).coalesce(1))
+    assert one == two and len({n.split("-")[1] for n in one}) > 1
+    assert warc.read(spark, folder).count() == 203
+    ids = [line for c in one.values() for line in __import__("gzip").decompress(c).split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(ids) == len(set(ids)) == 203
+
+
 # 7
 def test_hamming(spark):
     rng = np.random.default_rng(3)
@@ -186,7 +266,9 @@ def test_hamming(spark):
         d = (bits != bits[q]).sum(1)
         want = sorted((int(v), i) for i, v in enumerate(d))[:7]
         assert [(d_, i) for _, d_, i in sorted(got[q])] == want
-    assert hamming.top_k(df.limit(0), df.limit(0)).count() == 0
+    assert hamming.top_k(df.limit(0), df.limit(0)).count() == hamming.top_k(df, df.limit(0)).count() == hamming.top_k(df.limit(0), df).count() == 0
+    wide = spark.createDataFrame([(i, [1.0] * 64 + [1.0 if b == i else -1.0 for b in range(8)]) for i in range(5)] + [(9, [1.0] * 64)], "vec_id long, embedding array<double>")
+    assert {(r.vec_id, r.distance) for r in hamming.top_k(wide, wide.filter("vec_id = 3"), 6).collect()} == {(3, 0), (9, 1), (0, 2), (1, 2), (2, 2), (4, 2)}
 
 
 # 8
@@ -250,6 +332,13 @@ def test_near_duplicates(spark, odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_null_ids(spark):
+    base = [f"w{i}" for i in range(50)]
+    rows = [(3, " ".join(base), None, None), (None, " ".join([*base, "more"]), None, None), (None, "alone here now", None, None), (8, "x", None, None)]
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in neardup.near_duplicates(docs(spark, rows), n=2).collect()}
+    assert got == {(3, 49): (3, True), (None, 50): (3, False), (None, 2): (None, True), (8, 1): (8, True)}
+
+
 def test_near_duplicates_large_groups(spark, monkeypatch):
     """Blocks and families smaller than the groups give the same components."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
@@ -285,10 +374,20 @@ def test_line_runs(spark):
     runs = linededup.LineRuns(spark, fan_in=2)
     for b in range(5):
         batch = docs(spark, [(b, f"line {b}\nline {b + 1}", None, None)])
-        assert runs.unseen(batch).count() == (2 if b == 0 else 1)
+        keys = linededup.line_keys(batch.select(F.lit(0).alias("batch"), "text"))
+        assert runs.unseen(keys).count() == (2 if b == 0 else 1)
+        assert runs.unseen(keys, "left_semi").count() == (0 if b == 0 else 1)
         runs.add(batch)
     assert sum(map(len, runs.levels)) == 2 and runs.all().agg(F.sum("docs")).first()[0] == 10
-    assert runs.frequent(2).count() == 4
+    assert runs.frequent(2).count() == 4 and runs.frequent(3).count() == 0
+
+
+@pytest.mark.parametrize("batches", [2, 4])
+def test_line_batches(spark, sf, batches):
+    """Several batches give what one gives."""
+    d = _common.table(spark, sf, "documents").select("doc_id", "text")
+    of = lambda n: sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in linededup.dedup_lines(d, min_docs=5, batches=n, fan_in=2).collect())
+    assert of(batches) == of(1)
 
 
 # the pipeline
@@ -321,6 +420,18 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.near_stage(spark, docs(spark, ODD), sf).count() < len(ODD)
 
 
+def test_stage_columns(spark, sf):
+    """Columns that have the names of an operator's results pass through the stages."""
+    import corpus_pipeline
+
+    d = _common.table(spark, sf, "documents")
+    for name in ("score", "predicted", "kept", "n_lines", "n_dropped", "row", "found", "key"):
+        d = d.withColumn(name, F.col("doc_id") + 1)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        d, _ = _common.written(stage(spark, d, sf), f"test-{name}")
+    assert d.count() > 0 and d.filter("kept <> doc_id + 1 or score <> doc_id + 1").count() == 0
+
+
 def test_near_stage_rows(spark, sf):
     """One row of each group stays, whatever the ids: repeated with other texts, or null."""
     import corpus_pipeline

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillgraph.plans import graph_queries, learning_queries, state_queries, text_queries  # noqa: F401  each registers its queries
+from rillgraph.plans import graph_queries, learning_queries, report_queries, state_queries, text_queries  # noqa: F401  each registers its queries
 
 QUERIES: dict = dict(graph_queries.QUERIES)
 ORACLES: dict = dict(graph_queries.ORACLES)

@@ -235,7 +235,7 @@ def test_warc_twice(spark):
     """Two runs are equal byte by byte, whatever the partitions; record ids differ, ids may repeat."""
     import pathlib
 
-    rows = [(i % 90, f"u{i}", f"page {i % 40} " * 3000) for i in range(200)] + [(7, "u", "same")] * 3
+    rows = [(i % 90, f"u{i}", f"page {i % 40} " * 9000) for i in range(200)] + [(7, "u", "same")] * 3
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
 
     def files(df):

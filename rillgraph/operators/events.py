@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from datetime import datetime
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,38 +52,54 @@ def rate_windows(events: DataFrame, limit: int = 100, width: str = "60 seconds")
     return out.select("key", F.col("w.start").alias("start"), "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("blocked"))
 
 
+def _in_order(rows: DataFrame, columns: list[str], step: Callable[..., tuple], schema: str) -> DataFrame:
+    """event_id and what step makes of each key's rows in order of time: step(state, ts, *columns) gives the next state and the row's values.
+
+    A key's first state is None. Rows come sorted, one batch at a time, so a hot key takes no more memory than others;
+    its rows are one task's work, as each depends on those before.
+    """
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = object(), None
+        for batch in batches:
+            out = []
+            for k, t, e, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    key, state = k, None
+                state, *made = step(state, t, *rest)
+                out.append((e, *made))
+            if out:
+                ids, *others = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, others)], names=names)
+
+    ordered = rows.select("key", "ts", F.col("event_id").cast("long"), *columns).repartition("key").sortWithinPartitions("key", "ts", "event_id")
+    return ordered.mapInArrow(run, schema)
+
+
 def fixed_windows(events: DataFrame, limit: int = 100, seconds: int = 60) -> DataFrame:
     """event_id, allowed under windows that start at a key's first event after the last one ended; keys are clients, each in order."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        start, n, ok = None, 0, []
-        for t in pdf["ts"]:
-            if start is None or (t - start).total_seconds() >= seconds:
-                start, n = t, 0
-            n += 1
-            ok.append(n <= limit)
-        return pd.DataFrame({"event_id": pdf["event_id"], "allowed": ok})
+    def step(state: tuple | None, t: datetime) -> tuple:
+        start, n = state or (None, 0)
+        if start is None or (t - start).total_seconds() >= seconds:
+            start, n = t, 0
+        return (start, n + 1), n < limit
 
-    return events.groupBy("key").applyInPandas(run, "event_id long, allowed boolean")
+    return _in_order(events, [], step, "event_id long, allowed boolean")
 
 
 def circuit_breaker(calls: DataFrame, failures: int = 5, reset_seconds: int = 60) -> DataFrame:
     """event_id, state, passed for calls (event_id, key, ts, failed): open after so many failures in a row, tried again after the reset."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        bad, opened, rows = 0, None, []
-        for e, t, failed in zip(pdf["event_id"], pdf["ts"], pdf["failed"], strict=True):
-            if opened is not None and (t - opened).total_seconds() < reset_seconds:
-                rows.append((e, "open", False))
-                continue
-            rows.append((e, "half_open" if opened is not None else "closed", True))
-            bad = bad + 1 if failed else 0
-            opened = t if bad >= failures else None
-        return pd.DataFrame(rows, columns=["event_id", "state", "passed"])
-
-    return calls.groupBy("key").applyInPandas(run, "event_id long, state string, passed boolean")
+    def step(state: tuple | None, t: datetime, failed: bool | None) -> tuple:
+        bad, opened = state or (0, None)
+        if opened is not None and (t - opened).total_seconds() < reset_seconds:
+            return state, "open", False
+        bad = bad + 1 if failed else 0
+        return (bad, t if bad >= failures else None), "closed" if opened is None else "half_open", True
+
+    return _in_order(calls, ["failed"], step, "event_id long, state string, passed boolean")
 
 
 def audio_features(frames: DataFrame, rate: int = 16000) -> DataFrame:

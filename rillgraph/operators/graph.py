@@ -150,16 +150,36 @@ def infer_domains(seeds: DataFrame, edges: DataFrame, depth: int = CONFIG.isa_de
     return out.select("label", F.coalesce("d", F.lit(CONFIG.default_domain)).alias("inferred"), F.when(F.col("d").isNull(), "fallback").otherwise("is_a").alias("method"), "hops")
 
 
-def keyword_domain(texts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """id, domain: the longest keyword (keyword, domain; a small table) that the lower-cased text holds names the domain."""
-    held = texts.join(F.broadcast(keywords), F.contains(F.lower("text"), F.col("keyword")))
+#: Keywords that are broadcast and tried on each text; more are looked up by the text's pieces.
+FEW_KEYWORDS = 1000
+
+
+def _holding(texts: DataFrame, column: str, keywords: DataFrame, few: int) -> DataFrame:
+    """texts with each keyword that the column holds; an empty keyword is held by none.
+
+    Up to `few` keywords are broadcast. More are met by an equi-join with the text's distinct pieces of the keywords' lengths.
+    """
+    words, c = keywords.filter("keyword <> ''"), F.col(column)
+    if words.limit(few + 1).count() <= few:
+        return texts.join(F.broadcast(words), F.contains(c, F.col("keyword")))
+    lengths = sorted(r[0] for r in words.select(F.length("keyword")).distinct().collect())
+
+    def pieces(n: int) -> F.Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
+        return F.when(F.length(c) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    return texts.withColumn("keyword", F.explode(F.array_distinct(F.flatten(F.array(*map(pieces, lengths)))))).join(words, "keyword")
+
+
+def keyword_domain(texts: DataFrame, keywords: DataFrame, few: int = FEW_KEYWORDS) -> DataFrame:
+    """id, domain: the longest keyword (keyword, domain) that the lower-cased text holds names the domain."""
+    held = _holding(texts.select("id", F.lower("text").alias("text")), "text", keywords, few)
     return held.groupBy("id").agg(F.max_by("domain", F.struct(F.length("keyword"), "keyword")).alias("domain"))
 
 
-def category_domain(categories: DataFrame, keywords: DataFrame) -> DataFrame:
+def category_domain(categories: DataFrame, keywords: DataFrame, few: int = FEW_KEYWORDS) -> DataFrame:
     """id, domain: the first category that holds a keyword, then the first keyword. categories: id, pos, category; keywords: pos, keyword, domain."""
-    k = keywords.withColumnRenamed("pos", "kw_pos")
-    held = categories.join(F.broadcast(k), F.contains("category", F.col("keyword")))
+    held = _holding(categories.select("id", "pos", "category"), "category", keywords.withColumnRenamed("pos", "kw_pos"), few)
     return held.groupBy("id").agg(F.min_by("domain", F.struct("pos", "kw_pos")).alias("domain"))
 
 

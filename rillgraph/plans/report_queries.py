@@ -14,6 +14,7 @@ from rillgraph.plans.sql import EDGES, HISTORY, MATCHED, PART_EDGES, SEEDS, exac
 from rillgraph.session import fresh_path
 from rillgraph.sources import graph as S
 from rillgraph.sources import snapshots
+from rillgraph.streaming import binding as B
 
 
 @query(with_(PART_EDGES) + """,
@@ -249,6 +250,15 @@ def parsed_times(spark, sf):
     return S.table(spark, sf, "events").select("event_id", T.timestamp_of(text).cast("timestamp_ntz").alias("at"))
 
 
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_counts(spark, sf):
+    """Counts per event type that a stream keeps, read after its last trigger."""
+    folder = fresh_path(spark, "stream-counts")
+    S.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{folder}/in")
+    B.count_into(B.events(spark, f"{folder}/in", 8), ["event_type"], folder).awaitTermination()
+    return B.counted(spark, ["event_type"], folder)
+
+
 @query(with_(PART_EDGES, MATCHED, ripple(2)) + """,
 top AS (SELECT query_id, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY activation DESC, label) AS rank FROM state2) WHERE rank <= 20)
 SELECT DISTINCT p.query_id, p.source, p.target FROM paths p JOIN top a ON a.query_id = p.query_id AND a.label = p.source JOIN top b ON b.query_id = p.query_id AND b.label = p.target""")

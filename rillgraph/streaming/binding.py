@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -33,6 +34,26 @@ def rolling_rates(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     return out.select("event_type", F.col("w.start").alias("start"), "n", "p99")
 
 
+def count_into(stream: DataFrame, keys: list[str], folder: str, every: str | None = None) -> StreamingQuery:
+    """Start to count the stream's rows per key, each trigger's changed counts into the folder, which driver and executors share.
+
+    every: the time between triggers; without it, what is there is counted and the query ends. A batch that is run
+    again after a loss replaces its own rows.
+    """
+
+    def put(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+
+    counts = stream.groupBy(*keys).agg(F.count("*").alias("n"))
+    writer = counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/progress")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def counted(spark: SparkSession, keys: list[str], folder: str) -> DataFrame:
+    """The keys and n as of the last trigger of count_into, of which there must have been one."""
+    return spark.read.parquet(f"{folder}/counts").groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
+
+
 def run_to_end(df: DataFrame, folder: str) -> DataFrame:
     """Process what is there and stop; rows, state and progress are kept in the folder, which driver and executors share."""
     query = df.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()

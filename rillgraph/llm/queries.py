@@ -74,6 +74,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillgraph.llm.divergence import divergence
+
+    return divergence(_common.table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillgraph.llm.decontaminate import contamination
+
+    return contamination(_common.table(spark, sf_dir, "documents"), _common.table(spark, sf_dir, "benchmark"))
+
+
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillgraph.llm.interactions import flagged, steps
+
+    return steps(flagged(_common.table(spark, sf_dir, "documents"), _common.table(spark, sf_dir, "labels")), "ABCDE")
+
+
 def _op1_sql() -> str:
     """Spans by the lengths of what lies between the matches and of the matches, rule by rule."""
     from rillgraph.llm.secrets import RULES
@@ -194,6 +212,60 @@ FROM keyed k LEFT JOIN often o ON k.key = o.key
 GROUP BY row_id, doc_id
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+occ AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM occ GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+langs AS (SELECT lang, coalesce(sum(n), 0)::HUGEINT AS total, count(term)::HUGEINT AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM occ GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0)::HUGEINT AS n, k.n AS lang_n FROM grp g JOIN kept k USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+p AS (
+  SELECT c.lang, source, term, c.n, 1 + (1000000000 * (c.n + 2)) // (sum(c.n) OVER (PARTITION BY c.lang, source) + 2 * v)::HUGEINT AS p, 1 + (1000000000 * (lang_n + 2)) // (total + 2 * v) AS q
+  FROM cells c JOIN langs l ON l.lang = c.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER w)::INT AS rank FROM parts WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER w <= 10
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS s FROM b, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS u(i) WHERE len(w) > 0),
+hit AS (
+  SELECT r, i, x.n, s FROM (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM win) AS l, unnest(generate_series(1, len(w) - n + 1)) AS u(i)) x
+  SEMI JOIN win ON win.n = x.n AND win.s = x.s),
+n_hit AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS pos FROM hit) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hit JOIN win ON win.n = hit.n AND win.s = hit.s WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n_hit USING (r) LEFT JOIN ids USING (r)
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+  FROM t LEFT JOIN marks ON marks.doc_id = t.doc_id),
+n AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, mask),
+orders AS (
+  SELECT '' AS o, 0 AS used, 0 AS k UNION ALL
+  SELECT o || letter, used + bit, k + 1 FROM orders, (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(letter, bit) WHERE used & bit = 0),
+steps AS (
+  SELECT o AS filter_order, step, substr(o, step, 1) AS letter, 1 << (ascii(substr(o, step, 1)) - 65) AS bit, coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(o, i, 1)) - 65))), 0)::INT AS before
+  FROM (SELECT o FROM orders WHERE k = 5), unnest(generate_series(1, 5)) AS s(step)),
+x AS (
+  SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS removed, coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails, coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS toxic_lost
+  FROM n, steps GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM x
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -205,6 +277,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
+    "op11_divergence": op11_divergence,
+    "op12_decontamination": op12_decontamination,
+    "op13_interactions": op13_interactions,
 }
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op2_embedding_dedup": OP2_SQL, "op7_top_k": OP7_SQL, "op3_mixing": OP3_SQL, "op6_warc": OP6_SQL, "op9_minhash": OP9_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op2_embedding_dedup": OP2_SQL, "op7_top_k": OP7_SQL, "op3_mixing": OP3_SQL, "op6_warc": OP6_SQL, "op9_minhash": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_divergence": OP11_SQL, "op12_decontamination": OP12_SQL, "op13_interactions": OP13_SQL}

@@ -98,6 +98,6 @@ def without_marks(title: Column) -> Column:
 
 
 def timestamp_of(text: Column) -> Column:
-    """An ISO 8601 time; failing that, the same without its zone; else null. Times with a zone are taken as they are written."""
+    """An ISO 8601 time, at its offset where it has one, else in the session's zone; failing that, the same without its zone; else null."""
     bare = F.regexp_replace(text, "(Z+|\\+.*)$", "")
-    return F.coalesce(F.try_to_timestamp(bare), F.try_to_timestamp(F.replace(bare, F.lit("T"), F.lit(" "))))
+    return F.when(F.regexp_like(text, F.lit("^\\d{4}-\\d{2}-\\d{2}")), F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(bare)))

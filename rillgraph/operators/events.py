@@ -77,27 +77,42 @@ def _in_order(rows: DataFrame, columns: list[str], step: Callable[..., tuple], s
     return ordered.mapInArrow(run, schema)
 
 
+def window_step(state: tuple | None, t: datetime, limit: int, seconds: float) -> tuple:
+    """The next (start, n) of a client's window and whether the request at t is allowed; blocked requests count too."""
+    start, n = state or (None, 0)
+    if start is None or (t - start).total_seconds() > seconds:
+        start, n = t, 0
+    return (start, n + 1), n < limit
+
+
+def breaker_step(state: tuple | None, t: datetime, failed: bool | None, failures: int, reset_seconds: float) -> tuple:
+    """The next (failures, last failure, open) of a service, its state as the call at t met it, and whether the call passed."""
+    bad, last, is_open = state or (0, None, False)
+    if is_open:
+        if (t - last).total_seconds() <= reset_seconds:
+            return (bad, last, True), "open", False
+        bad = 0
+    bad, last = (bad + 1, t) if failed else (0, last)
+    return (bad, last, bool(failed) and bad >= failures), "closed", True
+
+
 def fixed_windows(events: DataFrame, limit: int = 100, seconds: int = 60) -> DataFrame:
-    """event_id, allowed under windows that start at a key's first event after the last one ended; keys are clients, each in order."""
+    """event_id, allowed under windows that start at a key's first event later than `seconds` after the last start; keys are clients, each in order."""
 
     def step(state: tuple | None, t: datetime) -> tuple:
-        start, n = state or (None, 0)
-        if start is None or (t - start).total_seconds() >= seconds:
-            start, n = t, 0
-        return (start, n + 1), n < limit
+        return window_step(state, t, limit, seconds)
 
     return _in_order(events, [], step, "event_id long, allowed boolean")
 
 
 def circuit_breaker(calls: DataFrame, failures: int = 5, reset_seconds: int = 60) -> DataFrame:
-    """event_id, state, passed for calls (event_id, key, ts, failed): open after so many failures in a row, tried again after the reset."""
+    """event_id, state, passed for calls (event_id, key, ts, failed): open after so many failures without a success between.
+
+    A call later than the reset after the last failure closes it and counts from 0 again. A null outcome is a success.
+    """
 
     def step(state: tuple | None, t: datetime, failed: bool | None) -> tuple:
-        bad, opened = state or (0, None)
-        if opened is not None and (t - opened).total_seconds() < reset_seconds:
-            return state, "open", False
-        bad = bad + 1 if failed else 0
-        return (bad, t if bad >= failures else None), "closed" if opened is None else "half_open", True
+        return breaker_step(state, t, failed, failures, reset_seconds)
 
     return _in_order(calls, ["failed"], step, "event_id long, state string, passed boolean")
 

@@ -154,7 +154,7 @@ def infer_domains(seeds: DataFrame, edges: DataFrame, depth: int = CONFIG.isa_de
 FEW_KEYWORDS = 1000
 
 
-def _holding(texts: DataFrame, column: str, keywords: DataFrame, few: int) -> DataFrame:
+def holding(texts: DataFrame, column: str, keywords: DataFrame, few: int = FEW_KEYWORDS) -> DataFrame:
     """texts with each keyword that the column holds; an empty keyword is held by none.
 
     Up to `few` keywords are broadcast. More are met by an equi-join with the text's distinct pieces of the keywords' lengths.
@@ -173,13 +173,13 @@ def _holding(texts: DataFrame, column: str, keywords: DataFrame, few: int) -> Da
 
 def keyword_domain(texts: DataFrame, keywords: DataFrame, few: int = FEW_KEYWORDS) -> DataFrame:
     """id, domain: the longest keyword (keyword, domain) that the lower-cased text holds names the domain."""
-    held = _holding(texts.select("id", F.lower("text").alias("text")), "text", keywords, few)
+    held = holding(texts.select("id", F.lower("text").alias("text")), "text", keywords, few)
     return held.groupBy("id").agg(F.max_by("domain", F.struct(F.length("keyword"), "keyword")).alias("domain"))
 
 
 def category_domain(categories: DataFrame, keywords: DataFrame, few: int = FEW_KEYWORDS) -> DataFrame:
     """id, domain: the first category that holds a keyword, then the first keyword. categories: id, pos, category; keywords: pos, keyword, domain."""
-    held = _holding(categories.select("id", "pos", "category"), "category", keywords.withColumnRenamed("pos", "kw_pos"), few)
+    held = holding(categories.select("id", "pos", "category"), "category", keywords.withColumnRenamed("pos", "kw_pos"), few)
     return held.groupBy("id").agg(F.min_by("domain", F.struct("pos", "kw_pos")).alias("domain"))
 
 

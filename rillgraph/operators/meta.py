@@ -83,12 +83,16 @@ def priority(user: Column, core: Column, uncertainty: Column, parts: Column) ->
     return round_half(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.4 * user + 0.3 * core + 0.2 * uncertainty + 0.1 * parts)), 2)
 
 
+def _cooled(goals_: DataFrame, as_of: Column) -> DataFrame:
+    """goals_ with cooled: the weight of pending goals untouched for 10 cycles after they lose a fifth, to four digits; null for others."""
+    stale = (F.col("status") == "pending") & (cycles_since(as_of, F.col("touched")) >= CONFIG.goal_decay_cycles)
+    return goals_.withColumn("cooled", F.when(stale, round_half(F.col("weight") * CONFIG.goal_decay, 4)))
+
+
 def cool(goals_: DataFrame, as_of: Column) -> DataFrame:
-    """goal_id, status, weight: untouched for 10 cycles, a goal loses a fifth of its weight; below .05 it expires; beyond the pool's size the least go."""
-    stale = cycles_since(as_of, F.col("touched")) >= CONFIG.goal_decay_cycles
-    w = F.when(stale, round_half(F.col("weight") * CONFIG.goal_decay, 6)).otherwise(F.col("weight"))
-    out = goals_.withColumn("weight", w).withColumn("status", F.when(F.col("weight") < CONFIG.goal_expire, "expired").otherwise(F.col("status")))
-    return out.select("goal_id", "status", "weight")
+    """goal_id, status, weight after a cooling: what was decayed below .05 expires; fresh and closed goals stay as they are."""
+    status = F.when(F.col("cooled") < CONFIG.goal_expire, "expired").otherwise(F.col("status"))
+    return _cooled(goals_, as_of).select("goal_id", status.alias("status"), F.coalesce("cooled", "weight").alias("weight"))
 
 
 def evict(goals_: DataFrame, size: int = CONFIG.goal_pool) -> DataFrame:
@@ -151,10 +155,9 @@ def merged_goals(have: DataFrame, triggered: DataFrame, as_of: Column) -> DataFr
 
 def cooling_history(goals_: DataFrame, as_of: Column) -> DataFrame:
     """goal_id, before, after, old_weight, new_weight, reason: a row for each pending goal that a cooling changes."""
-    stale = goals_.filter((F.col("status") == "pending") & (cycles_since(as_of, F.col("touched")) >= CONFIG.goal_decay_cycles))
-    new = round_half(F.col("weight") * CONFIG.goal_decay, 4)
-    gone = new < CONFIG.goal_expire
-    return stale.select("goal_id", F.col("status").alias("before"), F.when(gone, "expired").otherwise("pending").alias("after"), F.col("weight").alias("old_weight"), new.alias("new_weight"), F.when(gone, "decay_expire").otherwise("decay").alias("reason"))
+    gone = F.col("cooled") < CONFIG.goal_expire
+    changed = _cooled(goals_, as_of).filter("cooled is not null")
+    return changed.select("goal_id", F.col("status").alias("before"), F.when(gone, "expired").otherwise("pending").alias("after"), F.col("weight").alias("old_weight"), F.col("cooled").alias("new_weight"), F.when(gone, "decay_expire").otherwise("decay").alias("reason"))
 
 
 def decay_grid(stats: DataFrame, grid: list[float], near: float = 0.1, decay: float = CONFIG.ripple_decay) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillgraph.config import CONFIG
 from rillgraph.functions.columns import exact_sum
+from rillgraph.operators.graph import holding
 
 
 def listed(rows: DataFrame, starts: dict[str, str | None] | None = None, since: tuple[str, Column] | None = None, until: tuple[str, Column] | None = None, **equal) -> DataFrame:
@@ -28,8 +29,8 @@ def page(rows: DataFrame, order: list, limit: int = 20, offset: int = 0) -> Data
 
 
 def containing(rows: DataFrame, column: str, words: DataFrame) -> DataFrame:
-    """word and rows whose column holds a word (word; a parameter list) as it is written: % and _ stand for themselves."""
-    return rows.join(F.broadcast(words.limit(1000)), F.contains(F.col(column), F.col("word")))
+    """word and rows whose column holds a word (word, any number) as it is written: % and _ stand for themselves. An empty word is held by none."""
+    return holding(rows, column, words.select(F.col("word").alias("keyword")).distinct()).withColumnRenamed("keyword", "word")
 
 
 def append(rows: DataFrame, folder: str, cut: dict[str, int] | None = None) -> None:

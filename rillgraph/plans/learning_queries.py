@@ -22,7 +22,7 @@ def _paths(spark, sf):
 
 LEARN = """
 kept AS (SELECT query_id, source, target, min({'d': depth, 'r': relation}) AS m FROM paths GROUP BY 1, 2, 3),
-learn AS (SELECT query_id, source, target, m.r AS relation FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY m.d, source, target) AS n FROM kept) WHERE n <= 500)"""
+learn AS MATERIALIZED (SELECT query_id, source, target, m.r AS relation FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY m.d, source, target) AS n FROM kept) WHERE n <= 500)"""
 
 
 @query(with_(PART_EDGES, MATCHED, ripple(2), LEARN) + "SELECT query_id, source, target, relation FROM learn")
@@ -32,7 +32,7 @@ def karma_paths(spark, sf):
 
 VERDICTS = """
 verdicts AS (SELECT o_orderkey AS query_id, CASE WHEN o_totalprice > 200000 THEN 1 WHEN o_totalprice < 50000 THEN -1 ELSE 0 END AS direction, 'user:' || o_custkey AS user_label FROM orders),
-deltas AS (SELECT l.*, direction * 0.01::DOUBLE AS delta, user_label FROM learn l JOIN verdicts USING (query_id) WHERE direction <> 0)"""
+deltas AS MATERIALIZED (SELECT l.*, direction * 0.01::DOUBLE AS delta, user_label FROM learn l JOIN verdicts USING (query_id) WHERE direction <> 0)"""
 
 
 def _deltas(spark, sf):
@@ -62,7 +62,7 @@ def personal_update(spark, sf):
 POOL = """
 submitted AS (SELECT user_label, source, target, relation FROM deltas WHERE delta > 0),
 canon AS (SELECT user_label, relation, CASE WHEN relation = 'COOCCURS_WITH' THEN least(source, target) ELSE source END AS source, CASE WHEN relation = 'COOCCURS_WITH' THEN greatest(source, target) ELSE target END AS target FROM submitted),
-pool AS (SELECT source, target, relation, count(*) AS count, string_agg(DISTINCT user_label, ',' ORDER BY user_label) AS contributors, CASE WHEN count(*) >= 3 THEN 'upgraded' ELSE 'pending' END AS status FROM canon GROUP BY 1, 2, 3)"""
+pool AS MATERIALIZED (SELECT source, target, relation, count(*) AS count, string_agg(DISTINCT user_label, ',' ORDER BY user_label) AS contributors, CASE WHEN count(*) >= 3 THEN 'upgraded' ELSE 'pending' END AS status FROM canon GROUP BY 1, 2, 3)"""
 
 
 def _pool(spark, sf):
@@ -81,9 +81,9 @@ def pool_rebuild(spark, sf):
 
 @query(with_(*BASE) + """
 SELECT coalesce(e.source, p.source) AS source, coalesce(e.target, p.target) AS target, coalesce(e.relation, p.relation) AS relation, CASE WHEN p.source IS NULL THEN weight ELSE greatest(coalesce(weight, 0), 0.05::DOUBLE) END AS weight
-FROM (SELECT * FROM part_edges WHERE weight > 0.3) e FULL JOIN (SELECT * FROM pool WHERE status = 'upgraded') p ON e.source = p.source AND e.target = p.target AND e.relation = p.relation""")
+FROM part_edges e FULL JOIN (SELECT * FROM pool WHERE status = 'upgraded') p ON e.source = p.source AND e.target = p.target AND e.relation = p.relation""")
 def pool_upgrade(spark, sf):
-    return L.upgrade(S.part_edges(spark, sf).filter("weight > 0.3"), _pool(spark, sf))
+    return L.upgrade(S.part_edges(spark, sf), _pool(spark, sf))
 
 
 @query(with_(SEEDS, *BASE) + """
@@ -289,17 +289,17 @@ def goal_priority(spark, sf):
 
 
 GOALS = """
-goals AS (SELECT 'g' || event_id AS goal_id, ts AS touched, least(1.0::DOUBLE, value / 200) AS weight, 'pending' AS status FROM events WHERE event_type = 'signup')"""
+goals AS (SELECT 'g' || event_id AS goal_id, ts AS touched, least(1.0::DOUBLE, value / 200) AS weight, 'pending' AS status FROM events)"""
 
 
 def _goals(spark, sf):
-    e = S.table(spark, sf, "events").filter("event_type = 'signup'")
+    e = S.table(spark, sf, "events")
     return e.select(F.concat(F.lit("g"), F.col("event_id").cast("string")).alias("goal_id"), F.col("ts").alias("touched"), F.least(F.lit(1.0), F.col("value") / 200).alias("weight"), F.lit("pending").alias("status"))
 
 
 @query("WITH " + GOALS + """,
-c AS (SELECT goal_id, status, CASE WHEN floor((epoch(TIMESTAMP '2024-01-20') - floor(epoch(touched))) / 60) >= 10 THEN floor(weight * 0.8::DOUBLE * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE ELSE weight END AS weight FROM goals)
-SELECT goal_id, CASE WHEN weight < 0.05::DOUBLE THEN 'expired' ELSE status END AS status, weight FROM c""")
+c AS (SELECT goal_id, status, weight, CASE WHEN floor((epoch(TIMESTAMP '2024-01-20') - floor(epoch(touched))) / 60) >= 10 THEN floor(weight * 0.8::DOUBLE * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE END AS cooled FROM goals)
+SELECT goal_id, CASE WHEN cooled < 0.05::DOUBLE THEN 'expired' ELSE status END AS status, coalesce(cooled, weight) AS weight FROM c""")
 def goals_cool(spark, sf):
     return M.cool(_goals(spark, sf), F.lit("2024-01-20").cast("timestamp_ntz"))
 
@@ -362,14 +362,14 @@ def tune_quality(spark, sf):
 
 
 @query(with_(EDGES, HISTORY) + """
-SELECT 'weight' AS kind, source || '|' || target || '|' || relation AS subject, weight + 1.2::DOUBLE AS value FROM edges WHERE weight + 1.2::DOUBLE > 1.8::DOUBLE AND relation <> 'HAS'
+SELECT 'weight' AS kind, source || '|' || target || '|' || relation AS subject, weight + 1.2::DOUBLE AS value FROM edges WHERE weight + 1.2::DOUBLE > 1.8::DOUBLE
 UNION ALL SELECT 'conflict', domain, count(*) FILTER (k > 90)::DOUBLE FROM history GROUP BY domain HAVING count(*) FILTER (k > 90) > 10
 UNION ALL SELECT 'channel', domain, count(*)::DOUBLE FROM history WHERE created_at >= (SELECT max(created_at) FROM history) - INTERVAL 5 MINUTES GROUP BY domain HAVING count(*) > 5""")
 def alerts(spark, sf):
     h = S.history(spark, sf)
-    last = h.agg(F.max("created_at")).first()[0]
-    e = S.edges(spark, sf).filter("relation <> 'HAS'").withColumn("weight", F.col("weight") + 1.2)
-    return M.alerts(e, h.withColumn("conflict", F.coalesce(F.col("k") > 90, F.lit(False))), F.lit(last))
+    h = h.crossJoin(F.broadcast(h.agg(F.max("created_at").alias("last"))))  # one row
+    e = S.edges(spark, sf).withColumn("weight", F.col("weight") + 1.2)
+    return M.alerts(e, h.withColumn("conflict", F.coalesce(F.col("k") > 90, F.lit(False))), F.col("last"))
 
 
 @query("WITH " + HISTORY + " SELECT query_id, domain, confidence FROM history ORDER BY created_at DESC, query_id DESC LIMIT 20 OFFSET 40")
@@ -450,7 +450,7 @@ WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION
 r AS (
   SELECT user_id, event_id, i, ts AS start, 1 AS n FROM e WHERE i = 1
   UNION ALL
-  SELECT e.user_id, e.event_id, e.i, CASE WHEN epoch_us(e.ts) - epoch_us(r.start) >= 86400000000 THEN e.ts ELSE r.start END, CASE WHEN epoch_us(e.ts) - epoch_us(r.start) >= 86400000000 THEN 1 ELSE r.n + 1 END
+  SELECT e.user_id, e.event_id, e.i, CASE WHEN epoch_us(e.ts) - epoch_us(r.start) > 86400000000 THEN e.ts ELSE r.start END, CASE WHEN epoch_us(e.ts) - epoch_us(r.start) > 86400000000 THEN 1 ELSE r.n + 1 END
   FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
 SELECT event_id, n <= 2 AS allowed FROM r""")
 def rate_limit_fixed(spark, sf):
@@ -460,12 +460,12 @@ def rate_limit_fixed(spark, sf):
 @query("""
 WITH RECURSIVE e AS (SELECT user_id, event_id, ts, value > 60 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 r AS (
-  SELECT user_id, event_id, i, 'closed' AS state, true AS passed, CASE WHEN failed THEN 1 ELSE 0 END AS bad, NULL::TIMESTAMP AS opened FROM e WHERE i = 1
+  SELECT user_id, event_id, i, 'closed' AS state, true AS passed, CASE WHEN failed THEN 1 ELSE 0 END AS bad, CASE WHEN failed THEN ts END AS last, false AS is_open FROM e WHERE i = 1
   UNION ALL
-  SELECT user_id, event_id, i, CASE WHEN shut THEN 'open' WHEN opened IS NOT NULL THEN 'half_open' ELSE 'closed' END, NOT shut,
-         CASE WHEN shut THEN bad WHEN failed THEN bad + 1 ELSE 0 END, CASE WHEN shut THEN opened WHEN failed AND bad + 1 >= 3 THEN ts END
-  FROM (SELECT e.user_id, e.event_id, e.i, e.ts, e.failed, r.bad, r.opened, r.opened IS NOT NULL AND epoch_us(e.ts) - epoch_us(r.opened) < 86400000000 AS shut
-        FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+  SELECT user_id, event_id, i, CASE WHEN shut THEN 'open' ELSE 'closed' END, NOT shut, CASE WHEN shut THEN bad ELSE now END, CASE WHEN failed AND NOT shut THEN ts ELSE last END, shut OR (failed AND now >= 3)
+  FROM (SELECT *, CASE WHEN failed THEN (CASE WHEN is_open THEN 0 ELSE bad END) + 1 ELSE 0 END AS now
+        FROM (SELECT e.user_id, e.event_id, e.i, e.ts, e.failed, r.bad, r.last, r.is_open, r.is_open AND epoch_us(e.ts) - epoch_us(r.last) <= 86400000000 AS shut
+              FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)))
 SELECT event_id, state, passed FROM r""")
 def circuit_breaker(spark, sf):
     calls = S.table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), "ts", (F.col("value") > 60).alias("failed"))

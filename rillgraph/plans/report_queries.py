@@ -215,19 +215,18 @@ def goals_terms(spark, sf):
 
 @query(with_(EDGES, GOALS) + """,
 last AS (SELECT max(ts) AS t FROM events)
-SELECT 'weight' AS kind, source || '|' || target AS subject, weight + 1.2::DOUBLE AS value FROM edges WHERE weight + 1.2::DOUBLE > 1.8::DOUBLE AND relation <> 'HAS'
+SELECT 'weight' AS kind, source || '|' || target AS subject, weight + 1.2::DOUBLE AS value FROM edges WHERE weight + 1.2::DOUBLE > 1.8::DOUBLE
 UNION ALL SELECT 'conflict', 'd' || p_partkey, p_size::DOUBLE FROM part WHERE p_size > 10
 UNION ALL SELECT 'pool', 'goals', n FROM (SELECT count(*)::DOUBLE AS n FROM goals WHERE status IN ('pending', 'exploring')) WHERE n > 80
 UNION ALL SELECT 'channel', event_type, count(*)::DOUBLE FROM events, last WHERE user_id % 2 = 0 AND ts > t - INTERVAL 5 MINUTES GROUP BY 2 HAVING count(*) > 5""")
 def alerts_all(spark, sf):
     """Every kind of alert: weights, conflicts, a full pool, channels that lag."""
     e = S.table(spark, sf, "events")
-    last = e.agg(F.max("ts")).first()[0]
     monitors = S.table(spark, sf, "part").select(S.key("meta", "p_partkey").alias("label"), F.create_map(F.lit("conflict_frequency"), F.col("p_size").cast("double")).alias("metrics"))
     monitors = monitors.withColumn("label", F.regexp_replace("label", "^meta:", "meta:d"))
-    events = e.select(F.col("event_type").alias("channel"), "ts", (F.col("user_id") % 2 == 1).alias("processed"))
-    edges = S.edges(spark, sf).filter("relation <> 'HAS'").withColumn("weight", F.col("weight") + 1.2)
-    return P.alerts(edges, monitors, _goals(spark, sf), events, F.lit(last), pool=100)
+    events = e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("last")))).select(F.col("event_type").alias("channel"), "ts", "last", (F.col("user_id") % 2 == 1).alias("processed"))  # one row
+    edges = S.edges(spark, sf).withColumn("weight", F.col("weight") + 1.2)
+    return P.alerts(edges, monitors, _goals(spark, sf), events, F.col("last"), pool=100)
 
 
 @query(with_(SEEDS, PART_EDGES, HISTORY) + """
@@ -241,12 +240,13 @@ def status_rollup(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || 'Z' WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+08:00' ELSE 'at noon' END AS text, date_trunc('second', ts) AS s FROM events)
-SELECT event_id, CASE WHEN event_id % 4 < 3 THEN s END AS at FROM t""")
+WITH t AS (SELECT event_id, date_trunc('second', ts) AS s FROM events)
+SELECT event_id, CASE event_id % 6 WHEN 2 THEN s - INTERVAL 8 HOURS WHEN 3 THEN s + INTERVAL 5 HOURS WHEN 4 THEN NULL ELSE s END AS at FROM t""")
 def parsed_times(spark, sf):
-    """Times with and without zones, and one that is none."""
+    """Times with and without zones, with a zone that is none, and a clock without a day."""
     i, day, clock = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss")
-    text = F.when(i % 4 == 0, F.concat(day, F.lit("T"), clock)).when(i % 4 == 1, F.concat(day, F.lit(" "), clock, F.lit("Z"))).when(i % 4 == 2, F.concat(day, F.lit("T"), clock, F.lit("+08:00"))).otherwise("at noon")
+    text = F.when(i % 6 == 0, F.concat(day, F.lit("T"), clock)).when(i % 6 == 1, F.concat(day, F.lit(" "), clock, F.lit("Z")))
+    text = text.when(i % 6 == 2, F.concat(day, F.lit("T"), clock, F.lit("+08:00"))).when(i % 6 == 3, F.concat(day, F.lit("T"), clock, F.lit("-05:00"))).when(i % 6 == 4, "12:00:00").otherwise(F.concat(day, F.lit("T"), clock, F.lit("+noon")))
     return S.table(spark, sf, "events").select("event_id", T.timestamp_of(text).cast("timestamp_ntz").alias("at"))
 
 

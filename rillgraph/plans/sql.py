@@ -16,7 +16,7 @@ seeds AS (
 PART_EDGES = """
 items AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
 together AS (SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS n FROM items a JOIN items b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2),
-part_edges AS (
+part_edges AS MATERIALIZED (
   SELECT 'part:' || a AS source, 'part:' || b AS target, 'COOCCURS_WITH' AS relation, CASE WHEN n >= 4 THEN 0.7 WHEN n = 3 THEN 0.5 ELSE 0.3 END::DOUBLE AS weight FROM together
   UNION ALL SELECT 'part:' || p_partkey, 'brand:' || p_brand, 'IS_A', 0.8::DOUBLE FROM part)"""
 
@@ -56,11 +56,11 @@ def ripple(depth: int, edges: str = "part_edges", virtual: bool = False) -> str:
 state0 AS (SELECT query_id, label, 1.0::DOUBLE AS activation, 0 AS depth, NULL::VARCHAR AS parent FROM matched)"""]
     for w in range(1, depth + 1):
         parts.append(f"""
-hop{w} AS (
+hop{w} AS MATERIALIZED (
   SELECT s.query_id, s.label AS source, e.target, e.relation, {weight} AS weight, {w} AS depth, s.activation * ({weight}) * {0.7**w!r}::DOUBLE AS contribution
   FROM state{w - 1} s JOIN {edges} e ON e.source = s.label WHERE s.depth = {w - 1} AND e.source NOT LIKE 'meta:%'),
 gain{w} AS (SELECT query_id, target AS label, {exact('contribution')} AS gain, (list(source ORDER BY contribution DESC, source))[1] AS origin FROM hop{w} GROUP BY 1, 2),
-state{w} AS (
+state{w} AS MATERIALIZED (
   SELECT coalesce(s.query_id, g.query_id) AS query_id, coalesce(s.label, g.label) AS label, least(2.0::DOUBLE, coalesce(s.activation, 0) + coalesce(g.gain, 0)) AS activation,
          coalesce(s.depth, {w}) AS depth, CASE WHEN s.depth IS NULL THEN g.origin ELSE s.parent END AS parent
   FROM state{w - 1} s FULL JOIN gain{w} g ON s.query_id = g.query_id AND s.label = g.label)""")

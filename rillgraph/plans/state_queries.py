@@ -148,7 +148,7 @@ def rolling_counts(spark, sf):
 
 @query()
 def visual_activation(spark, sf):
-    """Frames of 7 x 3 pixels whose bytes are an embedding's components, scaled."""
-    bytes_ = F.expr("unhex(array_join(transform(slice(embedding, 1, 63), x -> lpad(hex(cast(least(greatest((x + 3) * 42, 0), 255) as bigint)), 2, '0')), ''))")
-    frames = S.table(spark, sf, "embeddings").filter("size(embedding) >= 63").select(F.col("vec_id").alias("frame_id"), F.lit(7).alias("width"), F.lit(3).alias("height"), bytes_.alias("rgb"))
+    """Grey frames of 8 pixels a row, one pixel per component of an embedding, scaled; the last row is filled with black."""
+    bytes_ = F.expr("unhex(rpad(array_join(transform(embedding, x -> repeat(lpad(hex(cast(least(greatest((coalesce(x, 0) + 3) * 42, 0), 255) as bigint)), 2, '0'), 3)), ''), cast(ceil(size(embedding) / 8) as int) * 48, '0'))")
+    frames = S.table(spark, sf, "embeddings").filter("size(embedding) > 0").select(F.col("vec_id").alias("frame_id"), F.lit(8).alias("width"), F.ceil(F.size("embedding") / 8).cast("int").alias("height"), bytes_.alias("rgb"))
     return P.visual(E.visual_features(frames))

@@ -267,10 +267,10 @@ def top_unmatched(spark, sf):
 
 
 @query("WITH " + WORDS + """,
-alias AS (SELECT upper(word) AS alias, word AS label FROM known)
+alias AS (SELECT translate(word, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS alias, word AS label FROM known)
 SELECT word FROM active UNION SELECT alias FROM alias WHERE label IN (SELECT word FROM active)""")
 def active_words(spark, sf):
     """Active labels and their aliases."""
     _, _, active = _words(spark, sf)
     known = S.table(spark, sf, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{2,}"), F.lit(0))).alias("label")).distinct()
-    return V.active_words(active, known.select(F.upper("label").alias("alias"), "label"))
+    return V.active_words(active, known.select(F.translate("label", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("alias"), "label"))

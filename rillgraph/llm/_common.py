@@ -22,10 +22,10 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
-def aside(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """docs with all but the needed columns under names that no operator makes, and the way back to docs' columns."""
+def aside(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs with all but the needed columns under names that no operator makes, and the way back to docs' columns and any made ones that are named."""
     names = {n: n if n in needed else f"__column{i}" for i, n in enumerate(docs.columns)}
-    return docs.toDF(*names.values()), lambda df: df.select(*(F.col(made).alias(n) for n, made in names.items()))
+    return docs.toDF(*names.values()), lambda df, *made: df.select(*(F.col(own).alias(n) for n, own in names.items()), *made)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -155,7 +155,7 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, broadca
     name of a result give way to it.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped", "kept")
+    docs, back = _common.aside(docs.drop("n_lines", "n_dropped", "kept"), ("text",))
     n = frequent.count()
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + _OUT
     where = docs.columns.index("text")
@@ -175,7 +175,7 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, broadca
                 yield _with_kept(rows, rows.columns, rows.schema.names, drops)
             pa.default_memory_pool().release_unused()
 
-        return docs.mapInArrow(rewrite, out_schema)
+        return back(docs.mapInArrow(rewrite, out_schema), "n_lines", "n_dropped", "kept")
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -209,7 +209,7 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, broadca
                 drops.append((text, drop.tolist()))
             yield _with_kept(rows, rows.columns[:-1], rows.schema.names[:-1], iter(drops))
 
-    return base.mapInArrow(cut, out_schema)
+    return back(base.mapInArrow(cut, out_schema), "n_lines", "n_dropped", "kept")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fan_in: int = 4, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -160,6 +160,7 @@ def repeat(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float =
 
     The rows are written once with their sizes and keys: the texts are searched once, and no row moves.
     """
+    docs, back = _common.aside(docs, ("doc_id", "text", "source"))
     rows, _ = _common.written(_sized(docs, seed), "mix-rows")
     out = _assigned(rows, plan(rows, weights, total, most, buckets, window)).filter("__times > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    return back(out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))))

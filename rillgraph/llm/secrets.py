@@ -198,7 +198,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", ind
 
     index: kept postings of docs with at least the trigrams of the rules; without one, those are posted first.
     """
-    docs = docs.drop("found")
+    docs, back = _common.aside(docs.drop("found"), (text,))
     grams = sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
     none = F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint>>)")
     source = docs
@@ -215,7 +215,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", ind
             possible = F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False)) & possible
         parts.append(F.when(possible, _spans(F.col(text), rule, rank)).otherwise(none))
     found = F.array_sort(F.concat(*parts))
-    return source.select(*(docs[c] for c in docs.columns), found.alias("found"))
+    return back(source.withColumn("found", found), "found")
 
 
 def named(found: Column, rules: Sequence[Rule] = RULES) -> Column:

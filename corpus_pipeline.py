@@ -42,8 +42,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies. Rows are told apart by a number of their own: ids may repeat or be null."""
-    tie = F.xxhash64(*docs.columns, *(F.isnull(c) for c in docs.columns))
-    rows, _ = _common.written(docs.select(F.struct(*docs.columns).alias("row"), tie.alias("tie"), F.monotonically_increasing_id().alias("key")), "near-rows")
+    plain, back = _common.aside(docs, ("doc_id", "text"))
+    others = [c for c in plain.columns if c not in ("doc_id", "text")]  # maps have no hash, but a text
+    tie = F.xxhash64("doc_id", "text", F.isnull("text"), F.to_json(F.struct(*others)) if others else F.lit(""))
+    rows, _ = _common.written(plain.select(F.struct(*plain.columns).alias("row"), tie.alias("tie"), F.monotonically_increasing_id().alias("key")), "near-rows")
     found = neardup.near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), n=5)
     found, _ = _common.written(found.select(F.col("doc_id").alias("key"), "component_id"), "near")
     groups = found.groupBy("component_id").count().filter("count > 1").select("component_id")
@@ -51,7 +53,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     members, _ = _common.written(found.join(groups, "component_id").join(rows.select("key", order.alias("order")), "key"), "near-members")
     first = members.groupBy("component_id").agg(F.min("order").alias("first"))
     gone, _ = _common.written(members.join(first, "component_id").filter("key <> first.key").select("key"), "near-gone")
-    return rows.join(gone, "key", "left_anti").select("row.*")
+    return back(rows.join(gone, "key", "left_anti").select("row.*"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

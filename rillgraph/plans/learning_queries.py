@@ -86,6 +86,34 @@ def pool_upgrade(spark, sf):
     return L.upgrade(S.part_edges(spark, sf), _pool(spark, sf))
 
 
+@query(with_(PART_EDGES, MATCHED, ripple(2), LEARN, VERDICTS, recursive=True) + """,
+sub AS MATERIALIZED (SELECT query_id AS asked, user_label, source, target, relation FROM deltas WHERE delta > 0),
+cand AS MATERIALIZED (SELECT source, target, relation, row_number() OVER (ORDER BY min(asked), source, target, relation) AS i FROM sub GROUP BY source, target, relation),
+near AS MATERIALIZED (SELECT source AS x, target AS n FROM part_edges UNION SELECT target, source FROM part_edges),
+size AS (SELECT x, count(*) AS n FROM near GROUP BY x),
+common AS (SELECT a.x AS a, b.x AS b, count(*) AS k FROM near a JOIN near b ON a.n = b.n GROUP BY a.x, b.x),
+sim AS MATERIALIZED (SELECT a, b, k, s.n + t.n - k AS u FROM common JOIN size s ON s.x = a JOIN size t ON t.x = b WHERE 10 * k > 4 * (s.n + t.n - k)),
+link AS MATERIALIZED (
+  SELECT DISTINCT c.i, d.i AS j FROM cand c JOIN sim s ON s.a = c.source JOIN sim t ON t.a = c.target JOIN cand d ON d.source = s.b AND d.target = t.b AND d.i < c.i WHERE 10 * s.k * t.k > 4 * s.u * t.u),
+linked AS MATERIALIZED (SELECT i, list(j) AS js, row_number() OVER (ORDER BY i) AS place FROM (SELECT i, j FROM link UNION SELECT j, NULL FROM link) GROUP BY i),
+run AS (
+  SELECT 0::BIGINT AS place, []::BIGINT[] AS led UNION ALL
+  SELECT l.place, CASE WHEN list_has_any(run.led, l.js) THEN run.led ELSE list_append(run.led, l.i) END FROM run JOIN linked l ON l.place = run.place + 1),
+led AS (SELECT unnest(led) AS i FROM (SELECT led FROM run ORDER BY place DESC LIMIT 1)),
+joins AS (SELECT link.i, min(j) AS j FROM link JOIN led ON led.i = j WHERE link.i NOT IN (SELECT i FROM led) GROUP BY link.i),
+final AS (SELECT c.*, coalesce(j, c.i) AS leader FROM cand c LEFT JOIN joins USING (i))
+SELECT l.source, l.target, l.relation, count(*) AS count, string_agg(DISTINCT user_label, ',' ORDER BY user_label) AS contributors, count(DISTINCT f.i) AS merged, CASE WHEN count(*) >= 3 THEN 'upgraded' ELSE 'pending' END AS status
+FROM sub s JOIN final f ON f.source = s.source AND f.target = s.target AND f.relation = s.relation JOIN cand l ON l.i = f.leader GROUP BY 1, 2, 3""")
+def pool_merged(spark, sf):
+    """The pool with equivalent candidates merged into the earliest."""
+    from rillgraph.operators import equivalence
+
+    edges = S.part_edges(spark, sf)
+    deltas, users = _deltas(spark, sf)
+    rows = deltas.filter("delta > 0").join(users, "query_id").withColumnRenamed("query_id", "at")
+    return equivalence.merged_pool(rows, edges).withColumn("contributors", F.array_join("contributors", ","))
+
+
 @query(with_(SEEDS, *BASE) + """
 SELECT DISTINCT source, target, relation, count FROM pool WHERE status = 'pending' AND (source IN (SELECT label FROM seeds WHERE domain = 'ECONOMY') OR target IN (SELECT label FROM seeds WHERE domain = 'ECONOMY'))""")
 def pool_by_domain(spark, sf):

@@ -111,7 +111,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, k: int = 5) -
     stream, _ = _common.written(_stream(docs, items, size, k), "prints")
     spots = stream.filter("len > 0").select("same", "len", F.explode(F.sequence(F.col("start") - F.col("skip"), F.col("stop") - 1 - F.col("skip"))).alias("start")).filter("start >= 0")
     spots, _ = _common.written(spots.groupBy("same").agg(F.collect_set(F.struct("start", "len")).alias("spots")), "spots")
-    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("same", F.unhex(F.sha2("text", 256))).join(spots, "same")
+    # eight bytes a candidate sift the texts first, without moving them while Spark may broadcast the keys
+    keys, _ = _common.written(spots.select(F.xxhash64("same").alias("key")), "spot-keys")
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("same", F.unhex(F.sha2("text", 256)))
+    texts = texts.join(keys, F.xxhash64("same") == F.col("key"), "left_semi").join(spots, "same")
     read = lambda w: F.transform("spots", lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), F.array_join(F.slice(w, s["start"] + 1, s["len"]), " ").alias("window")))
     hits = texts.select("same", F.inline(_let(words(F.col("text")), read))).join(items.windows, ["window", "len"]).select("same", "start", "len", "set").distinct()
     hits, _ = _common.written(hits, "window-hits")

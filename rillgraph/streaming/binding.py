@@ -28,6 +28,28 @@ def co_activations(percepts: DataFrame, concepts: DataFrame, window_ms: int = 10
     return p.join(c, near).select("percept_id", "concept_id", "percept", "concept")
 
 
+def joined_in_portions(spark: SparkSession, portions: list[DataFrame], folder: str, window_ms: int = 1000, late: str = "10 seconds", seen: list | None = None) -> DataFrame:
+    """Co-activations of events (EVENTS; views and clicks with purchases) that arrive in portions, a restart after each.
+
+    Both sides keep the events of the last window and `late`, not more: what is older is evicted as the watermark moves on, and what
+    comes later than it is dropped. seen: gets the progress of each trigger, with the rows in the state and those dropped.
+    """
+    for portion in portions:
+        portion.write.mode("append").parquet(f"{folder}/in")
+        side = lambda f: events(spark, f"{folder}/in", 1_000_000).filter(f).select("event_id", F.col("event_type").alias("seed"), "ts")
+        joined = co_activations(side("event_type in ('view', 'click')"), side("event_type = 'purchase'"), window_ms, late)
+        query = joined.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
+        if seen is not None:
+            seen += query.recentProgress
+    return spark.read.parquet(f"{folder}/rows")
+
+
+def state_rows(spark: SparkSession, folder: str, side: str = "left") -> DataFrame:
+    """What a stream-stream join keeps of a side after its last trigger, read back from its state."""
+    return spark.read.format("statestore").option("joinSide", side).load(f"{folder}/progress")
+
+
 def rolling_rates(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     """event_type, start, n, p99 over 5 minutes that slide by one."""
     out = stream.withWatermark("ts", late).groupBy(F.window("ts", "5 minutes", "1 minute").alias("w"), "event_type").agg(F.count("*").alias("n"), F.percentile_approx("value", 0.99).alias("p99"))

@@ -1,9 +1,12 @@
 """Spreading activation for many queries at once: one join and one aggregation per wave.
 
-Every wave the frontier meets the edges on the source; contributions are summed per (query, target) and merged into
-the state by one aggregation over both. Nodes that are new become the next frontier; active ones gain but emit no more.
-Activation is that at the wave's start, so the result does not depend on row order. The edges and each wave's state are
-written once, so that a wave reads its predecessor instead of computing it again, and lost executors cost one wave.
+Every wave the frontier meets the edges on the source, and what passes is written as the log of paths. The next frontier is what a wave
+reaches and no wave before did: its contributions summed by (query, target), less the nodes that are active already. Active nodes gain
+but emit no more, so the whole state is made once, at the end, from the start and the log: per node one sum for each wave, added wave by
+wave under the limit. Activation is that at the wave's start, so the result does not depend on row order. Lost executors cost one wave.
+
+The join reads the frontier and the edges from files, so adaptive execution broadcasts small edges and splits hubs and popular
+nodes on either side of a shuffled join.
 """
 
 from __future__ import annotations
@@ -36,20 +39,21 @@ def preactivated(users: DataFrame, edges: DataFrame) -> DataFrame:
     return base.unionByName(near.select("query_id", F.col("target").alias("label"), "activation", F.lit(1).alias("depth"), "parent"))
 
 
-def _merged(state: DataFrame, hop: DataFrame, wave: int) -> DataFrame:
-    """The state after a wave's contributions: one shuffle of both."""
+def _state(start: DataFrame, paths: DataFrame | None, depth: int) -> DataFrame:
+    """query_id, label, activation, depth, parent from the start and the log of `depth` waves: one shuffle of both."""
+    if paths is None:
+        return start.select("query_id", "label", "activation", "depth", "parent")
     nothing = lambda kind: F.lit(None).cast(kind)
-    old = state.select("query_id", "label", "activation", "depth", "parent", "emits", nothing("double").alias("contribution"), nothing("string").alias("source"))
-    new = hop.select("query_id", F.col("target").alias("label"), nothing("double").alias("activation"), nothing("int").alias("depth"), nothing("string").alias("parent"), nothing("boolean").alias("emits"), "contribution", "source")
-    # rows without a contribution have no order, so the strongest source is sought among the others
-    strongest = F.min_by("source", F.when(F.col("contribution").isNotNull(), F.struct(-F.col("contribution"), F.col("source"))))
-    sums = old.unionAll(new).groupBy("query_id", "label").agg(
-        F.max("activation").alias("activation"), F.min("depth").alias("depth"), F.max("parent").alias("parent"), F.max("emits").alias("emits"),
-        exact_sum(F.col("contribution")).alias("gain"), strongest.alias("from"),
-    )
-    total = F.least(F.lit(CONFIG.max_activation), F.coalesce("activation", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0)))
-    parent = F.when(F.col("depth").isNull(), F.col("from")).otherwise(F.col("parent"))
-    return sums.select("query_id", "label", total.alias("activation"), F.coalesce("depth", F.lit(wave)).alias("depth"), parent.alias("parent"), F.coalesce("emits", F.lit(True)).alias("emits"))
+    old = start.select("query_id", "label", "activation", "depth", "parent", nothing("int").alias("wave"), nothing("double").alias("contribution"), nothing("string").alias("source"))
+    new = paths.select("query_id", F.col("target").alias("label"), nothing("double").alias("activation"), nothing("int").alias("depth"), nothing("string").alias("parent"), F.col("depth").alias("wave"), "contribution", "source")
+    gains = [exact_sum(F.when(F.col("wave") == w, F.col("contribution"))).alias(f"gain{w}") for w in range(1, depth + 1)]
+    # the strongest source of the first wave; rows of the start have no order
+    first = F.min_by("source", F.when(F.col("wave").isNotNull(), F.struct("wave", -F.col("contribution"), "source")))
+    sums = old.unionAll(new).groupBy("query_id", "label").agg(F.max("activation").alias("activation"), F.min("depth").alias("depth"), F.max("parent").alias("parent"), F.min("wave").alias("wave"), first.alias("from"), *gains)
+    total = F.coalesce("activation", F.lit(0.0))
+    for w in range(1, depth + 1):
+        total = F.least(F.lit(CONFIG.max_activation), total + F.coalesce(f"gain{w}", F.lit(0.0)))
+    return sums.select("query_id", "label", total.alias("activation"), F.coalesce("depth", "wave").alias("depth"), F.when(F.col("depth").isNull(), F.col("from")).otherwise(F.col("parent")).alias("parent"))
 
 
 def ripple(matched: DataFrame, edges: DataFrame, depth: int = CONFIG.ripple_depth, users: DataFrame | None = None, personal: DataFrame | None = None, cold: DataFrame | None = None, virtual: bool = False) -> Ripple:
@@ -59,16 +63,15 @@ def ripple(matched: DataFrame, edges: DataFrame, depth: int = CONFIG.ripple_dept
     cold (user_label, factor), change the weights that leave matched nodes. Nodes named meta: emit nothing.
     """
     edges = written(edges.filter(~F.col("source").startswith("meta:")), "ripple-edges")
-    state = matched.select("query_id", "label").distinct().withColumns({"activation": F.lit(CONFIG.initial_activation), "depth": F.lit(0), "parent": F.lit(None).cast("string"), "emits": F.lit(True)})
+    start = matched.select("query_id", "label").distinct().withColumns({"activation": F.lit(CONFIG.initial_activation), "depth": F.lit(0), "parent": F.lit(None).cast("string"), "emits": F.lit(True)})
     if users is not None:
         # what only the user's node points to is active but emits nothing
         before = preactivated(users, edges).join(matched.select("query_id", "label"), ["query_id", "label"], "left_anti")
-        state = state.unionByName(before.withColumn("emits", F.lit(False)))
-    paths = None
+        start = start.unionByName(before.withColumn("emits", F.lit(False)))
+    start = written(start, "ripple-start")
+    frontier, active, paths = start.filter("emits").select("query_id", F.col("label").alias("source"), F.col("activation").alias("emitted")), start.select("query_id", "label"), None
     for wave in range(1, depth + 1):
-        state = written(state, "ripple-state")
-        frontier = state.filter(F.col("emits") & (F.col("depth") == wave - 1))
-        hop = frontier.select("query_id", F.col("label").alias("source"), F.col("activation").alias("emitted")).join(edges, "source")
+        hop = frontier.join(edges, "source")
         own, factor = F.lit(0.0), F.lit(1.0)
         if users is not None and personal is not None and wave == 1:
             hop = hop.join(users, "query_id", "left")
@@ -79,9 +82,14 @@ def ripple(matched: DataFrame, edges: DataFrame, depth: int = CONFIG.ripple_dept
                 factor = F.coalesce("__cold", F.lit(1.0))
         weight = layered_weight(F.col("weight"), own, factor, virtual)
         hop = hop.select("query_id", "source", "target", "relation", weight.alias("weight"), F.lit(wave).alias("depth"), (F.col("emitted") * weight * CONFIG.ripple_decay**wave).alias("contribution"))
+        hop = written(hop, "ripple-paths")
         paths = hop if paths is None else paths.unionByName(hop)
-        state = _merged(state, hop, wave)
-    return Ripple(state.drop("emits"), paths)
+        if wave < depth:
+            gained = hop.groupBy("query_id", F.col("target").alias("label")).agg(exact_sum(F.col("contribution")).alias("gain"))
+            new = gained.join(active, ["query_id", "label"], "left_anti").select("query_id", F.col("label").alias("source"), F.least(F.lit(CONFIG.max_activation), F.col("gain")).alias("emitted"))
+            frontier = written(new, "ripple-frontier")
+            active = active.unionAll(frontier.select("query_id", F.col("source").alias("label")))
+    return Ripple(_state(start, paths, depth), paths)
 
 
 def domain_scores(activated: DataFrame, seeds: DataFrame) -> DataFrame:

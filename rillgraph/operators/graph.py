@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rillgraph.config import CONFIG
 from rillgraph.functions.columns import domain_or
-from rillgraph.session import written
+from rillgraph.session import Scratch, written
 
 
 def alias_index(seeds: DataFrame) -> DataFrame:
@@ -125,29 +125,44 @@ def associations(activated: DataFrame, edges: DataFrame, threshold: float = 0.1,
 
 
 def infer_domains(seeds: DataFrame, edges: DataFrame, depth: int = CONFIG.isa_depth) -> DataFrame:
-    """label, inferred, method, hops: each blank node's domain from its nearest ancestor along IS_A; else the default.
+    """label, inferred, method, hops: each blank node's domain from its nearest ancestor along IS_A (is_a); else the default.
 
-    One join per level over the nodes still open: those with a domain and ancestors met before drop out, so cycles end
-    and the levels stop as soon as none is open. Ties of the nearest level go to the smaller domain.
+    method tells why there is none: cycle, if the ascent meets a node twice, else fallback. Ties of the nearest level go to the smaller
+    domain. What an ascent has found within m steps is joined with what those m steps away have found, so the steps double and
+    `depth` of them take log2(depth) rounds. A round carries the nodes exactly m steps up, for nodes still open, and all met so far; what
+    a node met before it found a domain still tells others, whose `depth` ends earlier, about rings.
     """
-    up = edges.filter("relation = 'IS_A'").select(F.col("source").alias("at"), F.col("target").alias("parent"))
-    # every level reads these: they are made once
-    up, nodes = written(up, "isa"), written(seeds.select("label", "domain"), "nodes")
-    known = nodes.filter("domain <> ''").select(F.col("label").alias("parent"), "domain")
-    blank = nodes.filter("coalesce(domain, '') = ''").select("label")
-    open_ = blank.withColumn("at", F.col("label"))
-    met, found = open_, None
-    for hop in range(1, depth + 1):
-        step = open_.join(up, "at").select("label", "parent").distinct().join(known, "parent", "left")
-        step = written(step.select("label", F.col("parent").alias("at"), "domain"), "isa-level")
-        hit = step.filter("domain is not null").groupBy("label").agg(F.min("domain").alias("domain")).withColumn("hops", F.lit(hop).cast("long"))
-        found = hit if found is None else found.unionByName(hit)
-        open_ = step.select("label", "at").join(hit, "label", "left_anti").join(met, ["label", "at"], "left_anti")
-        if open_.isEmpty():
-            break
-        met = met.unionByName(step.select("label", "at"))
-    out = blank.join(found.withColumnRenamed("domain", "d"), "label", "left")
-    return out.select("label", F.coalesce("d", F.lit(CONFIG.default_domain)).alias("inferred"), F.when(F.col("d").isNull(), "fallback").otherwise("is_a").alias("method"), "hops")
+    spark = seeds.sparkSession
+    with Scratch(spark) as scratch:
+        put = scratch.put
+        nodes = put(seeds.select("label", F.nullif("domain", F.lit("")).alias("domain")), "nodes")
+        blank = nodes.filter("domain is null").select("label").distinct()
+        isa = edges.filter("relation = 'IS_A'").select(F.col("source").alias("label"), F.col("target").alias("at")).distinct()
+        up = put(isa.join(blank, "label", "left_semi").join(nodes.groupBy(F.col("label").alias("at")).agg(F.min("domain").alias("domain")), "at", "left"), "isa")
+        # found: the nearest domain within m steps; exact: who is m steps up; met: all that an open node's ascent met
+        found = put(up.filter("domain is not null").groupBy("label").agg(F.min("domain").alias("domain")).withColumn("hops", F.lit(1).cast("long")), "isa-found")
+        exact = put(up.filter("domain is null").select("label", "at").join(found, "label", "left_anti"), "isa-exact")
+        met = put(exact.withColumn("hops", F.lit(1).cast("long")), "isa-met")
+        m = 1
+        while m < depth and not exact.isEmpty():
+            far = exact.join(found.withColumnRenamed("label", "at"), "at").withColumn("hops", F.col("hops") + m).filter(F.col("hops") <= depth)
+            new = put(far.groupBy("label").agg(F.min(F.struct("hops", "domain")).alias("n")).select("label", "n.domain", "n.hops"), "isa-found")
+            open_ = put(exact.join(new, "label", "left_anti"), "isa-open")
+            more = exact.join(met.select(F.col("label").alias("at"), F.col("at").alias("to"), "hops"), "at").select("label", F.col("to").alias("at"), (F.col("hops") + m).alias("hops")).filter(F.col("hops") <= depth)
+            met = put(met.unionByName(more).groupBy("label", "at").agg(F.min("hops").alias("hops")), "isa-met")
+            exact = put(open_.join(exact.select(F.col("label").alias("at"), F.col("at").alias("to")), "at").select("label", F.col("to").alias("at")).distinct(), "isa-exact")
+            found = found.unionByName(new)
+            m *= 2
+        # an ascent is a tree if each parent that it comes upon is a new one
+        parents = put(up.groupBy(F.col("label").alias("at")).agg(F.count("*").alias("parents")), "isa-parents")
+        seen = met.filter("label <> at").groupBy("label").agg(F.count("*").alias("seen"))
+        upon = met.filter((F.col("hops") < depth) & (F.col("label") != F.col("at"))).join(parents, "at").groupBy("label").agg(F.sum("parents").alias("more"))
+        again = seen.join(upon, "label", "left").unionByName(met.filter("label = at").select("label", F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("more")))
+        again = again.groupBy("label").agg(F.sum("seen").alias("seen"), F.sum("more").alias("more")).join(parents.withColumnRenamed("at", "label"), "label")
+        again = again.filter(F.col("parents") + F.coalesce("more", F.lit(0)) > F.col("seen")).select("label", F.lit(True).alias("__again"))
+        out = blank.join(found, "label", "left").join(again, "label", "left")
+        method = F.when(F.col("domain").isNotNull(), "is_a").when(F.col("__again"), "cycle").otherwise("fallback")
+        return written(out.select("label", F.coalesce("domain", F.lit(CONFIG.default_domain)).alias("inferred"), method.alias("method"), "hops"), "inferred")
 
 
 #: Keywords that are broadcast and tried on each text; more are looked up by the text's pieces.

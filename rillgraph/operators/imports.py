@@ -43,12 +43,13 @@ def titled(articles: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def chained_domains(seeds: DataFrame, edges: DataFrame, words: DataFrame | None = None, categories: DataFrame | None = None, depth: int = CONFIG.isa_depth) -> DataFrame:
     """label, inferred, method: of each blank node by its nearest ancestor, else its dictionary text, else its categories, else the default.
+    An ascent that meets a node twice (cycle) ends at the default.
 
     words and categories are (texts, keywords) as keyword_domain and category_domain take them, with id = label; a
     source that is not there is skipped.
     """
-    out = infer_domains(seeds, edges, depth).select("label", F.when(F.col("method") == "is_a", F.col("inferred")).alias("is_a"))
-    methods = ["is_a"]
+    out = infer_domains(seeds, edges, depth).select("label", F.when(F.col("method") == "is_a", F.col("inferred")).alias("is_a"), F.when(F.col("method") == "cycle", CONFIG.default_domain).alias("cycle"))
+    methods = ["is_a", "cycle"]
     for name, given, rule in (("dictionary", words, keyword_domain), ("category", categories, category_domain)):
         if given is not None:
             out = out.join(rule(*given).select(F.col("id").alias("label"), F.col("domain").alias(name)), "label", "left")

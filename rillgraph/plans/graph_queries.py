@@ -348,3 +348,21 @@ def category_domain(spark, sf):
     kw = spark.createDataFrame([(0, "page", "site"), (1, "en", "english"), (2, "fr", "french")], "pos int, keyword string, domain string")
     c = S.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.posexplode(F.split("url", "/")).alias("pos", "category"))
     return G.category_domain(c, kw)
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS i, p_type, p_partkey % 250 AS pos, p_partkey // 250 AS block FROM part),
+b AS (SELECT block, count(*) = 250 AS whole, max(CASE WHEN pos = 249 THEN p_type END) AS top FROM p GROUP BY block)
+SELECT 'part:' || i AS label, CASE WHEN whole AND block % 2 = 0 THEN top ELSE '常识' END AS inferred, CASE WHEN NOT whole THEN 'fallback' WHEN block % 2 = 0 THEN 'is_a' ELSE 'cycle' END AS method, CASE WHEN whole AND block % 2 = 0 THEN 249 - pos END AS hops
+FROM p JOIN b USING (block) WHERE NOT (pos = 249 AND block % 2 = 0)""")
+def domain_deep(spark, sf):
+    """Chains of 250 parts that end at a domain, and rings of 250: up to 1,000 steps up."""
+    i = F.col("p_partkey")
+    pos, block = i % 250, F.floor(i / 250)
+    part = S.table(spark, sf, "part")
+    top = (pos == 249) & (block % 2 == 0)
+    nodes = part.select(S.key("part", "p_partkey").alias("label"), F.when(top, F.col("p_type")).otherwise("").alias("domain"))
+    to = F.when(pos < 249, i + 1).when(block % 2 == 1, block * 250)
+    chain = part.select(S.key("part", "p_partkey").alias("source"), F.concat(F.lit("part:"), to.cast("string")).alias("target"), F.lit("IS_A").alias("relation")).filter("target is not null")
+    chain = chain.join(nodes.select(F.col("label").alias("target")), "target", "left_semi")
+    return G.infer_domains(nodes, chain, 1000)

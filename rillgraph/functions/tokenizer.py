@@ -23,6 +23,8 @@ from rillgraph.operators.graph import fuzzy_match
 from rillgraph.session import share_code
 
 LONGEST = 8
+#: Candidate strings that a task hands on at once.
+BATCH = 100_000
 SCOPE = 4
 # The negation words.
 NEGATION_WORDS = ("不是", "并非", "没有", "不会", "不能", "不要", "并非是", "不", "没", "非", "无", "别", "莫", "勿")
@@ -123,17 +125,25 @@ def tokenize(queries: DataFrame, labels: DataFrame, aliases: DataFrame, script:
     Repeated query ids are one query each time they come with another text. Null and empty texts have no token.
     """
     share_code(queries.sparkSession)
-    rows = queries.select(F.col("query_id").cast("long"), "text").filter("text is not null").distinct()
+    # candidates travel under 128 hashed bits of their query, not with its text
+    row = F.struct(F.xxhash64("query_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "query_id").alias("b"))
+    rows = queries.select(F.col("query_id").cast("long"), "text").filter("text is not null").distinct().withColumn("row", row)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            of = [(q, t, w) for q, t in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True) for w in candidates(t, script)]
-            q, t, w = zip(*of, strict=True) if of else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(t, pa.string()), pa.array(w, pa.string())], names=["query_id", "text", "word"])
-
-    asked = rows.mapInArrow(explode, "query_id long, text string, word string")
+            at, words = [], []
+            for i, text in enumerate(r.column(1).to_pylist()):
+                own = candidates(text, script)
+                at += [i] * len(own)
+                words += own
+                if len(words) >= BATCH:
+                    yield pa.RecordBatch.from_arrays([r.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.string())], names=["row", "word"])
+                    at, words = [], []
+            yield pa.RecordBatch.from_arrays([r.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.string())], names=["row", "word"])
+
+    asked = rows.select("row", "text").mapInArrow(explode, "row struct<a:long,b:long>, word string")
     finds = lookup(asked.select("word"), labels, aliases)
-    of = asked.join(finds, "word").groupBy("query_id", "text").agg(F.collect_list(F.struct("word", "how", "label")).alias("finds"))
+    of = asked.join(finds, "word").groupBy("row").agg(F.collect_list(F.struct("word", "how", "label")).alias("finds"))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
@@ -145,7 +155,7 @@ def tokenize(queries: DataFrame, labels: DataFrame, aliases: DataFrame, script:
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["query_id", "pos", "text", "how", "label", "excluded"])
 
-    return rows.join(of, ["query_id", "text"], "left").select("query_id", "text", "finds").mapInArrow(order, TOKEN)
+    return rows.join(of, "row", "left").select("query_id", "text", "finds").mapInArrow(order, TOKEN)
 
 
 def matched_seeds(found: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillgraph.config import CONFIG
 from rillgraph.functions import text as T
-from rillgraph.functions.columns import exact_sum
+from rillgraph.functions.columns import clean_answer, exact_sum
 from rillgraph.session import written
 
 
@@ -27,11 +27,12 @@ def active_words(active: DataFrame, aliases: DataFrame) -> DataFrame:
     return active.select("word").union(aliases.join(active.select(F.col("word").alias("label")), "label", "left_semi").select("alias")).distinct()
 
 
-def verify(answers: DataFrame, words: DataFrame, active: DataFrame) -> DataFrame:
-    """answer_id, n_keywords, confidence, direction, verdict. words: answer_keywords(); active: word.
+def verify(answers: DataFrame, words: DataFrame, active: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """answer_id, n_keywords, confidence, direction, verdict. words: answer_keywords(); active: word; aliases (alias, label) of active nodes count as these do.
 
     confidence is the matched share of the keywords' weight; without keywords it is .5 and the verdict uncertain.
     """
+    active = active if aliases is None else active_words(active, aliases)
     a = active.select(F.col("word").alias("__active")).distinct()
     hit = words.join(a, F.col("word") == F.col("__active"), "left")
     total = hit.groupBy("answer_id").agg(F.count("*").alias("n"), exact_sum(F.col("weight")).alias("all"), exact_sum(F.when(F.col("__active").isNotNull(), F.col("weight")).otherwise(0.0)).alias("hit"))
@@ -116,27 +117,69 @@ def answers_json(activated: DataFrame, scores: DataFrame, seeds: DataFrame, rela
     return out.select("query_id", F.to_json(F.struct(*fields)).alias("answer"))
 
 
-def prompts(nodes: DataFrame, paths: DataFrame, queries: DataFrame, budget: int = CONFIG.context_tokens, chars: int = CONFIG.query_chars) -> DataFrame:
-    """query_id, prompt, tokens: a block of nodes within 60 % of the token budget, one of paths within 40 %, and the query's first characters.
+# The context's headings and what stands where a block is empty.
+CONTEXT = ("## 知识上下文", "### 激活的概念", "### 概念间关系", "（无激活概念）", "（无概念间关系）")
 
-    nodes: query_id, rank, label, domain; paths: query_id, rank, source, relation, target; queries: query_id, text.
+
+def prompts(nodes: DataFrame, paths: DataFrame, queries: DataFrame, budget: int = CONFIG.context_tokens, chars: int = CONFIG.query_chars, system: str = "") -> DataFrame:
+    """query_id, prompt, context, tokens (of the context), truncated (whether a node or path found no room).
+
+    A block of nodes with domain and definition within 60 % of the token budget, one of paths with their weights within 40 %, and the
+    query's first characters, below `system`. A line costs what it takes in full, with brackets for an empty domain and the relation's own
+    name. nodes: query_id, rank, label, domain, definition; paths: query_id, rank, source, relation, target, weight; queries: query_id, text.
     """
     from rillgraph.operators.ripple import within_budget
+    from rillgraph.operators.state import relation_name
+
+    def block(rows: DataFrame, full: Column, line: Column, share: float, name: str) -> DataFrame:
+        rows = rows.select("query_id", "rank", line.alias("line"), T.estimated_tokens(full).alias("cost"))
+        kept = within_budget(rows, "cost", ["rank"], int(budget * share)).groupBy("query_id").agg(F.array_join(_ordered(F.struct("rank", "line"), "line"), "\n").alias(name), F.count("*").alias(f"kept_{name}"))
+        return rows.groupBy("query_id").agg(F.count("*").alias(f"all_{name}")).join(kept, "query_id", "left")
 
-    def block(rows: DataFrame, line: Column, share: float, name: str) -> DataFrame:
-        rows = rows.select("query_id", "rank", line.alias("line")).withColumn("cost", T.estimated_tokens(F.col("line")))
-        kept = within_budget(rows, "cost", ["rank"], budget * share)
-        return kept.groupBy("query_id").agg(F.array_join(_ordered(F.struct("rank", "line"), "line"), "\n").alias(name))
+    def of(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(""))
 
-    n = block(nodes, F.concat(F.lit("- "), "label", F.lit(" ("), F.coalesce("domain", F.lit("")), F.lit(")")), 0.6, "n")
-    p = block(paths, F.concat(F.lit("- "), "source", F.lit(" "), "relation", F.lit(" "), "target"), 0.4, "p")
+    domain, definition = of("domain"), of("definition")
+    short = F.concat(F.lit("- "), "label", F.when(domain != "", F.concat(F.lit(" ["), domain, F.lit("]"))).otherwise(""), F.when(definition != "", F.concat(F.lit(": "), definition)).otherwise(""))
+    n = block(nodes, F.concat(F.lit("- "), "label", F.lit(" ["), domain, F.lit("]: "), definition), short, 0.6, "n")
+    step = lambda relation: F.concat(F.lit("- "), "source", F.lit(" --["), relation, F.lit("]--> "), "target", F.format_string(" (关联度: %.2f)", F.col("weight")))
+    p = block(paths, step(F.col("relation")), step(relation_name(F.col("relation"))), 0.4, "p")
     out = queries.join(n, "query_id", "left").join(p, "query_id", "left")
-    context = F.concat_ws("\n", F.coalesce("n", F.lit("（无激活概念）")), F.coalesce("p", F.lit("（无概念间关系）")))
-    return out.select("query_id", F.concat_ws("\n", context, F.substring("text", 1, chars)).alias("prompt"), T.estimated_tokens(context).alias("tokens"))
+    title, concepts, relations, no_node, no_path = map(F.lit, CONTEXT)
+    context = F.concat(title, F.lit("\n\n"), concepts, F.lit("\n"), F.coalesce("n", no_node), F.lit("\n\n"), relations, F.lit("\n"), F.coalesce("p", no_path), F.lit("\n"))
+    left_out = [F.coalesce(F.col(f"all_{x}"), F.lit(0)) > F.coalesce(F.col(f"kept_{x}"), F.lit(0)) for x in "np"]
+    out = out.select("query_id", context.alias("context"), F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("asked"), (left_out[0] | left_out[1]).alias("truncated"))
+    whole = F.concat(F.lit(f"{system}\n\n" if system else ""), "context", F.lit("\n"), "asked")
+    return out.select("query_id", whole.alias("prompt"), "context", T.estimated_tokens(F.col("context")).alias("tokens"), "truncated")
 
 
-def infer(prompts_: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None) -> DataFrame:
-    """query_id, answer by a model: a function over batches of (query_id, prompt) that gives (query_id, answer); without one the prompt's context is the answer."""
+def infer(prompts_: DataFrame, model: Callable[[], Callable[[list[str]], list[str]]] | None = None, batch_tokens: int = 8192) -> DataFrame:
+    """query_id, answer, failed: answers to prompts (query_id, prompt, context) by a model; the context is the answer of those it fails on.
+
+    model() is called once in each Python worker and gives a function of a list of prompts. It is asked in batches of at most
+    batch_tokens estimated tokens, a longer prompt alone. Where a batch raises an error, gives another number of answers or a null, its
+    prompts, or that one, fall back; the job goes on. Without a model all contexts are answers, none of them failed.
+    """
     if model is None:
-        return prompts_.select("query_id", F.col("prompt").alias("answer"))
-    return prompts_.select("query_id", "prompt").mapInPandas(model, "query_id long, answer string")
+        return prompts_.select("query_id", F.col("context").alias("answer"), F.lit(False).alias("failed"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        answer = model()
+        for rows in parts:
+            out, at, texts = [], 0, [x or "" for x in rows["prompt"]]
+            while at < len(texts):
+                end, used = at, 0
+                while end < len(texts) and (end == at or used + int(len(texts[end]) * 0.6) <= batch_tokens):
+                    used += int(len(texts[end]) * 0.6)
+                    end += 1
+                try:
+                    made = answer(texts[at:end])
+                    ok = len(made) == end - at
+                except Exception:  # whatever a model does, its batch falls back
+                    ok = False
+                out += made if ok else [None] * (end - at)
+                at = end
+            yield pd.DataFrame({"query_id": rows["query_id"], "made": pd.Series(out, index=rows.index, dtype=object), "context": rows["context"]})
+
+    out = prompts_.select("query_id", "prompt", "context").mapInPandas(run, "query_id long, made string, context string")
+    return out.select("query_id", F.coalesce(clean_answer(F.col("made")), "context").alias("answer"), F.isnull("made").alias("failed"))

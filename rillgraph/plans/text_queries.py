@@ -228,24 +228,25 @@ def answer_json(spark, sf):
     return j.select("query_id", F.col("j.activated_seeds")[0]["label"].alias("first"), F.size("j.activated_seeds").cast("long").alias("nodes"), F.size("j.paths").cast("long").alias("paths"), F.array_join("j.selected_domains", ",").alias("domains"), F.col("j.matched_seeds").alias("matched"), F.col("j.total_activated").alias("total"))
 
 
-@query(with_(PART_EDGES, MATCHED, ripple(1)) + """,
-nr AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY activation DESC, label) AS rank FROM state1),
-nl AS (SELECT query_id, rank, '- ' || label || ' ()' AS line FROM nr),
-nu AS (SELECT *, sum(floor(length(line) * 0.6::DOUBLE)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM nl),
-nb AS (SELECT query_id, string_agg(line, chr(10) ORDER BY rank) AS t FROM nu WHERE used <= 60 GROUP BY 1),
-pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY contribution DESC, source, target, relation) AS rank FROM paths),
-pl AS (SELECT query_id, rank, '- ' || source || ' ' || relation || ' ' || target AS line FROM pr),
-pu AS (SELECT *, sum(floor(length(line) * 0.6::DOUBLE)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM pl),
-pb AS (SELECT query_id, string_agg(line, chr(10) ORDER BY rank) AS t FROM pu WHERE used <= 40 GROUP BY 1),
-c AS (SELECT o_orderkey AS query_id, o_comment_ AS text, coalesce(nb.t, '（无激活概念）') || chr(10) || coalesce(pb.t, '（无概念间关系）') AS context FROM (SELECT o_orderkey, o_orderpriority || ' ' || o_orderstatus AS o_comment_ FROM orders) o LEFT JOIN nb ON nb.query_id = o_orderkey LEFT JOIN pb ON pb.query_id = o_orderkey)
-SELECT query_id, context || chr(10) || substr(text, 1, 8) AS answer FROM c""")
+@query(with_(SEEDS, PART_EDGES, MATCHED, ripple(1)) + """,
+nr AS (SELECT query_id, label, coalesce(domain, '') AS domain, coalesce(definition, '') AS definition, row_number() OVER (PARTITION BY query_id ORDER BY activation DESC, label) AS rank FROM state1 LEFT JOIN seeds USING (label)),
+nu AS (SELECT *, sum(floor(length('- ' || label || ' [' || domain || ']: ' || definition) * 0.6::DOUBLE)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM nr),
+nb AS (SELECT query_id, count(*) AS n, string_agg('- ' || label || CASE WHEN domain <> '' THEN ' [' || domain || ']' ELSE '' END || CASE WHEN definition <> '' THEN ': ' || definition ELSE '' END, chr(10) ORDER BY rank) FILTER (used <= 60) AS t, count(*) FILTER (used <= 60) AS k FROM nu GROUP BY 1),
+pr AS (SELECT *, ' (关联度: ' || printf('%.2f', weight) || ')' AS tail, row_number() OVER (PARTITION BY query_id ORDER BY contribution DESC, source, target, relation) AS rank FROM paths),
+pu AS (SELECT *, sum(floor(length('- ' || source || ' --[' || relation || ']--> ' || target || tail) * 0.6::DOUBLE)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM pr),
+pb AS (SELECT query_id, count(*) AS n, string_agg('- ' || source || ' --[' || CASE relation WHEN 'IS_A' THEN '是一种' ELSE '常与...共现' END || ']--> ' || target || tail, chr(10) ORDER BY rank) FILTER (used <= 40) AS t, count(*) FILTER (used <= 40) AS k FROM pu GROUP BY 1),
+c AS (SELECT o_orderkey AS query_id, o_orderpriority || ' ' || o_orderstatus AS text, '## 知识上下文' || chr(10) || chr(10) || '### 激活的概念' || chr(10) || coalesce(nb.t, '（无激活概念）') || chr(10) || chr(10) || '### 概念间关系' || chr(10) || coalesce(pb.t, '（无概念间关系）') || chr(10) AS context,
+        coalesce(nb.n, 0) > coalesce(nb.k, 0) OR coalesce(pb.n, 0) > coalesce(pb.k, 0) AS truncated
+      FROM orders LEFT JOIN nb ON nb.query_id = o_orderkey LEFT JOIN pb ON pb.query_id = o_orderkey)
+SELECT query_id, context || chr(10) || substr(text, 1, 8) AS prompt, context AS answer, floor(length(context) * 0.6::DOUBLE)::BIGINT AS tokens, truncated FROM c""")
 def prompt_answers(spark, sf):
-    """Prompts within a budget of 100 tokens, answered by the default model, which gives the context back."""
+    """Prompts within a budget of 100 tokens, answered without a model, which gives the context back."""
     run = R.ripple(S.matched(spark, sf), S.part_edges(spark, sf), 1)
-    nodes = R.top_seeds(run.activated, 1 << 30).select("query_id", "rank", "label", F.lit("").alias("domain"))
+    nodes = R.top_seeds(run.activated, 1 << 30).join(S.seeds(spark, sf).select("label", "domain", "definition"), "label", "left")
     paths = R.top_paths(run.paths, 1 << 30)
     asked = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("text"))
-    return V.infer(V.prompts(nodes, paths, asked, budget=100, chars=8))
+    made = V.prompts(nodes, paths, asked, budget=100, chars=8)
+    return made.select("query_id", "prompt", "tokens", "truncated", "context").join(V.infer(made).select("query_id", "answer"), "query_id").drop("context")
 
 
 @query("WITH " + WORDS + """,

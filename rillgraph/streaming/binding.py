@@ -50,10 +50,21 @@ def state_rows(spark: SparkSession, folder: str, side: str = "left") -> DataFram
     return spark.read.format("statestore").option("joinSide", side).load(f"{folder}/progress")
 
 
-def rolling_rates(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """event_type, start, n, p99 over 5 minutes that slide by one."""
-    out = stream.withWatermark("ts", late).groupBy(F.window("ts", "5 minutes", "1 minute").alias("w"), "event_type").agg(F.count("*").alias("n"), F.percentile_approx("value", 0.99).alias("p99"))
-    return out.select("event_type", F.col("w.start").alias("start"), "n", "p99")
+def minute_sketches(rows: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """event_type, minute (window), n, sketch (of the values): each event is aggregated once. On a stream, minutes close with the watermark."""
+    return rows.withWatermark("ts", late).groupBy(F.window("ts", "1 minute").alias("minute"), "event_type").agg(F.count("*").alias("n"), F.kll_sketch_agg_double("value").alias("sketch"))
+
+
+def rolling_rates(rows: DataFrame, late: str = "10 minutes", minutes: int = 5, quantile: float = 0.99) -> DataFrame:
+    """event_type, start, n, p99 over 5 minutes that slide by one: of each window, its minutes' counts and quantile sketches merged.
+
+    The value is one of the window's, whose rank differs from the quantile's by 1.7 % of n at most in 99 of 100 windows; below 200
+    values it is exact: the smallest value that `quantile` of all do not exceed. A window without values has none.
+    """
+    once = minute_sketches(rows, late)
+    out = once.groupBy(F.window(F.window_time("minute"), f"{minutes} minutes", "1 minute").alias("w"), "event_type").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    p = F.when(F.kll_sketch_get_n_double("sketch") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(quantile)))
+    return out.select("event_type", F.col("w.start").alias("start"), "n", p.alias("p99"))
 
 
 def count_into(stream: DataFrame, keys: list[str], folder: str, every: str | None = None) -> StreamingQuery:

@@ -99,3 +99,37 @@ def test_join_state_is_bounded(spark, tmp_path):
     assert sum(s["numRowsDroppedByWatermark"] for p in seen for s in p["stateOperators"]) == sum(3 if rows[i][3] != "purchase" else 1 for i in late)
     left = B.state_rows(spark, f"file://{tmp_path}", "left").count() + B.state_rows(spark, f"file://{tmp_path}", "right").count()
     assert left <= 3 * 30
+
+
+def test_rolling_quantiles(spark, tmp_path):
+    """Merged sketches give, on a stream with restarts too, a value whose rank is near the quantile's; few values give it exactly."""
+    import math
+
+    from rillgraph.streaming import binding as B
+
+    rnd = random.Random(6)
+    rows = [(i, DAY + datetime.timedelta(seconds=i * 0.05), 1, "view" if i % 1000 else "rare", rnd.lognormvariate(0, 2), "{}") for i in range(20_000)]
+    rows.append((-1, DAY + datetime.timedelta(seconds=30), 1, "none", None, "{}"))
+    table = spark.createDataFrame(rows, B.EVENTS)
+    got = {(r.event_type, r.start): (r.n, r.p99) for r in B.rolling_rates(table).collect()}
+    windows = {}
+    for r in rows:
+        minute = r[1].replace(second=0, microsecond=0)
+        for k in range(5):
+            windows.setdefault((r[3], minute - datetime.timedelta(minutes=k)), []).append(r[4])
+    assert {k: n for k, (n, _) in got.items()} == {k: len(v) for k, v in windows.items()}
+    for (kind, start), (n, p99) in got.items():
+        own = sorted(v for v in windows[kind, start] if v is not None)
+        if kind == "none":
+            assert p99 is None
+        elif n < 200:
+            assert p99 == own[math.ceil(0.99 * n) - 1]
+        else:
+            assert abs(own.index(p99) + 1 - 0.99 * n) <= 0.02 * n
+    end = (-2, DAY + datetime.timedelta(days=1), 1, "end", 0.0, "{}")
+    for part in (rows[:9000], rows[9000:], [end], [(-3, DAY + datetime.timedelta(days=2), 1, "end", 0.0, "{}")]):
+        spark.createDataFrame(part, B.EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = B.rolling_rates(B.events(spark, f"{tmp_path}/in", 10))
+        streamed = B.run_to_end(stream, f"file://{tmp_path}")
+    streamed = {(r.event_type, r.start): r.n for r in streamed.filter("event_type <> 'end'").collect()}
+    assert streamed == {k: n for k, (n, _) in got.items()}

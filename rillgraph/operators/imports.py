@@ -41,14 +41,14 @@ def titled(articles: DataFrame, seeds: DataFrame) -> DataFrame:
     return out.select("label", F.when(better, F.col("__new")).otherwise(F.coalesce("definition", F.lit(""))).alias("definition"), F.when(F.col("__old").isNull(), made).alias("id"))
 
 
-def chained_domains(seeds: DataFrame, edges: DataFrame, words: DataFrame | None = None, categories: DataFrame | None = None, depth: int = CONFIG.isa_depth) -> DataFrame:
+def chained_domains(seeds: DataFrame, edges: DataFrame, words: DataFrame | None = None, categories: DataFrame | None = None, depth: int = CONFIG.isa_depth, ascent: DataFrame | None = None) -> DataFrame:
     """label, inferred, method: of each blank node by its nearest ancestor, else its dictionary text, else its categories, else the default.
     An ascent that meets a node twice (cycle) ends at the default.
 
     words and categories are (texts, keywords) as keyword_domain and category_domain take them, with id = label; a
-    source that is not there is skipped.
+    source that is not there is skipped. ascent: infer_domains' result, if it is there already.
     """
-    out = infer_domains(seeds, edges, depth).select("label", F.when(F.col("method") == "is_a", F.col("inferred")).alias("is_a"), F.when(F.col("method") == "cycle", CONFIG.default_domain).alias("cycle"))
+    out = (infer_domains(seeds, edges, depth) if ascent is None else ascent).select("label", F.when(F.col("method") == "is_a", F.col("inferred")).alias("is_a"), F.when(F.col("method") == "cycle", CONFIG.default_domain).alias("cycle"))
     methods = ["is_a", "cycle"]
     for name, given, rule in (("dictionary", words, keyword_domain), ("category", categories, category_domain)):
         if given is not None:
@@ -56,3 +56,14 @@ def chained_domains(seeds: DataFrame, edges: DataFrame, words: DataFrame | None
             methods.append(name)
     which = F.coalesce(*(F.when(F.col(m).isNotNull(), F.lit(m)) for m in methods), F.lit("fallback"))
     return out.select("label", F.coalesce(*methods, F.lit(CONFIG.default_domain)).alias("inferred"), which.alias("method"))
+
+
+def inference_report(seeds: DataFrame, inferred: DataFrame) -> DataFrame:
+    """part, name, n: of an inference (label, method) over seeds (label, domain), the nodes by method, those without domain before, those with the
+    default (fallback and cycle), and the nodes with a domain after it."""
+    by = inferred.groupBy("method").agg(F.count("*").alias("n")).select(F.lit("method").alias("part"), F.col("method").alias("name"), "n")
+    common = F.col("method").isin("fallback", "cycle")
+    sums = inferred.agg(F.count("*").alias("empty"), F.count_if(common).alias("common"), F.count_if(F.col("method") == "cycle").alias("cycles"))
+    sums = sums.select(F.expr("stack(3, 'empty', empty, 'default', common, 'cycles', cycles) as (name, n)")).select(F.lit("total").alias("part"), "name", "n")
+    done = seeds.filter("domain <> ''").select("label").union(inferred.select("label")).distinct().agg(F.count("*").alias("n")).select(F.lit("total").alias("part"), F.lit("with domain").alias("name"), "n")
+    return by.unionByName(sums).unionByName(done)

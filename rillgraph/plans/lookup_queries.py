@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rillgraph.operators import graph as G
+from rillgraph.operators import imports as I
 from rillgraph.operators import lookup as K
 from rillgraph.plans.graph_queries import query
 from rillgraph.plans.sql import EDGES, PART_EDGES, PERSONAL, SEEDS, with_
+from rillgraph.session import fresh_path
 from rillgraph.sources import graph as S
+from rillgraph.sources import optional
 
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -78,3 +82,35 @@ def explore_fallback(spark, sf):
     pool = S.personal(spark, sf).groupBy("source", "target", "relation").agg(F.count_distinct("user_label").alias("n"))
     pool = pool.withColumn("status", F.when(F.col("n") >= 3, "upgraded").otherwise("pending"))
     return K.strategies(domains, S.seeds(spark, sf), S.part_edges(spark, sf).join(own, "source", "left_semi"), pool, external=True)
+
+
+@query(with_(SEEDS, PART_EDGES) + """,
+b AS (SELECT label, CASE WHEN label LIKE 'part:%' THEN '' ELSE domain END AS domain, definition FROM seeds WHERE type <> 'USER'),
+up AS (SELECT x.label, min(p.domain) AS d FROM b x JOIN part_edges e ON e.source = x.label AND relation = 'IS_A' JOIN b p ON p.label = e.target WHERE coalesce(x.domain, '') = '' AND p.domain <> '' GROUP BY 1),
+c AS (SELECT 'supplier:' || s_suppkey AS label, contains(n_name, '1') OR contains(n_name, '2') AS hit FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+m AS (
+  SELECT run, lost, b.label, CASE WHEN up.d IS NOT NULL THEN 'is_a' WHEN contains(lower(definition), '00000001') THEN 'dictionary' WHEN run = 'good' AND coalesce(hit, false) THEN 'category' ELSE 'fallback' END AS method
+  FROM (VALUES ('absent', 0), ('corrupt', 2), ('good', 3)) r(run, lost), b LEFT JOIN up USING (label) LEFT JOIN c USING (label) WHERE coalesce(b.domain, '') = '')
+SELECT run, run AS outcome, lost::BIGINT AS lost, 'method' AS part, method AS name, count(*) AS n FROM m GROUP BY ALL
+UNION ALL SELECT run, run, lost, 'total', 'empty', count(*) FROM m GROUP BY ALL UNION ALL SELECT run, run, lost, 'total', 'default', count(*) FILTER (method = 'fallback') FROM m GROUP BY ALL
+UNION ALL SELECT run, run, lost, 'total', 'cycles', 0 FROM m GROUP BY ALL UNION ALL SELECT run, run, lost, 'total', 'with domain', (SELECT count(*) FROM b) FROM m GROUP BY ALL""")
+def domain_optional(spark, sf):
+    """Domain inference with a category file that is absent, corrupt and good, and what each method gave."""
+    nodes = S.seeds(spark, sf).filter("type <> 'USER'").withColumn("domain", F.when(F.col("label").startswith("part:"), "").otherwise(F.col("domain")))
+    folder = fresh_path(spark, "optional")
+    named = S.table(spark, sf, "supplier").join(S.table(spark, sf, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    lines = named.select(F.to_json(F.struct(S.key("supplier", "s_suppkey").alias("title"), F.col("n_name").alias("category"))).alias("value"))
+    broken = spark.createDataFrame([("{broken",), ('{"title": ',)], "value string")
+    broken.write.text(f"{folder}/corrupt")
+    lines.unionAll(broken).unionAll(spark.createDataFrame([('{"category": "no title"}',)], "value string")).write.text(f"{folder}/good")
+    words = (nodes.select(F.col("label").alias("id"), F.col("definition").alias("text")), spark.createDataFrame([("00000001", "first")], "keyword string, domain string"))
+    keywords = spark.createDataFrame([(0, "1", "one"), (1, "2", "two")], "pos int, keyword string, domain string")
+    ascent = G.infer_domains(nodes, S.part_edges(spark, sf))
+    out = None
+    for run in ("absent", "corrupt", "good"):
+        file = optional.json_lines(spark, f"{folder}/{run}", "title string, category string", "title")
+        categories = None if file.rows is None else (file.rows.select(F.col("title").alias("id"), F.lit(0).alias("pos"), "category"), keywords)
+        chain = I.chained_domains(nodes, None, words, categories, ascent=ascent)
+        rows = I.inference_report(nodes, chain).select(F.lit(run).alias("run"), F.lit(file.outcome).alias("outcome"), F.lit(file.lost).cast("long").alias("lost"), "part", "name", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out

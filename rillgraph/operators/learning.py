@@ -106,6 +106,22 @@ def promotion_edges(promoted: DataFrame, edges: DataFrame) -> DataFrame:
     return both.join(edges.select(*EDGE), EDGE, "left_anti")
 
 
+def promote(candidates_: DataFrame, seeds: DataFrame, edges: DataFrame, as_of: Column, least: int = CONFIG.candidate_promote) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, new nodes, new edges) after a promotion of open candidates (label, count, status, promoted_at, seeds array) seen `least` times.
+
+    A promoted label becomes a node (label, domain, definition, activation_bias) with the domain of most of the nodes it was seen with,
+    unless there is one of that label, and is linked with these nodes both ways; its candidate is promoted at as_of, others stay.
+    """
+    due = (F.col("status") == "candidate") & (F.col("count") >= least)
+    ready = candidates_.filter(due).select("label", "seeds")
+    seen = ready.select("label", F.posexplode_outer("seeds").alias("pos", "seed"))
+    domains = seeds.select(F.col("label").alias("seed"), "domain")
+    named = majority_domain(seen.join(domains, "seed", "left").select("label", F.coalesce("domain", F.lit("")).alias("domain"), "pos"))
+    nodes = named.join(seeds.select("label"), "label", "left_anti").select("label", "domain", F.lit("").alias("definition"), F.lit(CONFIG.candidate_weight).alias("activation_bias"))
+    out = candidates_.withColumns({"promoted_at": F.when(due, as_of).otherwise(F.col("promoted_at")), "status": F.when(due, "promoted").otherwise(F.col("status"))})
+    return out, nodes, promotion_edges(ready, edges)
+
+
 def expiry(rows: DataFrame, as_of: Column) -> DataFrame:
     """candidate rows with action: purge after 90 days since promotion or candidacy, expire after 30 days unseen, keep."""
     old = F.coalesce("promoted_at", "candidate_since") < as_of - F.expr(f"INTERVAL {CONFIG.candidate_purge_days} DAYS")

@@ -211,6 +211,32 @@ def candidate_expire(spark, sf):
     return L.expiry(rows, F.lit("2024-04-10").cast("timestamp_ntz")).select("label", "action")
 
 
+@query(r"""
+WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}{4,}')) AS word FROM benchmark),
+w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '\p{L}{4,}')) AS label FROM conversations),
+c AS (SELECT label, count(*) AS count FROM w WHERE label NOT IN (SELECT word FROM k) GROUP BY 1 HAVING count(*) >= 5),
+links AS (SELECT c.label, o.label AS seed, row_number() OVER (PARTITION BY c.label ORDER BY o.label) AS pos FROM (SELECT DISTINCT c.label, o.label AS seed FROM c JOIN w x ON x.label = c.label JOIN w o ON o.conv_id = x.conv_id AND o.turn = x.turn JOIN k ON k.word = o.label) c JOIN (SELECT DISTINCT label FROM w) o ON o.label = c.seed),
+due AS (SELECT label FROM c WHERE count >= 10),
+d AS (SELECT label, 'd' || (ascii(seed) % 4) AS domain, count(*) AS n, min(pos) AS pos FROM links GROUP BY 1, 2),
+dom AS (SELECT label, domain FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, pos) AS rn FROM d) WHERE rn = 1)
+SELECT 'candidate' AS part, label, CASE WHEN count >= 10 THEN 'promoted' ELSE 'candidate' END AS value FROM c
+UNION ALL SELECT 'node', label, coalesce(domain, '未分类') FROM due LEFT JOIN dom USING (label)
+UNION ALL SELECT 'edge', label, seed FROM links JOIN due USING (label) UNION ALL SELECT 'edge', seed, label FROM links JOIN due USING (label)""")
+def candidate_promotion(spark, sf):
+    """Words seen ten times become nodes with the domain of the known words in their turns, and are linked with these."""
+    words = lambda df, *keep: df.select(*keep, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{4,}"), F.lit(0))).alias("label"))
+    turns = words(S.table(spark, sf, "conversations"), "conv_id", "turn")
+    known = words(S.table(spark, sf, "benchmark")).distinct().select("label", F.concat(F.lit("d"), (F.ascii("label") % 4).cast("string")).alias("domain"))
+    found = _candidates(spark, sf).select("label", "count")
+    near = turns.join(known.select("label"), "label", "left_semi").select("conv_id", "turn", F.col("label").alias("seed")).distinct()
+    links = turns.join(found.select("label"), "label", "left_semi").distinct().join(near, ["conv_id", "turn"]).groupBy("label").agg(F.array_sort(F.collect_set("seed")).alias("seeds"))
+    rows = found.join(links, "label", "left").select("label", "count", F.lit("candidate").alias("status"), F.lit(None).cast("timestamp_ntz").alias("promoted_at"), "seeds")
+    edges = spark.createDataFrame([], "source string, target string, relation string, weight double")
+    after, nodes, new = L.promote(rows, known, edges, F.lit("2024-04-10").cast("timestamp_ntz"))
+    out = after.select(F.lit("candidate").alias("part"), "label", F.col("status").alias("value"))
+    return out.unionByName(nodes.select(F.lit("node").alias("part"), "label", F.col("domain").alias("value"))).unionByName(new.select(F.lit("edge").alias("part"), F.col("source").alias("label"), F.col("target").alias("value")))
+
+
 @query("SELECT o_custkey, count(*) AS queries, least(count(*) / 20.0::DOUBLE, 1.0::DOUBLE) AS factor FROM orders GROUP BY 1")
 def cold_start(spark, sf):
     from rillgraph.functions.columns import cold_factor

@@ -75,15 +75,23 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, n
     return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def plan(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) as records: page_id, url, payload, digest (hex), n, revisit, refers_to."""
+def _planned(pages: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """pages (page_id, url, html) as records, and their keys (page_id, digest, n), which are written once: what is found out about all
+    records before they are written is read from the keys, not from the payloads again."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
-    again = rows.filter(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    keys, _ = _common.written(rows.select("page_id", "digest", "n"), "warc-keys")
+    again = keys.filter(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     again, _ = _common.written(again, "warc-again")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("n") >= min_bytes)
     rows = rows.join(again, "digest", "left").withColumn("revisit", revisit)
-    return rows.select("page_id", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "digest", "n", "revisit", F.when(F.col("revisit"), F.col("first")).alias("refers_to"))
+    records = rows.select("page_id", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "digest", "n", "revisit", F.when(F.col("revisit"), F.col("first")).alias("refers_to"))
+    return records, keys
+
+
+def plan(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """pages (page_id, url, html) as records: page_id, url, payload, digest (hex), n, revisit, refers_to."""
+    return _planned(pages, min_bytes)[0]
 
 
 def _bounds(rows: DataFrame) -> np.ndarray:
@@ -109,13 +117,13 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = R
     """Write the archive into folder (a URI that driver and executors share); its manifest comes back."""
     spark = pages.sparkSession
     _common.prepare(spark)
-    records = plan(pages, min_bytes)
-    bounds = spark.sparkContext.broadcast(_bounds(records.select("page_id", "digest", "n")))
+    records, keys = _planned(pages, min_bytes)
+    bounds = spark.sparkContext.broadcast(_bounds(keys))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            at = np.searchsorted(bounds.value, _keys(rows.column(0), rows.column(3)), "right")
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(at.astype(np.int32))], names=[*rows.schema.names, "range"])
+    @F.arrow_udf("int")
+    def place(page: pa.Array, digest: pa.Array) -> pa.Array:
+        # keys alone go to Python, payloads stay where they are
+        return pa.array(np.searchsorted(bounds.value, _keys(page, digest), "right").astype(np.int32))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -159,8 +167,9 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = R
         cols = list(zip(*done, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["file", "first", "last", "records", "bytes"])
 
-    placed = records.mapInArrow(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema) + ", range int")
-    ranged = placed.repartition(max(1, len(bounds.value) + 1), "range").sortWithinPartitions("range", "page_id", "digest", "url")
+    # each range is one task's, neither hashed together with others nor left without
+    placed = records.withColumn("range", place("page_id", "digest"))
+    ranged = placed.repartitionById(max(1, len(bounds.value) + 1), "range").sortWithinPartitions("range", "page_id", "digest", "url")
     ranged.mapInArrow(task, MANIFEST).write.parquet(f"{folder}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 

@@ -19,6 +19,7 @@ each. Fewer than k rows give fewer results; an empty table on either side gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -50,7 +51,9 @@ def codes(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(task, "vec_id long, code binary")
 
 
+@lru_cache(SEGMENT + 1)
 def _masks(radius: int) -> np.ndarray:
+    """All patterns of a segment with `radius` bits; made once in a worker, not for every query."""
     return np.array([sum(1 << b for b in c) for c in combinations(range(SEGMENT), radius)], np.int64)
 
 

@@ -9,8 +9,6 @@ import pytest
 from rillgraph.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Not worth their time here; the driver compares them.
-SLOW = {"ngram_jaccard", "cross_validate"}
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +31,7 @@ def rows(columns, data):
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_oracle(spark, sf, duck, name):
     df = catalogue.QUERIES[name](spark, sf)
     got = rows(df.columns, [tuple(r) for r in df.collect()])

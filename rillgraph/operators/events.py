@@ -163,7 +163,18 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str = "key") -> DataFrame:
-    """left (key, ts, id) with the newest right (key, ts, value) not after it, by one sort of the union: no band of pairs arises."""
-    both = left.select(key, "ts", "id", F.lit(None).cast("double").alias("value"), F.lit(1).alias("side")).unionAll(right.select(key, "ts", F.lit(None).cast("long"), "value", F.lit(0)))
-    upto = W.partitionBy(key).orderBy("ts", "side", F.col("value").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("value", F.last("value", ignorenulls=True).over(upto)).filter("side = 1").select("id", "value")
+    """left (key, ts, id) with the newest right (key, ts, value) not after it, the greatest of equal times; null where there is none.
+
+    The union of both sides is sorted within the hours of a key, so a hot key is many tasks' work and no band of pairs arises. What an hour
+    has not seen yet is carried from the hours before: one row per key and hour. Null values on the right do not count; rows without key or
+    time find nothing.
+    """
+    values = right.filter(F.col(key).isNotNull() & F.col("ts").isNotNull() & F.col("value").isNotNull())
+    both = left.select(key, "ts", "id", F.lit(None).cast("double").alias("value"), F.lit(1).alias("side")).unionAll(values.select(key, "ts", F.lit(None).cast("long"), "value", F.lit(0)))
+    both = both.withColumn("part", F.struct(F.to_date("ts").alias("day"), F.hour("ts").alias("hour")))
+    upto = W.partitionBy(key, "part").orderBy("ts", "side", "value").rowsBetween(W.unboundedPreceding, 0)
+    within = both.withColumn("value", F.last("value", ignorenulls=True).over(upto)).filter("side = 1").select(key, "part", "id", "value")
+    newest = both.groupBy(key, "part").agg(F.max(F.when(F.col("side") == 0, F.struct("ts", "value"))).alias("newest"))
+    before = F.last("newest", ignorenulls=True).over(W.partitionBy(key).orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    carried = newest.select(key, "part", before.alias("carried")).filter("carried is not null")
+    return within.join(carried, [key, "part"], "left").select("id", F.coalesce("value", "carried.value").alias("value"))

@@ -170,9 +170,11 @@ FEW_KEYWORDS = 1000
 
 
 def holding(texts: DataFrame, column: str, keywords: DataFrame, few: int = FEW_KEYWORDS) -> DataFrame:
-    """texts with each keyword that the column holds; an empty keyword is held by none.
+    """texts with each keyword that the column holds; an empty keyword and a null text hold nothing.
 
-    Up to `few` keywords are broadcast. More are met by an equi-join with the text's distinct pieces of the keywords' lengths.
+    Up to `few` keywords are broadcast. More are met by an equi-join of 64-bit hashes: those of the keywords and those of the text's distinct
+    pieces of the keywords' lengths, which travel under 128 hashed bits of the text and not with it. What met is looked for in the text itself,
+    so no hash decides.
     """
     words, c = keywords.filter("keyword <> ''"), F.col(column)
     if words.limit(few + 1).count() <= few:
@@ -180,10 +182,14 @@ def holding(texts: DataFrame, column: str, keywords: DataFrame, few: int = FEW_K
     lengths = sorted(r[0] for r in words.select(F.length("keyword")).distinct().collect())
 
     def pieces(n: int) -> F.Column:
-        every = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
-        return F.when(F.length(c) >= n, every).otherwise(F.array().cast("array<string>"))
-
-    return texts.withColumn("keyword", F.explode(F.array_distinct(F.flatten(F.array(*map(pieces, lengths)))))).join(words, "keyword")
+        every = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.xxhash64(F.substring(c, i, F.lit(n))))
+        return F.when(F.length(c) >= n, every).otherwise(F.array().cast("array<bigint>"))
+
+    key = F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b"))
+    posted = texts.filter(c.isNotNull()).select(key.alias("__key"), F.explode(F.array_distinct(F.flatten(F.array(*map(pieces, lengths))))).alias("__piece"))
+    met = posted.join(words.select(F.xxhash64("keyword").alias("__piece"), F.col("keyword").alias("__keyword")).distinct(), "__piece").select("__key", "__keyword").distinct()
+    held = texts.withColumn("__key", key).join(met, "__key").filter(F.contains(c, F.col("__keyword")))
+    return held.join(words, F.col("__keyword") == F.col("keyword")).drop("__key", "__keyword")
 
 
 def keyword_domain(texts: DataFrame, keywords: DataFrame, few: int = FEW_KEYWORDS) -> DataFrame:

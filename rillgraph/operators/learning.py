@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from rillgraph.config import CONFIG
 from rillgraph.functions.columns import clip
+from rillgraph.operators.graph import holding
 
+# Fixed value: who contributes what an outside source gives.
+ENGINE = "system:curiosity"
 EDGE = ["source", "target", "relation"]
 
 
@@ -55,6 +58,38 @@ def pool_in_domain(candidates: DataFrame, seeds: DataFrame, domain: str) -> Data
     return ends.unionByName(pending.join(d.withColumnRenamed("label", "target"), "target", "left_semi").select(*EDGE, "count")).distinct()
 
 
+def upgrade_in_domains(edges: DataFrame, candidates: DataFrame, seeds: DataFrame, domains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, pool) after all pending candidates with an end in one of the domains (domain) were upgraded, whatever their count.
+
+    Where a domain has no such candidate, the domains that hold it as a part of their name stand in for it. Names are compared as they are
+    written; an empty or null one asks for nothing.
+    """
+    pending = candidates.filter("status = 'pending'").select(*EDGE)
+    ends = pending.select(*EDGE, F.explode(F.array("source", "target")).alias("label"))
+    placed = ends.join(seeds.filter("domain <> ''").select("label", "domain").distinct(), "label").select(*EDGE, "domain").distinct()
+    asked = domains.filter("domain <> ''").select(F.col("domain").alias("keyword")).distinct()
+    held = holding(placed.select("domain").distinct(), "domain", asked).withColumn("same", F.col("domain") == F.col("keyword"))
+    exact = held.filter("same").select("keyword")
+    chosen = held.join(exact.withColumn("__exact", F.lit(True)), "keyword", "left").filter("same or __exact is null").select("domain").distinct()
+    due = placed.join(chosen, "domain", "left_semi").select(*EDGE).distinct().withColumn("__due", F.lit(True))
+    after = candidates.join(due, EDGE, "left")
+    after = after.withColumn("status", F.when(F.col("__due") & (F.col("status") == "pending"), "upgraded").otherwise(F.col("status"))).drop("__due")
+    return upgrade(edges, due.withColumn("status", F.lit("upgraded"))), after
+
+
+def submit_external(candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """The pool (edge, count, contributors, status) after what an outside source gave: found (label, domain), one row each time.
+
+    Each is a candidate that label is DEFINED_AS domain. One that is there gains its count and keeps contributors and status; a new one is
+    pending, with the engine as its contributor. Rows without label or domain are left out.
+    """
+    n = found.filter("label is not null and domain is not null").groupBy(F.col("label").alias("source"), F.col("domain").alias("target")).agg(F.count("*").alias("__n"))
+    out = candidates.join(n.withColumn("relation", F.lit("DEFINED_AS")), EDGE, "full_outer")
+    new = F.when(F.lit(CONFIG.pool_threshold) <= 1, "upgraded").otherwise("pending")
+    count = F.coalesce("count", F.lit(0)) + F.coalesce("__n", F.lit(0))
+    return out.select(*EDGE, count.alias("count"), F.coalesce("contributors", F.array(F.lit(ENGINE))).alias("contributors"), F.coalesce("status", new).alias("status"))
+
+
 def cleanup(edges: DataFrame, candidates: DataFrame, least: float = CONFIG.weight_min) -> tuple[DataFrame, DataFrame]:
     """Edges without those below the least weight, and the pool after each of those cost its candidate one count."""
     low = edges.filter(F.col("weight") < least).select(*EDGE).withColumn("__low", F.lit(True))
@@ -85,6 +120,19 @@ def alias_decisions(stats: DataFrame, aliases: DataFrame) -> DataFrame:
     return out.select("keyword", "seed", "ref_count", "total_count", "rate", decision.alias("decision"))
 
 
+def append_aliases(seeds: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seeds, done) after decisions (keyword, seed, decision): seeds (label, aliases, ...) gain the keywords that were aliased to them.
+
+    New aliases follow the old ones in the order of their names; one that is there is not added again, but is done as well. A null list is
+    empty. done: keyword, seed whose node is there; a decision for no node changes nothing.
+    """
+    due = decisions.filter("decision = 'aliased'").select("keyword", F.col("seed").alias("label")).distinct()
+    more = due.groupBy("label").agg(F.array_sort(F.collect_set("keyword")).alias("__more"))
+    old = F.coalesce("aliases", F.expr("cast(array() as array<string>)"))
+    out = seeds.join(more, "label", "left").withColumn("aliases", F.when(F.col("__more").isNull(), F.col("aliases")).otherwise(F.concat(old, F.array_except("__more", old)))).drop("__more")
+    return out, due.join(seeds.select("label").distinct(), "label").select("keyword", F.col("label").alias("seed"))
+
+
 def candidates(sightings: DataFrame, known: DataFrame, least: int = CONFIG.candidate_min) -> DataFrame:
     """label, count, candidate_since, last_seen for words seen often enough that are no node, alias or candidate yet. sightings: label, seen_at."""
     out = sightings.groupBy("label").agg(F.count("*").alias("count"), F.min("seen_at").alias("candidate_since"), F.max("seen_at").alias("last_seen"))

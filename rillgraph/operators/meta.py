@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillgraph.config import CONFIG
-from rillgraph.functions.columns import cycles_since, goal_id
+from rillgraph.functions.columns import cycles_since, exact_sum, goal_id
 from rillgraph.functions.text import round_half
 
 
@@ -35,8 +35,23 @@ def low_confidence(history: DataFrame, n: int = CONFIG.explore_window, below: fl
 
 
 def system_metrics(now: DataFrame, before: DataFrame) -> DataFrame:
-    """metric, value, change against the previous snapshot (metric, value)."""
-    return now.join(before.select("metric", F.col("value").alias("__old")), "metric", "left").select("metric", "value", (F.col("value") - F.coalesce("__old", "value")).alias("change"))
+    """metric, value, change against the previous snapshot (metric, value); what was not there before was 0."""
+    return now.join(before.select("metric", F.col("value").alias("__old")), "metric", "left").select("metric", "value", (F.col("value") - F.coalesce("__old", F.lit(0.0))).alias("change"))
+
+
+def system_values(seeds: DataFrame, edges: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
+    """metric, value of the five system monitors, each one aggregation: nodes and edges but for monitors; of the day before as_of the mean
+    confidence (0 without queries), how many queries changed weights, how many nodes came. seeds: type, created_at; history: confidence, direction, created_at."""
+    day = (F.col("created_at") > as_of - F.expr("INTERVAL 1 DAY")) & (F.col("created_at") <= as_of)
+    plain = seeds.filter("type <> 'META'")
+    new = F.count_if(day).cast("double")
+    nodes = plain.agg(F.count("*").cast("double").alias("n"), new.alias("d"))
+    links = edges.filter(~F.col("source").startswith("meta:")).agg(F.count("*").cast("double").alias("n"))
+    log = history.filter(day).agg(F.coalesce(round_half(exact_sum(F.col("confidence")) / F.count("confidence"), 4), F.lit(0.0)).alias("c"), F.count_if(F.col("direction") != 0).cast("double").alias("k"))
+    names = dict(zip(("nodes", "edges", "confidence", "changes", "new"), SYSTEM_MONITORS, strict=True))
+    rows = nodes.select(F.expr(f"stack(2, '{names['nodes']}', n, '{names['new']}', d) as (metric, value)"))
+    rows = rows.unionAll(links.select(F.lit(names["edges"]), "n"))
+    return rows.unionAll(log.select(F.expr(f"stack(2, '{names['confidence']}', c, '{names['changes']}', k) as (metric, value)")))
 
 
 def monitors(seeds: DataFrame, edges: DataFrame, have: DataFrame) -> DataFrame:

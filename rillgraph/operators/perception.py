@@ -50,16 +50,25 @@ def clamped(value: float, default: float, most: float | None = 1.0) -> float:
     return value if value >= 0 and (most is None or value <= most) else default
 
 
-def visual(features: DataFrame) -> DataFrame:
-    """frame_id, seed, activation of red, green, blue, brightness and edges beyond their thresholds."""
-    r = [(f"percept:visual:{c}", F.col(c) > _at(f"visual:{c}"), F.col(c)) for c in ("red", "green", "blue")]
+def visual(features: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """frame_id, seed, activation of red, green, blue, brightness and edges beyond their thresholds.
+
+    thresholds: other ones by the node's last name (red, green, blue, bright, dark, edge_dense); one outside of 0 to 1 does not count.
+    """
+
+    def at(name: str) -> float:
+        default = _at(f"visual:{name}")
+        return clamped((thresholds or {}).get(name, default), default)
+
+    r = [(f"percept:visual:{c}", F.col(c) > at(c), F.col(c)) for c in ("red", "green", "blue")]
     light, edges = F.col("brightness"), F.col("edges")
-    r += [("percept:visual:bright", light > _at("visual:bright"), light), ("percept:visual:dark", light < _at("visual:dark"), 1 - light), ("percept:visual:edge_dense", edges > _at("visual:edge_dense"), edges)]
+    r += [("percept:visual:bright", light > at("bright"), light), ("percept:visual:dark", light < at("dark"), 1 - light), ("percept:visual:edge_dense", edges > at("edge_dense"), edges)]
     return _out(features, "frame_id", r)
 
 
 def auditory(features: DataFrame, high: float = 500.0, low: float = 200.0, bright: float = 3000.0) -> DataFrame:
-    """frame_id, seed, activation of dominant frequency, centroid and percussion."""
+    """frame_id, seed, activation of dominant frequency, centroid and percussion. Thresholds below 0 do not count: the presets do."""
+    high, low, bright = (clamped(v, _at(f"auditory:{n}"), None) for v, n in ((high, "high_freq"), (low, "low_freq"), (bright, "bright_sound")))
     f, c = F.col("dominant"), F.col("centroid")
     rules = [
         ("percept:auditory:high_freq", f > high, f / 1000), ("percept:auditory:low_freq", (f < low) & (f > 0), (low - f) / low), ("percept:auditory:bright_sound", c > bright, c / 10000),

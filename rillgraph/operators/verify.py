@@ -14,9 +14,11 @@ from rillgraph.functions.columns import clean_answer, exact_sum
 from rillgraph.session import written
 
 
-def answer_keywords(answers: DataFrame, known: DataFrame, **how) -> DataFrame:
-    """answer_id, word, weight, known for answers (answer_id, text); known: word."""
+def answer_keywords(answers: DataFrame, known: DataFrame, names: DataFrame | None = None, **how) -> DataFrame:
+    """answer_id, word, weight, known for answers (answer_id, text); known: word. The names of domains (name), in any case, are no keywords."""
     words = answers.select("answer_id", F.explode(T.keywords(F.col("text"), **how)).alias("word"))
+    if names is not None:
+        words = words.join(names.select(F.lower("name").alias("word")).distinct(), "word", "left_anti")
     k = known.select(F.col("word").alias("__word")).distinct()
     is_known = F.col("__word").isNotNull()
     return words.join(k, F.col("word") == F.col("__word"), "left").select("answer_id", "word", T.keyword_weight(F.col("word"), is_known).alias("weight"), is_known.alias("known"))

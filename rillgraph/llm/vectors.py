@@ -4,12 +4,13 @@ Equal vectors become one node with a count, so exact copies are never compared.
 sample (SAMPLE vectors at most; every vector is indexed). Each vector is at home in its nearest cell. Cells are dealt
 to regions of about REGION vectors, and a vector visits each region with a cell that can hold a partner: partners of
 cell c are nearer to c than to the vector's own centre h, and by the triangle inequality no vector there reaches cosine t
-if x.(h - c) / |h - c| > sqrt(1 - t^2). No pair is missed, whatever the data. Groups far apart never meet; vectors in
-random directions visit nearly all regions, so there the work grows with the square of their number.
+if x.(h - c) / |h - c| > sqrt(1 - t^2). In a region the same test tells, cell by cell, which residents it is compared with.
+No pair is missed, whatever the data. Groups far apart never meet; vectors in random directions meet nearly all cells, so
+there the work grows with the square of their number.
 
 Of two regions one is visited by the other's vectors, so that each pair is counted once. Regions are cut into units of
-REGION residents and REGION visitors, compared in products of BLOCK x BLOCK in double precision, whatever the region's
-size. A unit returns link counts per vector and the edges of its components' stars, never its pairs.
+REGION residents and REGION visitors, compared in products of at most BLOCK x BLOCK in double precision, whatever the
+region's size. A unit returns link counts per vector and the edges of its components' stars, never its pairs.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, each a component
 of its own; vectors of different length never link. Null ids: such a vector links and counts as others do; it names no
@@ -33,8 +34,8 @@ from rillgraph.llm.components import components
 
 #: Vectors that centres are fitted on, at most.
 SAMPLE = 16_384
-#: Residents of a cell, about, up to MAX_CELLS cells of a length. Cells only tell which regions need not meet: beyond
-#: MAX_CELLS they grow and tell less, and every pair that may link is still compared.
+#: Residents of a cell, about, up to MAX_CELLS cells of a length: beyond that cells grow and tell less apart, and every
+#: pair that may link is still compared.
 CELL = 200
 MAX_CELLS = 4096
 #: Vectors of a region, about, and of each side of one unit.
@@ -96,17 +97,50 @@ def _compare(q: np.ndarray, h: np.ndarray, raw: tuple[np.ndarray, np.ndarray], t
     return i[ok], j[ok]
 
 
+def _near(own: np.ndarray, cos: np.ndarray, between: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether a cell can hold a partner, from a vector's cosines with its home's centre and with the cell's, and that between both centres."""
+    reach = math.sqrt(1 - min(threshold, 1) ** 2) if threshold > 0 else 2.0
+    return own[:, None] - cos <= reach * np.sqrt(np.maximum(2 - 2 * between, 0)) + 1e-6
+
+
 def regions_met(x: np.ndarray, c: np.ndarray, region: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(home region of each row of x, whether it visits each region); of two regions, one is visited by the other's rows."""
+    return _met(x, c, region, threshold)[1:]
+
+
+def _met(x: np.ndarray, c: np.ndarray, region: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The home cell of each row of x, and its regions_met."""
     cos = x @ c.T
     home = cos.argmax(1)
-    gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[home]
-    reach = math.sqrt(1 - min(threshold, 1) ** 2) if threshold > 0 else 2.0
-    near = cos[np.arange(len(x)), home][:, None] - cos <= reach * gap + 1e-6
+    near = _near(cos[np.arange(len(x)), home], cos, (c @ c.T)[home], threshold)
     own, at = region[home], np.arange(int(region.max()) + 1)
     visits = np.stack([near[:, region == g].any(1) for g in at], 1)
     goes = (own[:, None] < at) ^ ((own[:, None] + at) % 2 == 1)
-    return own, (visits & goes & (own[:, None] != at)) | (own[:, None] == at)
+    return home, own, (visits & goes & (own[:, None] != at)) | (own[:, None] == at)
+
+
+def products(x: np.ndarray, home: np.ndarray, cell: np.ndarray, c: np.ndarray | None, threshold: float, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The (rows of x, residents) to compare: each resident, of cell `cell`, meets each row whose home allows it a partner in that cell.
+
+    Rows are taken in the order of their homes, so those of a block agree on most cells. Cells that a whole block meets are one product's
+    side, others are compared cell by cell. c None: there is one cell only.
+    """
+    order, sides = np.argsort(home, kind="stable"), np.argsort(cell, kind="stable")
+    cells, begin = np.unique(cell[sides], return_index=True)
+    members = np.split(sides, begin[1:])
+    for y in range(0, len(order), block):
+        rows = order[y : y + block]
+        met = [(rows, sides)]
+        if c is not None:
+            at = c[home[rows]]
+            near = _near((x[rows] * at).sum(1), x[rows] @ c[cells].T, at @ c[cells].T, threshold)
+            every = near.all(0)
+            met = [(rows[near[:, n]], members[n]) for n in np.flatnonzero(near.any(0) & ~every)]
+            if every.any():
+                met.append((rows, np.concatenate([members[n] for n in np.flatnonzero(every)])))
+        for some, side in met:
+            for z in range(0, len(side), block):
+                yield some, side[z : z + block]
 
 
 def _stars(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +186,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL, r
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            home, visits = np.zeros(r.num_rows, np.int32), [None] * r.num_rows
+            home, cells, visits = np.zeros(r.num_rows, np.int32), np.zeros(r.num_rows, np.int32), [None] * r.num_rows
             dims = r.column(2).to_numpy(zero_copy_only=False)
             for dim in np.unique(dims).tolist():
                 c, of, start = shared.value[dim]
@@ -160,20 +194,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL, r
                 if c is None:
                     own, met = np.zeros(len(at), np.int64), np.ones((len(at), 1), bool)
                 else:
-                    own, met = regions_met(_unit(_rows(r.column(1).take(pa.array(at)), kind)), c, of, threshold)
+                    cells[at], own, met = _met(_unit(_rows(r.column(1).take(pa.array(at)), kind)), c, of, threshold)
                 home[at] = own + start
                 for i, m in zip(at.tolist(), met, strict=True):
                     visits[i] = (np.flatnonzero(m) + start).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*r.columns, pa.array(home), pa.array(visits, pa.list_(pa.int32()))], names=[*r.schema.names, "home", "visits"])
+            yield pa.RecordBatch.from_arrays([*r.columns, pa.array(home), pa.array(cells), pa.array(visits, pa.list_(pa.int32()))], names=[*r.schema.names, "home", "cell", "visits"])
 
-    placed = nodes.select("node", "bytes", "dim", "copies").mapInArrow(place, "node long, bytes binary, dim int, copies long, home int, visits array<int>")
+    placed = nodes.select("node", "bytes", "dim", "copies").mapInArrow(place, "node long, bytes binary, dim int, copies long, home int, cell int, visits array<int>")
     placed, _ = _common.written(placed, "vector-regions")
     # one row per region with its residents' and visitors' numbers; broadcast below Spark's own limit only
     residents = placed.groupBy("home").agg(F.count("*").alias("r")).select(F.col("home").alias("region"), F.ceil(F.col("r") / region).cast("int").alias("rb"))
     visitors = placed.select(F.explode("visits").alias("region")).groupBy("region").agg(F.count("*").alias("v")).select("region", F.ceil(F.col("v") / region).cast("int").alias("vb"))
     blocks, _ = _common.written(residents.join(visitors, "region"), "vector-blocks")
     salt = F.xxhash64("node")
-    base = ["region", "node", "bytes", "dim", "copies", "home"]
+    base = ["region", "node", "bytes", "dim", "copies", "home", "cell"]
     homes = placed.withColumn("region", F.col("home")).join(blocks, "region").withColumn("hb", F.pmod(salt, "rb").cast("int"))
     homes = homes.withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vb") - 1))).select(*base, "hb", "vb", F.lit(True).alias("resident"))
     guests = placed.withColumn("region", F.explode("visits")).join(blocks, "region").withColumn("vb", F.pmod(salt, "vb").cast("int"))
@@ -185,29 +219,28 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL, r
         ids, at = np.unique(t.column("node").to_numpy(), return_inverse=True)
         links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         dim, resident, stays = t.column("dim").to_numpy(), t.column("resident").to_numpy(), t.column("home").to_numpy() == here
-        copies, column = t.column("copies").to_numpy(), t.column("bytes")
+        copies, cell, column = t.column("copies").to_numpy(), t.column("cell").to_numpy(), t.column("bytes")
         for d in np.unique(dim):
             q, h = (np.flatnonzero((dim == d) & (resident == r)) for r in (False, True))
             if not len(q) or not len(h):
                 continue
             raw_q, raw_h = _rows(column.take(pa.array(q)), kind), _rows(column.take(pa.array(h)), kind)
             unit_q, unit_h = _unit(raw_q), _unit(raw_h)
-            for y in range(0, len(q), BLOCK):
-                for z in range(0, len(h), BLOCK):
-                    i, j = _compare(unit_q[y : y + BLOCK], unit_h[z : z + BLOCK], (raw_q[y : y + BLOCK], raw_h[z : z + BLOCK]), threshold)
-                    i, j = q[y + i], h[z + j]
-                    # residents meet each other both as visitors and at home
-                    once = ~stays[i] | (at[i] < at[j])
-                    i, j = i[once], j[once]
-                    if not len(i):
-                        continue
-                    links += (np.bincount(at[i], copies[j], len(ids)) + np.bincount(at[j], copies[i], len(ids))).astype(np.int64)
-                    a, b = root[at[i]], root[at[j]]
-                    if (a != b).any():
-                        some, low = _stars(a[a != b], b[a != b])
-                        to = np.arange(len(ids))
-                        to[some] = low
-                        root = to[root]
+            for y, z in products(unit_q, cell[q], cell[h], shared.value[int(d)][0], threshold):
+                i, j = _compare(unit_q[y], unit_h[z], (raw_q[y], raw_h[z]), threshold)
+                i, j = q[y[i]], h[z[j]]
+                # residents meet each other both as visitors and at home
+                once = ~stays[i] | (at[i] < at[j])
+                i, j = i[once], j[once]
+                if not len(i):
+                    continue
+                links += (np.bincount(at[i], copies[j], len(ids)) + np.bincount(at[j], copies[i], len(ids))).astype(np.int64)
+                a, b = root[at[i]], root[at[j]]
+                if (a != b).any():
+                    some, low = _stars(a[a != b], b[a != b])
+                    to = np.arange(len(ids))
+                    to[some] = low
+                    root = to[root]
         use = links > 0
         return pa.table({"node": pa.array(ids[use], pa.int64()), "root": pa.array(ids[root[use]], pa.int64()), "links": pa.array(links[use])})
 

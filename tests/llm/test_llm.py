@@ -121,6 +121,25 @@ def test_vectors_lengths(spark):
     assert [got[i] for i in range(3000)] == want and got[9000] == 0 and got[None] == want[0]
 
 
+def test_vectors_products():
+    """Cells leave a small part of all pairs of clustered vectors to compare, and lose none that links; in random directions all remain."""
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=(40, 32))
+    x = (centre[:, None] + 0.12 * rng.normal(size=(40, 50, 32))).reshape(-1, 32)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(2000)]
+    c = vectors.centres(x, 40)
+    home = (x @ c.T).argmax(1)
+    met = np.zeros((2000, 2000), np.int8)
+    for rows, side in vectors.products(x, home, home, c, 0.9, 128):
+        assert len(rows) <= 128 and len(side) <= 128
+        met[np.ix_(rows, side)] += 1
+    assert met.max() == 1 and (met[(x @ x.T) >= 0.9] == 1).all()
+    assert met.sum() < 0.1 * met.size
+    whole = sum(len(a) * len(b) for a, b in vectors.products(x, home, np.zeros(2000, int), None, 0.9, 128))
+    assert whole == met.size
+    assert list(vectors.products(x[:0], home[:0], home, c, 0.9)) == []
+
+
 def test_vectors_visits():
     """No pair at the threshold lies in regions that do not meet, and groups far apart do not meet."""
     rng = np.random.default_rng(4)

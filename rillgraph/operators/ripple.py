@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillgraph.config import CONFIG
-from rillgraph.functions.columns import domain_or, exact_sum, layered_weight
+from rillgraph.functions.columns import domain_or, layered_weight, small_sum
 from rillgraph.session import written
 
 
@@ -46,7 +46,7 @@ def _state(start: DataFrame, paths: DataFrame | None, depth: int) -> DataFrame:
     nothing = lambda kind: F.lit(None).cast(kind)
     old = start.select("query_id", "label", "activation", "depth", "parent", nothing("int").alias("wave"), nothing("double").alias("contribution"), nothing("string").alias("source"))
     new = paths.select("query_id", F.col("target").alias("label"), nothing("double").alias("activation"), nothing("int").alias("depth"), nothing("string").alias("parent"), F.col("depth").alias("wave"), "contribution", "source")
-    gains = [exact_sum(F.when(F.col("wave") == w, F.col("contribution"))).alias(f"gain{w}") for w in range(1, depth + 1)]
+    gains = [small_sum(F.when(F.col("wave") == w, F.col("contribution"))).alias(f"gain{w}") for w in range(1, depth + 1)]
     # the strongest source of the first wave; rows of the start have no order
     first = F.min_by("source", F.when(F.col("wave").isNotNull(), F.struct("wave", -F.col("contribution"), "source")))
     sums = old.unionAll(new).groupBy("query_id", "label").agg(F.max("activation").alias("activation"), F.min("depth").alias("depth"), F.max("parent").alias("parent"), F.min("wave").alias("wave"), first.alias("from"), *gains)
@@ -85,7 +85,7 @@ def ripple(matched: DataFrame, edges: DataFrame, depth: int = CONFIG.ripple_dept
         hop = written(hop, "ripple-paths")
         paths = hop if paths is None else paths.unionByName(hop)
         if wave < depth:
-            gained = hop.groupBy("query_id", F.col("target").alias("label")).agg(exact_sum(F.col("contribution")).alias("gain"))
+            gained = hop.groupBy("query_id", F.col("target").alias("label")).agg(small_sum(F.col("contribution")).alias("gain"))
             new = gained.join(active, ["query_id", "label"], "left_anti").select("query_id", F.col("label").alias("source"), F.least(F.lit(CONFIG.max_activation), F.col("gain")).alias("emitted"))
             frontier = written(new, "ripple-frontier")
             active = active.unionAll(frontier.select("query_id", F.col("source").alias("label")))
@@ -95,7 +95,7 @@ def ripple(matched: DataFrame, edges: DataFrame, depth: int = CONFIG.ripple_dept
 def domain_scores(activated: DataFrame, seeds: DataFrame) -> DataFrame:
     """query_id, domain, score: activation summed by domain; nodes without one count as common knowledge."""
     named = activated.join(seeds.select("label", "domain"), "label", "left").withColumn("domain", domain_or(F.col("domain")))
-    return named.groupBy("query_id", "domain").agg(exact_sum(F.col("activation")).alias("score"))
+    return named.groupBy("query_id", "domain").agg(small_sum(F.col("activation")).alias("score"))
 
 
 def selected_domains(scores: DataFrame, threshold: float = CONFIG.domain_threshold) -> DataFrame:

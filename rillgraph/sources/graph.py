@@ -36,8 +36,11 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cooccurrence(lines: DataFrame) -> DataFrame:
-    """(a, b, n): ordered pairs of parts that n orders share, n of 2 or more. An order has few lines, so pairs stay few."""
-    items = lines.select("l_orderkey", "l_partkey").distinct()
+    """(a, b, n): ordered pairs of parts that n orders share, n of 2 or more. An order has few lines, so pairs stay few.
+
+    Lines are dealt by order once, which serves the distinct and both sides of the join.
+    """
+    items = lines.select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()
     other = items.select("l_orderkey", F.col("l_partkey").alias("b"))
     return items.join(other, "l_orderkey").filter("l_partkey <> b").groupBy(F.col("l_partkey").alias("a"), "b").agg(F.count("*").alias("n")).filter("n >= 2")
 

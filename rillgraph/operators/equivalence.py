@@ -137,7 +137,9 @@ def merged_pool(submissions: DataFrame, edges: DataFrame, aliases: DataFrame | N
     neighbourhoods; merged is the number of different edges in it. Candidates are compared with all others, upgraded or not.
     """
     rows = canonical(submissions, aliases)
-    rows = written(rows.select("user_label", *EDGE, "at"), "pool-submissions")
-    found = merged(rows.groupBy(*EDGE).agg(F.min("at").alias("first")), edges, threshold).select(*EDGE, "leader")
-    out = rows.join(found, EDGE).groupBy("leader").agg(F.count("*").alias("count"), F.array_sort(F.collect_set("user_label")).alias("contributors"), F.count_distinct(*EDGE).alias("merged"))
+    counts = F.min("at").alias("first"), F.count("*").alias("n"), F.collect_set("user_label").alias("users")
+    candidates = written(rows.groupBy(*EDGE).agg(*counts), "pool-submissions")
+    found = merged(candidates, edges, threshold).select(*EDGE, "leader")
+    users = F.array_sort(F.array_distinct(F.flatten(F.collect_list("users"))))
+    out = candidates.join(found, EDGE).groupBy("leader").agg(F.sum("n").alias("count"), users.alias("contributors"), F.count("*").alias("merged"))
     return out.select(*(F.col(f"leader.{c}").alias(c) for c in EDGE), "count", "contributors", "merged", F.when(F.col("count") >= least, "upgraded").otherwise("pending").alias("status"))
